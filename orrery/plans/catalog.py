@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from orrery.plans import graph_plans, study_plans, text_plans
+
+QUERIES = text_plans.QUERIES | graph_plans.QUERIES | study_plans.QUERIES
+ORACLE_SQL = text_plans.ORACLE_SQL | graph_plans.ORACLE_SQL | study_plans.ORACLE_SQL
 FLAGSHIP = "auc"
