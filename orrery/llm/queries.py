@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, audio, bpe, chat, near_dedup, packing, quality, secrets_scan, urlfilter
+from orrery.llm import ann, audio, bpe, chat, katz, near_dedup, packing, quality, secrets_scan, urlfilter
 from orrery.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_urls": op5_urls,
     "op6_chat": op6_chat,
     "op7_ann": op7_ann,
+    "op8_katz": op8_katz,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
