@@ -162,9 +162,9 @@ def _key_dist(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d).join(_levels(spark, d), ["task", "node"], "left")
 
 
-@query(f"{_DIST} SELECT source, task, node, dist FROM kd")
+@query(f"{_DIST} SELECT source, task, node, CAST(dist AS DOUBLE) AS dist FROM kd")
 def distances(spark: SparkSession, d: str) -> DataFrame:
-    return _key_dist(spark, d).select("source", "task", "node", "dist")
+    return _key_dist(spark, d).select("source", "task", "node", F.col("dist").cast("double").alias("dist"))
 
 
 @query(f"""{_DIST}, h AS (SELECT source, CASE WHEN dist IS NULL THEN 'unreachable' WHEN dist >= 3 THEN '3+' ELSE dist::VARCHAR END AS bucket, count(*) AS n FROM kd GROUP BY ALL)

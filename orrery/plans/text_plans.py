@@ -100,7 +100,7 @@ def bm25_issue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM25}, {_FILES} SELECT task, doc, score / cost AS score FROM bm JOIN files USING (doc)")
 def bm25_issue_pl(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d).join(S.files(spark, d).select("doc", "cost"), "doc").select("task", "doc", F.col("score") / F.col("cost").alias("score"))
+    return _bm25(spark, d).join(S.files(spark, d).select("doc", "cost"), "doc").select("task", "doc", (F.col("score") / F.col("cost")).alias("score"))
 
 
 def _by_score(scores: DataFrame) -> DataFrame:
