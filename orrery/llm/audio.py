@@ -180,7 +180,7 @@ def audio_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def to_tensors(rows: pa.Table) -> pa.Table:
     """The mel lists of an Arrow table as a fixed_shape_tensor column of (WINDOW, MELS)."""
     kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS))
-    flat = rows.column("mel").combine_chunks().flatten()
+    flat = rows.column("mel").combine_chunks().flatten().cast(pa.float32())
     store = pa.FixedSizeListArray.from_arrays(flat, WINDOW * MELS)
     return rows.set_column(rows.schema.get_field_index("mel"), pa.field("mel", kind), pa.ExtensionArray.from_storage(kind, store))
 

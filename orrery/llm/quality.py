@@ -1,6 +1,6 @@
 """Importance resampling: documents weighed by p_target / p_raw and drawn by Gumbel top-k.
 
-Both models are bags of hashed byte n-grams with add-one smoothing: the target model from
+Both models are bags of hashed byte n-grams with smoothed counts: the target model from
 labelled good documents, the raw model from all documents. A document's log weight is the
 sum over its n-grams of the log ratio of the two.
 """
@@ -21,6 +21,8 @@ from orrery.llm.common import slices, stage, utf8
 WIDTH, BITS = 4, 15
 #: Most labelled rows that the target model is fitted on, smallest hashes of doc_id first.
 LABEL_BOUND = 50_000
+#: Pseudo-count of a bucket in the raw model.
+PSEUDO = 2.0
 #: Weights are raised to 1 / TEMPERATURE before the draw; TARGET_LOSS of the labelled good
 #: documents may weigh less than the cut that sets k.
 TEMPERATURE, TARGET_LOSS = 0.25, 0.004
@@ -57,10 +59,15 @@ def fit(docs: DataFrame, good_ids: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
     rows = docs.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.ones(size), np.ones(size)
+    raw, target = np.zeros(size), np.zeros(size)
     for at, r, t in rows:
         raw[at] += r
         target[at] += t
+    if not target.sum():
+        return np.zeros(size)
+    # The target's pseudo-counts are scaled so that a bucket of equal shares weighs nothing.
+    scale = target.sum() / raw.sum()
+    target, raw = target + PSEUDO * scale, raw + PSEUDO
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -98,8 +105,9 @@ def kth_largest(values: DataFrame, k: int, enough: int = 20_000) -> float:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
     """docs with log_weight, gumbel_key and selected: the k documents of largest log w / T + Gumbel noise.
 
-    k is the number of documents that weigh at least as much as all but TARGET_LOSS of the
-    labelled good ones (quality 1, not toxic), so the share drawn follows the corpus.
+    k is the number of documents that the target model explains better than the raw one (log
+    weight 0 or more), or that weigh as much as all but TARGET_LOSS of the labelled good ones
+    (quality 1, not toxic) if that is less; so the share drawn follows the corpus.
 
     Null and empty texts have no n-grams and log weight 0. Ties at the k-th key are all
     drawn; repeated rows get equal keys. Null ids are hashed like any value. Without
@@ -116,7 +124,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     thin = stage(thin, "weights")
     at = F.broadcast(thin.sparkSession.createDataFrame([(int(i),) for i in ids], "doc_id long"))
     cut = thin.join(at, "doc_id", "left_semi").agg(F.percentile("w", F.lit(TARGET_LOSS))).first()[0]
-    k = thin.where(F.col("w") >= cut).count() if cut is not None else 0
+    k = thin.where(F.col("w") >= min(cut, 0.0)).count() if cut is not None else 0
     limit = kth_largest(thin.select("v"), k) if k else float("-inf")
     rest = docs.drop("log_weight", "gumbel_key", "selected")
     out = weigh(rest, ratio, text_col).withColumn("gumbel_key", key).withColumn("selected", F.col("gumbel_key") >= F.lit(limit))
