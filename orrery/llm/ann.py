@@ -2,8 +2,8 @@
 
 Trees are grown on a bounded sample; every vector is indexed. A query walks all trees with
 one priority queue of open branches, nearest to the query's side first, until it has
-popped its share of leaves. Leaves then meet their queries in a join, and candidates are
-scored exactly in double precision. Equal vectors are one entry of the index that carries
+popped its share of leaves. Leaves then meet their queries in a join, the first few popped
+before the rest, and candidates are scored exactly in double precision. Equal vectors are one entry of the index that carries
 its smallest ids, as only those can be among the nearest.
 """
 
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from orrery.llm.common import stage
 
 #: Trees, vectors in a leaf on average, the most levels, and the share of all leaves that a query pops.
-TREES, LEAF, DEEPEST, SHARE = 4, 512, 14, 0.35
+TREES, LEAF, DEEPEST, SHARE = 4, 1024, 14, 0.35
+#: Leaves that are searched before the rest, for a bound on what the rest may report.
+FIRST = 4
 #: Vectors that trees are grown on at most, smallest hashes of the id first.
 SAMPLE = 20_000
 
@@ -116,29 +118,39 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                got = forest.probe(np.array(b.column("v")[i].as_py()), pops)
-                one = b.slice(i, 1)
-                many = pa.array(np.zeros(len(got), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.int32()), pa.array([f for _, f in got], pa.int64()), one.column("rep").take(many), one.column("v").take(many)], ["tree", "leaf", "rep", "v"])
+            for rep, v in zip(b.column("rep").to_pylist(), b.column("v").to_pylist(), strict=True):
+                got = forest.probe(np.array(v), pops)
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.int32()), pa.array([f for _, f in got], pa.int64()), pa.array([rep] * len(got), pa.int64()), pa.array([i < FIRST for i in range(len(got))])], ["tree", "leaf", "rep", "early"])
 
     def score(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        q, c, got = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(members) and len(asked):
-            m, ids = np.stack(members.v.to_numpy()), members.rep.to_numpy()
-            for s in range(0, len(asked), 256):
-                part = asked.iloc[s : s + 256]
-                p = np.stack(part.v.to_numpy()) @ m.T
-                for q, row in zip(part.rep, p, strict=True):
-                    keep = np.arange(len(row)) if len(row) <= k + 1 else np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)])
-                    out.append(pd.DataFrame({"q": q, "c": ids[keep], "score": row[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "score": []}).astype({"q": "int64", "c": "int64", "score": "float64"})
-
-    kinds = "tree int, leaf long, rep long, v array<double>"
-    index = classes.select("rep", "v").mapInArrow(place, kinds)
-    asked = queries.select("rep").distinct().join(classes.select("rep", "v"), "rep").mapInArrow(seek, kinds)
-    found = index.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInPandas(score, "q long, c long, score double")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
+            m, ids, reps, bound = np.stack(members.v.to_numpy()), members.rep.to_numpy(), asked.rep.to_numpy(), asked.bound.to_numpy()
+            for s in range(0, len(asked), 128):
+                p = np.stack(asked.v.iloc[s : s + 128].to_numpy()) @ m.T
+                least = bound[s : s + 128]
+                if p.shape[1] > k + 1:
+                    least = np.maximum(least, np.partition(p, -(k + 1), axis=1)[:, -(k + 1)])
+                i, j = np.nonzero(p >= least[:, None])
+                q.append(reps[s + i])
+                c.append(ids[j])
+                got.append(p[i, j])
+        return pd.DataFrame({"q": np.concatenate(q), "c": np.concatenate(c), "score": np.concatenate(got)})
+
+    index = classes.select("rep", "v").mapInArrow(place, "tree int, leaf long, rep long, v array<double>")
+    entry = queries.select("rep").distinct().join(classes.select("rep", "v"), "rep")
+    probes = stage(entry.mapInArrow(seek, "tree int, leaf long, rep long, early boolean"), "probes")
+
+    def meet(asked: DataFrame) -> DataFrame:
+        asked = asked.join(classes.select("rep", "v"), "rep").select("tree", "leaf", "rep", "v", "bound")
+        return index.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInPandas(score, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
+
+    # The first leaves give each query k + 1 candidates; the others report only what is as near.
+    early = stage(meet(probes.where("early").withColumn("bound", F.lit(float("-inf")))), "early")
+    kth = early.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(f"r = {k + 1}")
+    kth = kth.select(F.col("q").alias("rep"), (F.col("score") - 1e-9 * (1 + F.abs("score"))).alias("bound"))
+    late = meet(probes.where("NOT early").join(kth, "rep", "left").fillna(float("-inf"), ["bound"]))
+    found = early.union(late).groupBy("q", "c").agg(F.max("score").alias("score"))
     # k + 1 classes hold the k nearest, whether the query's own row is among them or not.
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(f"r <= {k + 1}")
     rows = best.join(classes.select(F.col("rep").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
