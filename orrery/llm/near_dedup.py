@@ -14,8 +14,10 @@ How groups stay cheap without losing links:
   links are contracted to components, so a group of n copies costs n links, not n * n.
 * Members of one bucket that are then still in different components are compared with each
   other, but only where their rarest shingles meet (the prefix filter, which is exact),
-  the shingles that each has alone leave room for a link, and a one-byte-per-hash sketch agrees (its cut loses a true link with
-  probability below 1e-9).
+  the shingles that each has alone leave room for a link, and a one-byte-per-hash sketch
+  agrees (its cut loses a true link with probability below 1e-9). Where both have been
+  compared with the same smallest member, the prefix filter takes their differences from
+  it instead of whole sets, so a group of loose copies is not multiplied out.
 """
 
 from __future__ import annotations
@@ -173,8 +175,14 @@ def _in_several(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("g0", F.min("g").over(w)).withColumn("g1", F.max("g").over(w)).where("g0 <> g1").drop("g0", "g1")
 
 
+def _main(rows: DataFrame, group: str, *key: str) -> DataFrame:
+    """Adds main: the group with most rows of a key, so that only the others need meet everything."""
+    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy(*key, group)))
+    return sized.withColumn("main", F.max(F.struct("size", group)).over(Window.partitionBy(*key))[group]).drop("size")
+
+
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(d, n, g, tok, s): the rarest shingles of each document, as many as any link needs.
+    """(d, n, g, c, tok, s): the rarest shingles of each document, as many as any link needs.
 
     Two sets with 100 * common >= percent * union share a shingle among the first
     n - ceil(percent * n / 100) + 1 of each, in any order common to all; here rare ones
@@ -186,13 +194,57 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in slices(batches, "items"):
             items = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("items")]
             sizes = [len(x) for x in items]
-            out = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("d", "n", "g")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.concatenate(items))], ["d", "n", "g", "tok"])
+            out = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("d", "n", "g", "c")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.concatenate(items))], ["d", "n", "g", "c", "tok"])
 
-    flat = docs.join(sets.withColumnRenamed("doc_id", "d"), "d").select("d", "n", "g", "items").mapInArrow(run, "d long, n long, g long, tok long")
+    flat = docs.join(sets.withColumnRenamed("doc_id", "d"), "d").select("d", "n", "g", "c", "items").mapInArrow(run, "d long, n long, g long, c long, tok long")
     seen = flat.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     ranked = flat.join(seen, "tok").withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("df", "tok"))).withColumn("shared", F.count("*").over(Window.partitionBy("d")))
-    return ranked.where(f"n - shared + r <= n - ceil({percent} * n / 100.0D - 1e-9D) + 1").select("d", "n", "g", "tok", F.col("shared").alias("s"))
+    return ranked.where(f"n - shared + r <= n - ceil({percent} * n / 100.0D - 1e-9D) + 1").select("d", "n", "g", "c", "tok", F.col("shared").alias("s"))
+
+
+def _apart(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (x, y) with one centre c but different components, from docs(d, n, g, c, e, nc).
+
+    e is the size of the symmetric difference of the sets of d and c, nc the size of c's
+    set. With k = (100 - percent) / (100 + percent), two sets are linked when their
+    difference has at most h = k * (nx + ny) shingles, so their differences from the
+    centre have at least (ex + ey - h) / 2 in common. At least one of the two is not
+    linked with the centre (else they would be in one component), that is e > k * (n + nc);
+    so what they have in common is never nothing, and the prefix filter works on the
+    differences: short, and distinct where all members of a group share most of their text.
+    """
+    k = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "items"):
+            found = []
+            for own, centre in zip(batch.column("items"), batch.column("centre"), strict=True):
+                x, r = (np.frombuffer(v.as_buffer(), np.uint64) for v in (own, centre))
+                found.append((np.setdiff1d(x, r, True), np.setdiff1d(r, x, True)))
+            sizes = [len(x) + len(y) for x, y in found]
+            out = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("d", "n", "g", "c", "e", "nc")]
+            tok = np.concatenate([v for pair in found for v in pair]).view(np.int64)
+            lost = np.concatenate([np.repeat([0, 1], [len(x), len(y)]) for x, y in found]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(tok), pa.array(lost)], ["d", "n", "g", "c", "e", "nc", "tok", "lost"])
+
+    both = docs.join(sets.withColumnRenamed("doc_id", "d"), "d").join(sets.select(F.col("doc_id").alias("c"), F.col("items").alias("centre")), "c")
+    flat = both.select("d", "n", "g", "c", "e", "nc", "items", "centre").mapInArrow(run, "d long, n long, g long, c long, e long, nc long, tok long, lost long")
+    seen = flat.groupBy("c", "tok").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("d")
+    ranked = flat.join(seen, ["c", "tok"]).withColumn("r", F.row_number().over(own.orderBy("df", "tok")))
+    ranked = ranked.withColumn("sl", F.sum("lost").over(own)).withColumn("sg", F.sum(1 - F.col("lost")).over(own)).withColumn("far", F.expr(f"e > {k!r}D * (n + nc) + 1e-9D"))
+    # At least so much in common with any partner, and with one that is not linked with the centre.
+    ranked = ranked.withColumn("la", F.expr(f"greatest(1, ceil(e - {(100 - percent) / percent!r}D * n - 1e-9D))")).withColumn("lb", F.expr(f"greatest(la, ceil((e + {k!r}D * (nc - n)) / 2 - 1e-9D))"))
+    ranked = ranked.withColumn("at", F.expr("e - sl - sg + r")).withColumn("strict", F.expr("at <= e - lb + 1")).where("strict OR far AND at <= e - la + 1")
+    w = Window.partitionBy("c", "tok")
+    open_ = ranked.withColumn("g0", F.min("g").over(w)).withColumn("g1", F.max("g").over(w)).where("g0 <> g1").select("d", "n", "g", "c", "e", "tok", "sl", "sg", "far", "strict")
+    prefix = stage(_main(open_, "g", "c", "tok"), "apart")
+    side = lambda rows, v: rows.select("c", "tok", *[F.col(a).alias(b + v) for a, b in (("d", ""), ("n", "n"), ("g", "g"), ("e", "e"), ("sl", "sl"), ("sg", "sg"), ("far", "far"), ("strict", "strict"))], *["main"] * (v == "y"))
+    fits = f"2 * (least(slx, sly) + least(sgx, sgy)) >= ex + ey - {k!r}D * (nx + ny) - 1e-9D AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    roles = "(farx AND fary AND strictx AND stricty OR farx AND NOT fary AND stricty OR fary AND NOT farx AND strictx)"
+    cross = side(prefix.where("g <> main"), "x").join(side(prefix, "y"), ["c", "tok"]).where(f"gx <> gy AND (gy = main OR gx < gy) AND {roles} AND {fits}")
+    return cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int = COLLECTION, half: int = HALF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,13 +288,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     # What stars cannot see: links between members, other than the smallest, of one bucket
     # that are still in different components.
     held = member.where("d <> first").join(first.withColumnRenamed("node", "d"), "d", "left").select("k", "d", "n", F.coalesce("component", "d").alias("g"))
-    open_ = stage(_in_several(held, "k").select("d", "n", "g").distinct(), "open")
-    prefix = _in_several(_prefixes(open_, sets, percent), "tok").withColumn("size", F.count("*").over(Window.partitionBy("tok", "g")))
-    prefix = stage(prefix.withColumn("main", F.max(F.struct("size", "g")).over(Window.partitionBy("tok"))["g"]).drop("size"), "prefix")
-    few = prefix.where("g <> main").select("tok", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("s").alias("sx"))
-    rest = prefix.select("tok", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("s").alias("sy"), "main")
-    cross = few.join(rest, "tok").where(f"gx <> gy AND (gy = main OR gx < gy) AND {_shared_fit(percent)}")
-    cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    # Members with one centre (the smallest first member at least half like them) are told apart by
+    # their differences from it, others by their rarest shingles.
+    near = stars.where("2 * common >= total").groupBy(F.col("x").alias("d")).agg(F.min(F.struct("y", F.expr("total - common").alias("e"), F.expr("total + common").alias("both"))).alias("m"))
+    near = near.select("d", F.col("m.y").alias("c"), F.col("m.e").alias("e"), F.col("m.both").alias("both"))
+    # An id of several texts has no one set to take differences from.
+    several = sketches.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("d"))
+    near = near.join(several, "d", "left_anti").join(several.withColumnRenamed("d", "c"), "c", "left_anti")
+    open_ = _in_several(held, "k").select("d", "n", "g").distinct().join(near, "d", "left")
+    open_ = stage(open_.select("d", "n", "g", F.coalesce("c", "d").alias("c"), "e", F.expr("both - n").alias("nc")), "open")
+    prefix = _in_several(_prefixes(open_, sets, percent), "tok")
+    w = Window.partitionBy("tok")
+    prefix = prefix.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).where("c0 <> c1").drop("c0", "c1")
+    prefix = stage(_main(prefix, "c", "tok"), "prefix")
+    few = prefix.where("c <> main").select("tok", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("s").alias("sx"), F.col("c").alias("cx"))
+    rest = prefix.select("tok", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("s").alias("sy"), F.col("c").alias("cy"), "main")
+    cross = few.join(rest, "tok").where(f"gx <> gy AND cx <> cy AND (cy = main OR cx < cy) AND {_shared_fit(percent)}")
+    cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).union(_apart(open_.where("e IS NOT NULL"), sets, percent)).distinct()
     more = stage(_overlaps(_sketches_fit(cross, sketches, cut), sets), "more").where(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
     merged = components(links.union(more))
 

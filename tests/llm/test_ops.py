@@ -69,6 +69,24 @@ def test_near_duplicates(spark, width):
     assert len(lone) == 1 and lone[0].component_id is None and lone[0].kept
 
 
+@pytest.mark.parametrize("most", [8, 14])
+def test_near_duplicates_loose_groups(spark, most):
+    """Copies of one text whose similarities lie around the threshold, so that few are linked with the smallest."""
+    r = random.Random(most)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, few = [word() for _ in range(100)], [word() for _ in range(4)]
+    texts = []
+    for i in range(160):
+        w = base[: 100 - r.randint(0, 6)] if i % 5 else list(base)
+        for _ in range(r.randint(3, most)):
+            w[r.randrange(len(w) // (1 + i % 3))] = word() if i % 2 else r.choice(few)
+        texts.append((r.randrange(10**9) * 1000 + i, " ".join(w)))
+    rows = near_dedup.near_duplicates(docs_of(spark, texts), width=2).collect()
+    want = brute_groups(texts, 2, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == want
+    assert 1 < len({c for _, c in want.values()}) < len(texts)
+
+
 def test_near_duplicates_empty_and_repeated(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [(1, "x")]).where("false")).count() == 0
     rows = near_dedup.near_duplicates(docs_of(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c")]), width=2).collect()
