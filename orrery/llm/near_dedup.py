@@ -38,6 +38,8 @@ from orrery.llm.components import components
 #: 0.8 a pair misses all m * m tables with probability 2 * (1 - 0.8 ** 3) ** 14 < 1e-4,
 #: at 0.85 below 4e-6.
 COLLECTION, HALF = 14, 3
+#: Words of 64 bits in the filter of ids whose sets are wanted: at most 8 MB of keys and bits to broadcast.
+FILTER_WORDS = 1 << 19
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,6 +154,18 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items binary")
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be in ids (all that are, and some others), without a shuffle of texts.
+
+    A Bloom filter of one hash: FILTER_WORDS words of 64 bits, made by an aggregation and
+    broadcast as a table of at most FILTER_WORDS rows of two numbers, however many ids there are.
+    """
+    place = [f"CAST(pmod(h, {FILTER_WORDS}) AS LONG) AS w", "shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT)) AS bit"]
+    words_ = ids.select(F.xxhash64("doc_id").alias("h")).selectExpr(*place).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).selectExpr("doc_id", "text", *place)
+    return marked.join(F.broadcast(words_), "w").where("bits & bit <> 0").select("doc_id", "text")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, common, total): exact sizes of intersection and union of each pair's shingle sets."""
     both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("tx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("items").alias("ty")), "y")
@@ -276,7 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     cut = sketch_cut(2 * m * half, percent)
     sketches = vertex.select("doc_id", "sk").join(member.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sketches = stage(sketches, "sketches")
-    sets = stage(_set_table(docs.join(sketches.select("doc_id").distinct(), "doc_id", "left_semi"), width), "sets")
+    sets = stage(_set_table(_likely(docs, sketches.select("doc_id")), width), "sets")
 
     # Every member against the smallest member of its bucket.
     stars = member.where("d <> first").select(F.col("d").alias("x"), F.col("first").alias("y")).distinct()
