@@ -11,18 +11,22 @@ arrays. A bucket knows c(w) and c(h, w) of its words and writes, into one staged
 * per document and history: the tokens whose bigram is unknown.
 
 Counts of counts, histories and documents are then summed from that table.
+
+A word that holds a bucket's share of all tokens is split over buckets by its history, a bigram
+that does so by the row. Two light passes over the texts find these words and bigrams and count
+them exactly beforehand (`frequent`); at most two words and two bigrams per bucket can be such.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import mix, slices, stage, word_hashes, words
@@ -30,6 +34,8 @@ from orrery.llm.common import mix, slices, stage, word_hashes, words
 #: Counts up to CUT are discounted by Good-Turing; larger ones keep LARGE of themselves, so that
 #: every history has something to give to unseen words. Text bytes that a bucket holds on average.
 CUT, LARGE, BUCKET_BYTES = 5, 0.999, 16 << 20
+#: Tokens that a worker counts before it reports the frequent ones; histories that may be broadcast.
+UNIT, MOST_BROADCAST = 4 << 20, 200_000
 #: Documents whose remainder is HELD are scored only.
 FOLDS, HELD = 7, 2
 START, END = np.uint64(0x51ED270B0A7CF9E1), np.uint64(0xE4D1A7F05C3B9A65)
@@ -67,13 +73,117 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32)
 
 
-def deal(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _hashed(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Start, words and end of each text."""
+    return [np.concatenate([[START], word_hashes(words(t)), [END]]).astype(np.uint64) for t in batch.column("text").to_pylist()]
+
+
+def _pair(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether x is there."""
+    if not len(keys):
+        return np.zeros(len(x), int), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+class Frequent:
+    """Words and bigrams that buckets share, sorted, with their exact counts in training documents."""
+
+    def __init__(self, w: np.ndarray, pw: np.ndarray, ph: np.ndarray) -> None:
+        self.w = np.sort(w.astype(np.uint64))
+        key = _pair(pw.astype(np.uint64), ph.astype(np.uint64))
+        order = np.argsort(key)
+        self.pair, self.pw, self.ph = key[order], pw.astype(np.uint64)[order], ph.astype(np.uint64)[order]
+        self.cw, self.cp = np.zeros(len(self.w), np.int64), np.zeros(len(key), np.int64)
+
+    def rows(self) -> pa.Table:
+        """What buckets leave out: histories' sums over these bigrams, and counts of counts."""
+        seen = self.cp > 0
+        cp, cw = self.cp[seen], self.cw[_find(self.w, self.pw[seen])[0]] if seen.any() else self.cp[:0]
+        hist = _rows(1, self.ph[seen].view(np.int64), cols=_history(cp, cw, lambda x: x.astype(np.int64)))
+        return pa.concat_tables([hist, _rows(3, np.zeros(1), cols=_counts_of_counts(self.cp, self.cw))])
+
+
+def frequent(docs: DataFrame, n_buckets: int) -> Frequent:
+    """Every word and bigram with 1 / n_buckets of all tokens or more, at most 2 * n_buckets of each.
+
+    A worker reports what holds half that share of a unit of its tokens; what goes unreported adds
+    up to less than the other half, so nothing is missed where reports reach half the share in all.
+    """
+    spark = docs.sparkSession
+    none = np.zeros(0, np.uint64)
+    if n_buckets == 1:
+        return Frequent(none, none, none)
+
+    def report(parts: list[tuple[np.ndarray, ...]], tokens: int) -> Iterator[pa.RecordBatch]:
+        w, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for kind, key in ((0, w), (1, _pair(w, h))):
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
+            count = np.rint(np.bincount(at, weights=n)).astype(np.int64)
+            keep = count * 2 * n_buckets >= tokens
+            first, count = first[keep], count[keep]
+            hist = h[first] if kind else np.zeros(len(first), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind), pa.int8()), pa.array(w[first].view(np.int64)), pa.array(hist.view(np.int64)), pa.array(count)], ["kind", "w", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([tokens], pa.int64())], ["kind", "w", "h", "n"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, tokens = [], 0
+        for batch in slices(batches, "text"):
+            hashed = _hashed(batch)
+            w, h = np.concatenate([x[1:] for x in hashed]), np.concatenate([x[:-1] for x in hashed])
+            _, first, n = np.unique(_pair(w, h), return_index=True, return_counts=True)
+            parts.append((w[first], h[first], n))
+            tokens += len(w)
+            if tokens >= UNIT:
+                yield from report(parts, tokens)
+                parts, tokens = [], 0
+        if tokens:
+            yield from report(parts, tokens)
+
+    names = "kind byte, w long, h long, n long"
+    total = lambda f: docs.mapInArrow(f, names).groupBy("kind", "w", "h").agg(F.sum("n").alias("n"))
+    reported = stage(total(propose), "reports")
+    tokens = reported.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    got = reported.where(F.col("kind") < 2).where(F.col("n") * 2 * n_buckets >= tokens).select("kind", "w", "h").toArrow()
+    kind, w, h = (got.column(i).to_numpy() for i in range(3))
+    out = Frequent(w[kind == 0].view(np.uint64), w[kind == 1].view(np.uint64), h[kind == 1].view(np.uint64))
+    keys, pairs, pw, ph = out.w, out.pair, out.pw, out.ph
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cw, cp = np.zeros(len(keys), np.int64), np.zeros(len(pairs), np.int64)
+        for batch in slices(batches, "text"):
+            batch = batch.filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
+            hashed = _hashed(batch)
+            if hashed:
+                w, h = np.concatenate([x[1:] for x in hashed]), np.concatenate([x[:-1] for x in hashed])
+                at, there = _find(keys, w)
+                cw += np.bincount(at[there], minlength=len(keys))
+                at, there = _find(pairs, _pair(w[there], h[there]))
+                cp += np.bincount(at[there], minlength=len(pairs))
+        a, b = np.flatnonzero(cw), np.flatnonzero(cp)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(a), len(b)]), pa.int8()), pa.array(np.concatenate([keys[a], pw[b]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(a), np.uint64), ph[b]]).view(np.int64)), pa.array(np.concatenate([cw[a], cp[b]]))], ["kind", "w", "h", "n"])
+
+    if len(keys):
+        got = total(count).toArrow()
+        kind, w, h, n = (got.column(i).to_numpy() for i in range(4))
+        w, h = w.view(np.uint64), h.view(np.uint64)
+        out.cw[_find(keys, w[kind == 0])[0]] = n[kind == 0]
+        if len(pairs):
+            out.cp[_find(pairs, _pair(w[kind == 1], h[kind == 1]))[0]] = n[kind == 1]
+    return out
+
+
+def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
     """(bucket, data): the tokens of slices of documents, packed for each bucket of predicted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
-            hashed = [np.concatenate([[START], word_hashes(words(t)), [END]]).astype(np.uint64) for t in batch.column("text").to_pylist()]
+            hashed = _hashed(batch)
             d = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in hashed])
             vocab, at = np.unique(np.concatenate(hashed), return_inverse=True)
             first = np.cumsum([0, *(len(x) for x in hashed)])
@@ -86,8 +196,12 @@ def deal(docs: DataFrame, n_buckets: int) -> DataFrame:
             cut = np.flatnonzero(new)
             count = np.diff(np.concatenate([cut, [len(w)]]))
             w, h, d = w[cut], h[cut], d[cut]
-            bucket = (mix(vocab) % np.uint64(n_buckets)).astype(np.int64)[w]
             doc_ids = np.array([_NULL if i is None else i for i in ids], np.int64)
+            salt = vocab[w]
+            split = np.flatnonzero(_find(shared.w, vocab)[1][w])
+            pair = _pair(vocab[w[split]], vocab[h[split]])
+            salt[split] = np.where(_find(shared.pair, pair)[1], mix(pair + d[split].astype(np.uint64) + mix(doc_ids.view(np.uint64)[d[split]])), pair)
+            bucket = (mix(salt) % np.uint64(n_buckets)).astype(np.int64)
             held = np.array([held_out(i) for i in ids], np.uint8)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [-1]])))
@@ -112,8 +226,18 @@ def _rows(kind: int, k1: np.ndarray, k2: np.ndarray | None = None, lb: np.ndarra
     return pa.table(own, names=["kind", "k1", "k2", "lb", "ls", *_COLS])
 
 
-def count_bucket(rows: pa.Table) -> pa.Table:
-    """What one bucket of words adds to the four kinds of sums."""
+def _history(pb: np.ndarray, pw: np.ndarray, per: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """The columns of histories from counts of their bigrams and of the words these predict."""
+    one = lambda c: [*(per(c == r) for r in range(1, CUT + 1)), per(np.where(c > CUT, c, 0))]
+    return one(pb) + one(pw)
+
+
+def _counts_of_counts(cp: np.ndarray, cw: np.ndarray) -> list[np.ndarray]:
+    return [np.array([x]) for x in (*((c == r).sum() for c in (cp, cw) for r in range(1, CUT + 2)), cw.sum(), (cw > 0).sum())]
+
+
+def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
+    """What one bucket of words adds to the four kinds of sums; shared words and bigrams count as they do in all buckets."""
     parts = [_unpack(x.as_py()) for x in rows.column("data")]
     doc = np.concatenate([p[0][p[4]] for p in parts])
     held = np.concatenate([p[1][p[4]] for p in parts]).astype(bool)
@@ -123,13 +247,15 @@ def count_bucket(rows: pa.Table) -> pa.Table:
     del parts
     is_end = w == END
     uw, iw = np.unique(w, return_inverse=True)
-    del w
     train = np.where(held, 0, c)
     cw = np.rint(np.bincount(iw, weights=train, minlength=len(uw))).astype(np.int64)
-    pair = mix(h * np.uint64(0x9E3779B97F4A7C15) + iw.astype(np.uint64))
-    up, where, ip = np.unique(pair, return_index=True, return_inverse=True)
-    del pair
+    up, where, ip = np.unique(_pair(w, h), return_index=True, return_inverse=True)
+    del w
     cp = np.rint(np.bincount(ip, weights=train, minlength=len(up))).astype(np.int64)
+    at, split_w = _find(shared.w, uw)
+    cw[split_w] = shared.cw[at[split_w]]
+    at, split_p = _find(shared.pair, up)
+    cp[split_p] = shared.cp[at[split_p]]
 
     # Documents.
     ud, idd = np.unique(doc, return_inverse=True)
@@ -147,15 +273,12 @@ def count_bucket(rows: pa.Table) -> pa.Table:
     out.append(_rows(2, doc[at], h[at].view(np.int64), cols=[c[at]]))
 
     # Histories, from the distinct training bigrams.
-    known = np.flatnonzero(cp > 0)
+    known = np.flatnonzero((cp > 0) & ~split_p)
     hh, pw, pb = h[where[known]], cw[iw[where[known]]], cp[known]
     uh, ih = np.unique(hh, return_inverse=True)
-    per_h = lambda x: np.bincount(ih, weights=x, minlength=len(uh))
-    cols = [*(per_h(pb == r) for r in range(1, CUT + 1)), per_h(np.where(pb > CUT, pb, 0)), *(per_h(pw == r) for r in range(1, CUT + 1)), per_h(np.where(pw > CUT, pw, 0))]
+    cols = _history(pb, pw, lambda x: np.bincount(ih, weights=x, minlength=len(uh)))
     out.append(_rows(1, uh.view(np.int64), cols=cols))
-
-    stat = [[(cp == r).sum()] for r in range(1, CUT + 2)] + [[(cw == r).sum()] for r in range(1, CUT + 2)] + [[cw.sum()], [(cw > 0).sum()]]
-    out.append(_rows(3, np.zeros(1), cols=[np.array(x) for x in stat]))
+    out.append(_rows(3, np.zeros(1), cols=_counts_of_counts(cp[~split_p], cw[~split_w])))
     return pa.concat_tables(out)
 
 
@@ -183,9 +306,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result; other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A document's end takes room too.
+    size = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
-    kept = stage(deal(d, n_buckets).groupBy("bucket").applyInArrow(count_bucket, SCHEMA), "counts")
+    shared = frequent(d, n_buckets)
+    counted = deal(d, n_buckets, shared).groupBy("bucket").applyInArrow(lambda rows: count_bucket(rows, shared), SCHEMA)
+    spark: SparkSession = d.sparkSession
+    kept = stage(counted, "counts").unionByName(spark.createDataFrame(shared.rows(), SCHEMA))
 
     def kind(k: int, names: list[str]) -> DataFrame:
         return kept.where(F.col("kind") == k).select("k1", "k2", "lb", "ls", *(F.col(c).alias(n) for c, n in zip(_COLS, names, strict=False)))
@@ -210,7 +337,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hist = hist.select(F.col("k1").alias("h"), (F.log10(given) - F.log10(unseen)).alias("back"), count.alias("c_h"))
     begun = hist.where(F.col("h") == int(START.view(np.int64))).select("c_h").first()
     miss = kind(2, ["c"]).select(F.col("k1").alias("doc_id"), F.col("k2").alias("h"), "c")
-    extra = miss.join(hist, "h").groupBy("doc_id").agg(F.sum(F.col("c") * F.col("back")).alias("extra"))
+    if len(shared.w) < MOST_BROADCAST:
+        # Histories that hold much of the table don't go through a shuffle.
+        often = F.broadcast(spark.createDataFrame([(int(h),) for h in (*shared.w.view(np.int64), START.view(np.int64))], "h long"))
+        few = miss.join(F.broadcast(hist.join(often, "h", "left_semi")), "h")
+        found = few.unionByName(miss.join(often, "h", "left_anti").join(hist, "h"))
+    else:
+        found = miss.join(hist, "h")
+    extra = found.groupBy("doc_id").agg(F.sum(F.col("c") * F.col("back")).alias("extra"))
 
     doc = kind(0, _DOC).groupBy(F.col("k1").alias("doc_id")).agg(F.sum("lb").alias("lb"), F.sum("ls").alias("ls"), *added(_DOC))
     logs = lambda values: [math.log10(v) if v > 0 else 0.0 for v in values]

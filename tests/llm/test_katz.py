@@ -57,5 +57,27 @@ def test_against_brute_force(spark, bucket_bytes):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-8)
 
 
+def test_frequent_words_are_split(spark):
+    """Words and bigrams that hold a bucket's share are found, counted exactly and spread over buckets."""
+    texts = [(i, "the end of the line" if i % 3 else "the only x%d y%d" % (i, i * 7)) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    shared = katz.frequent(df, 20)
+    toks = {i: ["<s>", *t.encode().split(), "</s>"] for i, t in texts}
+    uni, bi = Counter(), Counter()
+    for t in toks.values():
+        uni.update(t[1:])
+        bi.update(zip(t[:-1], t[1:]))
+    total = sum(uni.values())
+    least = lambda c: sum(n * 20 >= total for n in c.values())
+    assert least(uni) <= len(shared.w) <= 40 and least(bi) <= len(shared.pair) <= 40
+    train = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert max(shared.cw) == sum(t.count(b"the") for t in train) and len(train) in shared.cw
+    held = katz.deal(df, 20, shared).groupBy("bucket").count().collect()
+    assert len(held) == 20
+    want, _ = brute(texts)
+    for r in katz.score_documents(df, bucket_bytes=600).collect():
+        assert (r.n_tokens, r.n_known) == want[r.doc_id][1:3] and r.score == pytest.approx(want[r.doc_id][4], rel=1e-8)
+
+
 def test_empty(spark):
     assert katz.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
