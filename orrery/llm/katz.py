@@ -33,7 +33,7 @@ from orrery.llm.common import mix, slices, stage, word_hashes, words
 
 #: Counts up to CUT are discounted by Good-Turing; larger ones keep LARGE of themselves, so that
 #: every history has something to give to unseen words. Text bytes that a bucket holds on average.
-CUT, LARGE, BUCKET_BYTES = 5, 0.999, 16 << 20
+CUT, LARGE, BUCKET_BYTES = 5, 0.999, 8 << 20
 #: Tokens that a worker counts before it reports the frequent ones; histories that may be broadcast.
 UNIT, MOST_BROADCAST = 4 << 20, 200_000
 #: Documents whose remainder is HELD are scored only.
@@ -243,13 +243,15 @@ def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     held = np.concatenate([p[1][p[4]] for p in parts]).astype(bool)
     w = np.concatenate([p[2][p[5]] for p in parts])
     h = np.concatenate([p[3][p[6]] for p in parts])
-    c = np.concatenate([p[7].astype(np.int64) for p in parts])
+    c = np.concatenate([p[7].astype(np.uint32) for p in parts])
     del parts
     is_end = w == END
     uw, iw = np.unique(w, return_inverse=True)
     train = np.where(held, 0, c)
     cw = np.rint(np.bincount(iw, weights=train, minlength=len(uw))).astype(np.int64)
+    iw = iw.astype(np.int32)
     up, where, ip = np.unique(_pair(w, h), return_index=True, return_inverse=True)
+    ip = ip.astype(np.int32)
     del w
     cp = np.rint(np.bincount(ip, weights=train, minlength=len(up))).astype(np.int64)
     at, split_w = _find(shared.w, uw)
@@ -258,7 +260,9 @@ def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     cp[split_p] = shared.cp[at[split_p]]
 
     # Documents.
+    del train
     ud, idd = np.unique(doc, return_inverse=True)
+    idd = idd.astype(np.int32)
     per = lambda x: np.bincount(idd, weights=x, minlength=len(ud))
     wc, pc = cw[iw], cp[ip]
     seen = pc > 0
