@@ -12,9 +12,10 @@ arrays. A bucket knows c(w) and c(h, w) of its words and writes, into one staged
 
 Counts of counts, histories and documents are then summed from that table.
 
-A word that holds a bucket's share of all tokens is split over buckets by its history, a bigram
-that does so by the row. Two light passes over the texts find these words and bigrams and count
-them exactly beforehand (`frequent`); at most two words and two bigrams per bucket can be such.
+Two light passes over the texts find the frequent words and bigrams beforehand and count them
+exactly (`frequent`): those with one of max(SHARES, buckets) equal shares of all tokens, of which
+there can be two for each share at most. Frequent bigrams are scored where their text is read and
+never shuffled; other bigrams of a frequent word are split over buckets by their history.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from orrery.llm.common import mix, slices, stage, word_hashes, words
 #: Counts up to CUT are discounted by Good-Turing; larger ones keep LARGE of themselves, so that
 #: every history has something to give to unseen words. Text bytes that a bucket holds on average.
 CUT, LARGE, BUCKET_BYTES = 5, 0.999, 8 << 20
-#: Tokens that a worker counts before it reports the frequent ones; histories that may be broadcast.
-UNIT, MOST_BROADCAST = 4 << 20, 200_000
+#: Tokens that a worker counts before it reports the frequent ones; least number of shares.
+UNIT, SHARES = 2 << 20, 1 << 18
+#: Histories that follow less than 1 / OFTEN of all tokens are joined by a shuffle, the others (OFTEN at most) by broadcast.
+OFTEN = 4096
 #: Documents whose remainder is HELD are scored only.
 FOLDS, HELD = 7, 2
 START, END = np.uint64(0x51ED270B0A7CF9E1), np.uint64(0xE4D1A7F05C3B9A65)
@@ -91,7 +94,7 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Frequent:
-    """Words and bigrams that buckets share, sorted, with their exact counts in training documents."""
+    """Words and bigrams that all workers know, sorted, with their exact counts in training documents."""
 
     def __init__(self, w: np.ndarray, pw: np.ndarray, ph: np.ndarray) -> None:
         self.w = np.sort(w.astype(np.uint64))
@@ -104,27 +107,24 @@ class Frequent:
         """What buckets leave out: histories' sums over these bigrams, and counts of counts."""
         seen = self.cp > 0
         cp, cw = self.cp[seen], self.cw[_find(self.w, self.pw[seen])[0]] if seen.any() else self.cp[:0]
-        hist = _rows(1, self.ph[seen].view(np.int64), cols=_history(cp, cw, lambda x: x.astype(np.int64)))
+        uh, ih = np.unique(self.ph[seen], return_inverse=True)
+        hist = _rows(1, uh.view(np.int64), cols=_history(cp, cw, lambda x: np.bincount(ih, weights=x, minlength=len(uh))))
         return pa.concat_tables([hist, _rows(3, np.zeros(1), cols=_counts_of_counts(self.cp, self.cw))])
 
 
-def frequent(docs: DataFrame, n_buckets: int) -> Frequent:
-    """Every word and bigram with 1 / n_buckets of all tokens or more, at most 2 * n_buckets of each.
+def frequent(docs: DataFrame, shares: int) -> Frequent:
+    """Every word and bigram with 1 / shares of all tokens or more, at most 2 * shares of each.
 
     A worker reports what holds half that share of a unit of its tokens; what goes unreported adds
     up to less than the other half, so nothing is missed where reports reach half the share in all.
     """
-    spark = docs.sparkSession
-    none = np.zeros(0, np.uint64)
-    if n_buckets == 1:
-        return Frequent(none, none, none)
 
     def report(parts: list[tuple[np.ndarray, ...]], tokens: int) -> Iterator[pa.RecordBatch]:
         w, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         for kind, key in ((0, w), (1, _pair(w, h))):
             _, first, at = np.unique(key, return_index=True, return_inverse=True)
             count = np.rint(np.bincount(at, weights=n)).astype(np.int64)
-            keep = count * 2 * n_buckets >= tokens
+            keep = count * 2 * shares >= tokens
             first, count = first[keep], count[keep]
             hist = h[first] if kind else np.zeros(len(first), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind), pa.int8()), pa.array(w[first].view(np.int64)), pa.array(hist.view(np.int64)), pa.array(count)], ["kind", "w", "h", "n"])
@@ -148,7 +148,7 @@ def frequent(docs: DataFrame, n_buckets: int) -> Frequent:
     total = lambda f: docs.mapInArrow(f, names).groupBy("kind", "w", "h").agg(F.sum("n").alias("n"))
     reported = stage(total(propose), "reports")
     tokens = reported.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    got = reported.where(F.col("kind") < 2).where(F.col("n") * 2 * n_buckets >= tokens).select("kind", "w", "h").toArrow()
+    got = reported.where(F.col("kind") < 2).where(F.col("n") * 2 * shares >= tokens).select("kind", "w", "h").toArrow()
     kind, w, h = (got.column(i).to_numpy() for i in range(3))
     out = Frequent(w[kind == 0].view(np.uint64), w[kind == 1].view(np.uint64), h[kind == 1].view(np.uint64))
     keys, pairs, pw, ph = out.w, out.pair, out.pw, out.ph
@@ -178,7 +178,10 @@ def frequent(docs: DataFrame, n_buckets: int) -> Frequent:
 
 
 def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
-    """(bucket, data): the tokens of slices of documents, packed for each bucket of predicted words."""
+    """(bucket, ready, data): the tokens of slices of documents, packed for each bucket of predicted words.
+
+    Ready data are rows of the staged table: what frequent bigrams add to documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -197,25 +200,40 @@ def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
             count = np.diff(np.concatenate([cut, [len(w)]]))
             w, h, d = w[cut], h[cut], d[cut]
             doc_ids = np.array([_NULL if i is None else i for i in ids], np.int64)
-            salt = vocab[w]
             split = np.flatnonzero(_find(shared.w, vocab)[1][w])
-            pair = _pair(vocab[w[split]], vocab[h[split]])
-            salt[split] = np.where(_find(shared.pair, pair)[1], mix(pair + d[split].astype(np.uint64) + mix(doc_ids.view(np.uint64)[d[split]])), pair)
+            uw, uh = vocab[w[split]], vocab[h[split]]
+            pair = _pair(uw, uh)
+            at, there = _find(shared.pair, pair)
+            own = split[there]
+            numbers, ready, data = [], [], []
+            if len(own):
+                known = pa.concat_tables(_documents(doc_ids[d[own]], uw[there] == END, uh[there], count[own].astype(np.int64), shared.cw[_find(shared.w, uw[there])[0]], shared.cp[at[there]]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, known.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(known)
+                numbers.append(int(mix(np.uint64([len(ids)]) + doc_ids[:1].view(np.uint64))[0] % np.uint64(n_buckets)))
+                ready.append(True)
+                data.append(sink.getvalue().to_pybytes())
+            salt = vocab[w]
+            salt[split] = pair
+            rest = np.ones(len(w), bool)
+            rest[own] = False
+            w, h, d, count, salt = w[rest], h[rest], d[rest], count[rest], salt[rest]
             bucket = (mix(salt) % np.uint64(n_buckets)).astype(np.int64)
             held = np.array([held_out(i) for i in ids], np.uint8)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [-1]])))
-            numbers, data = [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = order[a:b]
                 uw, iw = np.unique(w[part], return_inverse=True)
                 uh, ih = np.unique(h[part], return_inverse=True)
                 ud, idd = np.unique(d[part], return_inverse=True)
                 numbers.append(int(bucket[part[0]]))
+                ready.append(False)
                 data.append(_pack(doc_ids[ud], held[ud], vocab[uw], vocab[uh], _small(idd), _small(iw), _small(ih), _small(count[part])))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(ready, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "ready", "data"])
 
-    return docs.mapInArrow(run, "bucket int, data binary")
+    return docs.mapInArrow(run, "bucket int, ready boolean, data binary")
 
 
 def _rows(kind: int, k1: np.ndarray, k2: np.ndarray | None = None, lb: np.ndarray | None = None, ls: np.ndarray | None = None, cols: list[np.ndarray] | None = None) -> pa.Table:
@@ -236,9 +254,30 @@ def _counts_of_counts(cp: np.ndarray, cw: np.ndarray) -> list[np.ndarray]:
     return [np.array([x]) for x in (*((c == r).sum() for c in (cp, cw) for r in range(1, CUT + 2)), cw.sum(), (cw > 0).sum())]
 
 
+def _documents(doc: np.ndarray, is_end: np.ndarray, h: np.ndarray, c: np.ndarray, wc: np.ndarray, pc: np.ndarray) -> list[pa.Table]:
+    """What tokens add to their documents, and their unknown bigrams by document and history.
+
+    c: how often the row's bigram is in the document; wc, pc: how often its word and itself are in training.
+    """
+    ud, idd = np.unique(doc, return_inverse=True)
+    per = lambda x: np.bincount(idd, weights=x, minlength=len(ud))
+    seen = pc > 0
+    log = lambda x: np.log10(np.maximum(x, 1))
+    ls = np.where(pc > CUT, c * log(pc), 0.0) - np.where((wc > 0) & ~is_end, c * log(wc), 0.0) + np.where(~seen & (wc > CUT), c * log(wc), 0.0)
+    only = lambda which: per(np.where(which, c, 0))
+    cols = [per(c), only(wc > 0), only(h == START), *(only(pc == r) for r in range(1, CUT + 1)), only(pc > CUT), *(only(~seen & (wc == r)) for r in range(CUT + 1)), only(~seen & (wc > CUT))]
+    at = np.flatnonzero(~seen)
+    return [_rows(0, ud, None, per(c * np.log10(wc + 1.0)), per(ls), cols), _rows(2, doc[at], h[at].view(np.int64), cols=[c[at]])]
+
+
 def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     """What one bucket of words adds to the four kinds of sums; shared words and bigrams count as they do in all buckets."""
-    parts = [_unpack(x.as_py()) for x in rows.column("data")]
+    ready = rows.column("ready").to_pylist()
+    data = rows.column("data")
+    out = [pa.ipc.open_stream(x.as_buffer()).read_all() for x, r in zip(data, ready, strict=True) if r]
+    parts = [_unpack(x.as_py()) for x, r in zip(data, ready, strict=True) if not r]
+    if not parts:
+        return pa.concat_tables(out)
     doc = np.concatenate([p[0][p[4]] for p in parts])
     held = np.concatenate([p[1][p[4]] for p in parts]).astype(bool)
     w = np.concatenate([p[2][p[5]] for p in parts])
@@ -259,22 +298,10 @@ def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     at, split_p = _find(shared.pair, up)
     cp[split_p] = shared.cp[at[split_p]]
 
-    # Documents.
     del train
-    ud, idd = np.unique(doc, return_inverse=True)
-    idd = idd.astype(np.int32)
-    per = lambda x: np.bincount(idd, weights=x, minlength=len(ud))
     wc, pc = cw[iw], cp[ip]
-    seen = pc > 0
-    log = lambda x: np.log10(np.maximum(x, 1))
-    ls = np.where(pc > CUT, c * log(pc), 0.0) - np.where((wc > 0) & ~is_end, c * log(wc), 0.0) + np.where(~seen & (wc > CUT), c * log(wc), 0.0)
-    only = lambda which: per(np.where(which, c, 0))
-    cols = [per(c), only(wc > 0), only(h == START), *(only(pc == r) for r in range(1, CUT + 1)), only(pc > CUT), *(only(~seen & (wc == r)) for r in range(CUT + 1)), only(~seen & (wc > CUT))]
-    out = [_rows(0, ud, None, per(c * np.log10(wc + 1.0)), per(ls), cols)]
-
-    # Unknown bigrams, by document and history.
-    at = np.flatnonzero(~seen)
-    out.append(_rows(2, doc[at], h[at].view(np.int64), cols=[c[at]]))
+    out += _documents(doc, is_end, h, c, wc, pc)
+    del doc, wc, pc
 
     # Histories, from the distinct training bigrams.
     known = np.flatnonzero((cp > 0) & ~split_p)
@@ -297,7 +324,7 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, shares: int = SHARES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per doc_id.
 
     Tokens are words, A-Z lower-cased, and one end per document; a history is the word before,
@@ -313,7 +340,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A document's end takes room too.
     size = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
-    shared = frequent(d, n_buckets)
+    shared = frequent(d, max(shares, n_buckets))
     counted = deal(d, n_buckets, shared).groupBy("bucket").applyInArrow(lambda rows: count_bucket(rows, shared), SCHEMA)
     spark: SparkSession = d.sparkSession
     kept = stage(counted, "counts").unionByName(spark.createDataFrame(shared.rows(), SCHEMA))
@@ -341,13 +368,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hist = hist.select(F.col("k1").alias("h"), (F.log10(given) - F.log10(unseen)).alias("back"), count.alias("c_h"))
     begun = hist.where(F.col("h") == int(START.view(np.int64))).select("c_h").first()
     miss = kind(2, ["c"]).select(F.col("k1").alias("doc_id"), F.col("k2").alias("h"), "c")
-    if len(shared.w) < MOST_BROADCAST:
-        # Histories that hold much of the table don't go through a shuffle.
-        often = F.broadcast(spark.createDataFrame([(int(h),) for h in (*shared.w.view(np.int64), START.view(np.int64))], "h long"))
-        few = miss.join(F.broadcast(hist.join(often, "h", "left_semi")), "h")
-        found = few.unionByName(miss.join(often, "h", "left_anti").join(hist, "h"))
-    else:
-        found = miss.join(hist, "h")
+    # Histories that hold much of the table don't go through a shuffle.
+    heavy = np.append(shared.w[shared.cw * OFTEN >= max(n_all, 1)], START).view(np.int64)
+    often = F.broadcast(spark.createDataFrame(pa.table({"h": heavy})))
+    few = miss.join(F.broadcast(hist.join(often, "h", "left_semi")), "h")
+    found = few.unionByName(miss.join(often, "h", "left_anti").join(hist, "h"))
     extra = found.groupBy("doc_id").agg(F.sum(F.col("c") * F.col("back")).alias("extra"))
 
     doc = kind(0, _DOC).groupBy(F.col("k1").alias("doc_id")).agg(F.sum("lb").alias("lb"), F.sum("ls").alias("ls"), *added(_DOC))

@@ -44,12 +44,12 @@ def brute(texts):
     return {i: (held[i], len(t) - 1, sum(uni[w] > 0 for w in t[1:]), sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t[1:]), sum(math.log10(prob(h, w)) for h, w in zip(t[:-1], t[1:]))) for i, t in toks.items()}, n
 
 
-@pytest.mark.parametrize("bucket_bytes", [1 << 20, 200])
-def test_against_brute_force(spark, bucket_bytes):
+@pytest.mark.parametrize("bucket_bytes, shares", [(1 << 20, 1), (200, 1), (4000, 40), (1 << 20, 1 << 18)])
+def test_against_brute_force(spark, bucket_bytes, shares):
     texts = [(i, " ".join(f"w{(i * j * j + j) % (5 + i % 11)}" for j in range(i % 30)) + (" The the END x%d" % (i % 3)) * (i % 4)) for i in range(60)] + [(60, None), (61, ""), (62, "never seen words here"), (63, "a " * 4000)]
     want, n = brute(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in katz.score_documents(df, bucket_bytes=bucket_bytes).collect()}
+    got = {r.doc_id: r for r in katz.score_documents(df, bucket_bytes=bucket_bytes, shares=shares).collect()}
     assert got.keys() == want.keys()
     for i, (held, toks, known, base, score) in want.items():
         r = got[i]
@@ -75,7 +75,7 @@ def test_frequent_words_are_split(spark):
     held = katz.deal(df, 20, shared).groupBy("bucket").count().collect()
     assert len(held) == 20
     want, _ = brute(texts)
-    for r in katz.score_documents(df, bucket_bytes=600).collect():
+    for r in katz.score_documents(df, bucket_bytes=600, shares=1).collect():
         assert (r.n_tokens, r.n_known) == want[r.doc_id][1:3] and r.score == pytest.approx(want[r.doc_id][4], rel=1e-8)
 
 
