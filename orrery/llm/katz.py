@@ -177,6 +177,16 @@ def frequent(docs: DataFrame, shares: int) -> Frequent:
     return out
 
 
+def _encode(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes as steps between places in sorted common ones, and those that aren't there."""
+    at, there = _find(common, hashes)
+    return _small(np.diff(at[there], prepend=0)), hashes[~there]
+
+
+def _decode(steps: np.ndarray, rest: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([common[np.cumsum(steps, dtype=np.int64)], rest]))
+
+
 def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
     """(bucket, ready, data): the tokens of slices of documents, packed for each bucket of predicted words.
 
@@ -230,7 +240,7 @@ def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
                 ud, idd = np.unique(d[part], return_inverse=True)
                 numbers.append(int(bucket[part[0]]))
                 ready.append(False)
-                data.append(_pack(doc_ids[ud], held[ud], vocab[uw], vocab[uh], _small(idd), _small(iw), _small(ih), _small(count[part])))
+                data.append(_pack(np.diff(doc_ids[ud], prepend=np.int64(0)), held[ud], *_encode(vocab[uw], shared.w), *_encode(vocab[uh], shared.w), _small(idd), _small(iw), _small(ih), _small(count[part])))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(ready, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "ready", "data"])
 
     return docs.mapInArrow(run, "bucket int, ready boolean, data binary")
@@ -278,11 +288,11 @@ def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     parts = [_unpack(x.as_py()) for x, r in zip(data, ready, strict=True) if not r]
     if not parts:
         return pa.concat_tables(out)
-    doc = np.concatenate([p[0][p[4]] for p in parts])
-    held = np.concatenate([p[1][p[4]] for p in parts]).astype(bool)
-    w = np.concatenate([p[2][p[5]] for p in parts])
-    h = np.concatenate([p[3][p[6]] for p in parts])
-    c = np.concatenate([p[7].astype(np.uint32) for p in parts])
+    doc = np.concatenate([np.cumsum(p[0])[p[6]] for p in parts])
+    held = np.concatenate([p[1][p[6]] for p in parts]).astype(bool)
+    w = np.concatenate([_decode(p[2], p[3], shared.w)[p[7]] for p in parts])
+    h = np.concatenate([_decode(p[4], p[5], shared.w)[p[8]] for p in parts])
+    c = np.concatenate([p[9].astype(np.uint32) for p in parts])
     del parts
     is_end = w == END
     uw, iw = np.unique(w, return_inverse=True)
