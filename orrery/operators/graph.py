@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,15 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(task, node, dist) within `depth` hops of each seed(task, node), the seed at 0; frontier joins, visited rows out."""
-    seen = seeds.select("task", "node", F.lit(0).alias("dist"))
-    front = seen
-    for d in range(1, depth + 1):
-        step = front.join(edges.withColumnRenamed("src", "node"), "node").select("task", F.col("dst").alias("node")).distinct()
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(task, node, dist) of all that each seed(task, node) reaches, the seed at 0; frontier joins, visited rows out.
+
+    With `depth` the search ends after so many hops, else when the frontier is empty.
+    """
+    e = stage(edges.select(F.col("src").alias("node"), "dst"))
+    seen = front = stage(seeds.select("task", "node", F.lit(0).alias("dist")))
+    for d in count(1) if depth is None else range(1, depth + 1):
+        step = front.join(e, "node").select("task", F.col("dst").alias("node")).distinct()
         front = stage(step.join(seen, ["task", "node"], "left_anti").withColumn("dist", F.lit(d)))
         if front.isEmpty():
             break

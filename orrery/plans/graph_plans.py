@@ -11,7 +11,7 @@ from orrery.sources import tables as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: Hops that level searches go; rounds of the rank iterations.
+#: Hops that the SQL of level searches goes, while the queries go on until nothing new is reached; rounds of the rank iterations.
 DEPTH, ROUNDS = 6, 5
 
 _EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
@@ -34,20 +34,20 @@ def _bfs_cte(edges: str, depth: int) -> str:
 b AS (SELECT task, node, min(dist) AS dist FROM r GROUP BY ALL)"""
 
 
-def _bfs(edges, depth: int):
+def _bfs(edges, depth: int | None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return G.bfs(edges(S.graph_edges(spark, d)), S.seeds(spark, d), depth).where("dist > 0")
 
     return run
 
 
-for _name, _f, _sql, _depth in (("bfs_fwd", lambda e: e, "e", DEPTH), ("bfs_rev", G.reverse, "rv", DEPTH), ("bfs_und", G.undirected, "u", DEPTH), ("khop1", G.undirected, "u", 1), ("khop2", G.undirected, "u", 2)):
+for _name, _f, _sql, _depth in (("bfs_fwd", lambda e: e, "e", None), ("bfs_rev", G.reverse, "rv", None), ("bfs_und", G.undirected, "u", None), ("khop1", G.undirected, "u", 1), ("khop2", G.undirected, "u", 2)):
     QUERIES[_name] = _bfs(_f, _depth)
-    ORACLE_SQL[_name] = f"WITH RECURSIVE {_EDGES}, {_bfs_cte(_sql, _depth)} SELECT * FROM b WHERE dist > 0"
+    ORACLE_SQL[_name] = f"WITH RECURSIVE {_EDGES}, {_bfs_cte(_sql, _depth or DEPTH)} SELECT * FROM b WHERE dist > 0"
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return G.bfs(G.undirected(S.graph_edges(spark, d)), S.seeds(spark, d), DEPTH)
+    return G.bfs(G.undirected(S.graph_edges(spark, d)), S.seeds(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_bfs_cte('u', DEPTH)} SELECT task, node, row_number() OVER (PARTITION BY task ORDER BY dist, p_size, node) AS pos
