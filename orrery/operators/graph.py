@@ -44,34 +44,52 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFra
     return seen
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, rounds: int, alpha: float = 0.85) -> DataFrame:
-    """(task, node, score) after a fixed number of rounds.
+def pagerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-9) -> DataFrame:
+    """(task, node, score) after a fixed number of rounds, or without one when the scores have settled.
 
     start(task, node, p) is the restart distribution, which also takes the mass of nodes
     without successors. Only nodes with mass are kept, so personal walks stay local at first.
+    Settled: no task's scores change by `tol` in sum and no row is new, so that all that is
+    reachable has its score, however many nodes there are.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     e = stage(edges.join(out, "src").select(F.col("src").alias("node"), "dst", "deg"))
-    has = out.select(F.col("src").alias("node"))
+    has = stage(e.select("node").distinct())
+    start = stage(start.select("task", "node", "p"))
     x = start.select("task", "node", F.col("p").alias("score"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         moved = x.join(e, "node").select("task", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("deg")).alias("score"))
         lost = x.join(has, "node", "left_anti").groupBy("task").agg(F.sum("score").alias("lost"))
         back = start.join(lost, "task", "left").select("task", "node", (F.col("p") * ((1 - alpha) + alpha * F.coalesce("lost", F.lit(0.0)))).alias("score"))
-        x = stage(moved.unionByName(back).groupBy("task", "node").agg(F.sum("score").alias("score")))
+        was = x.select("task", "node", F.lit(0.0).alias("score"), F.col("score").alias("old"))
+        both = stage(moved.unionByName(back).withColumn("old", F.lit(None).cast("double")).unionByName(was).groupBy("task", "node").agg(F.sum("score").alias("score"), F.sum("old").alias("old")))
+        x = both.select("task", "node", "score")
+        if rounds is None:
+            change = F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))
+            if both.groupBy("task").agg(change.alias("c"), F.count(F.when(F.col("old").isNull(), 1)).alias("n")).where(f"c >= {tol!r} OR n > 0").isEmpty():
+                break
     return x
 
 
-def hits_authority(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, score): authority by power iteration, hubs and authorities scaled to sum 1 in each round."""
+def hits_authority(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:
+    """(node, score): authority by power iteration, hubs and authorities scaled to sum 1 in each round.
+
+    Ends when the hubs change by less than `tol` in sum; if they still do not after `rounds`, the in-degree is the score.
+    """
     n = nodes.count()
+    e = stage(edges.select("src", "dst"))
     hub = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("h"))
-    auth = None
     for _ in range(rounds):
-        a = hub.join(edges.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
+        a = hub.join(e.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
         auth = stage(a.crossJoin(F.broadcast(a.agg(F.sum("a").alias("t")))).select("node", (F.col("a") / F.col("t")).alias("a")))
-        h = auth.join(edges.withColumnRenamed("dst", "node"), "node").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
-        hub = stage(h.crossJoin(F.broadcast(h.agg(F.sum("h").alias("t")))).select("node", (F.col("h") / F.col("t")).alias("h")))
+        h = auth.join(e.withColumnRenamed("dst", "node"), "node").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
+        new = stage(h.crossJoin(F.broadcast(h.agg(F.sum("h").alias("t")))).select("node", (F.col("h") / F.col("t")).alias("h")))
+        change = hub.join(new.withColumnRenamed("h", "g"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("h", F.lit(0.0)) - F.coalesce("g", F.lit(0.0))))).first()[0]
+        hub = new
+        if auth.isEmpty() or change < tol:
+            break
+    else:
+        auth = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("a"))
     return nodes.join(auth, "node", "left").select("node", F.coalesce("a", F.lit(0.0)).alias("score"))
 
 

@@ -11,7 +11,7 @@ from orrery.sources import tables as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: Hops that the SQL of level searches goes, while the queries go on until nothing new is reached; rounds of the rank iterations.
+#: Hops that the SQL of level searches goes, and rounds of its rank iterations; the queries go on until nothing new is reached or the ranks have settled.
 DEPTH, ROUNDS = 6, 5
 
 _EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
@@ -79,7 +79,7 @@ _ALL = "SELECT 'all' AS task, p_partkey AS node, 1.0::DOUBLE / count(*) OVER ()
 def _ppr(edges):
     def run(spark: SparkSession, d: str) -> DataFrame:
         start = S.seeds(spark, d).withColumn("p", F.lit(1.0))
-        return G.pagerank(S.graph_nodes(spark, d), edges(S.graph_edges(spark, d)), start, ROUNDS).withColumn("score", F.round("score", 9))
+        return G.pagerank(S.graph_nodes(spark, d), edges(S.graph_edges(spark, d)), start).withColumn("score", F.round("score", 9))
 
     return run
 
@@ -99,7 +99,7 @@ def ppr_und_pl(spark: SparkSession, d: str) -> DataFrame:
 def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
     n = S.graph_nodes(spark, d)
     start = n.select(F.lit("all").alias("task"), "node", (1.0 / F.lit(max(1, n.count()))).alias("p"))
-    return G.pagerank(n, S.graph_edges(spark, d), start, ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return G.pagerank(n, S.graph_edges(spark, d), start).select("node", F.round("score", 9).alias("score"))
 
 
 def _hits_sql() -> str:
@@ -112,7 +112,7 @@ def _hits_sql() -> str:
 
 @query(_hits_sql())
 def hits_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return G.hits_authority(S.graph_nodes(spark, d), S.graph_edges(spark, d), ROUNDS).withColumn("score", F.round("score", 9))
+    return G.hits_authority(S.graph_nodes(spark, d), S.graph_edges(spark, d)).withColumn("score", F.round("score", 9))
 
 
 _COMMITS = "c AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS path FROM lineitem), n AS (SELECT commit, count(*) AS n FROM c GROUP BY ALL)"

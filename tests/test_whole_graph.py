@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from orrery.plans import graph_plans
 from orrery.plans.graph_plans import QUERIES
 from orrery.sources import tables as S
 
-#: A tail of 8 nodes leaves a triangle whose nodes also point at each other's ends.
-CHAIN = [(i, i + 1) for i in range(8)] + [(0, 20), (20, 21), (21, 0), (21, 3)]
+#: A triangle and a tail of 8 nodes.
+CHAIN = [(i, i + 1) for i in range(8)] + [(0, 20), (20, 21), (21, 0), (21, 3), (1, 3)]
 
 
 @pytest.fixture
@@ -47,3 +48,25 @@ def test_levels_without_cutoff(spark, chain):
     assert {r.node: r.dist for r in QUERIES["distances"](spark, "").collect()} == {n: d for n, d in want.items() if d}
     assert {r.bucket for r in QUERIES["distance_profile"](spark, "").collect()} == {"1", "2", "3+"}
     assert {r.dist for r in G.bfs(S.graph_edges(), S.seeds(), 2).collect()} == {0, 1, 2}
+
+
+def walk(pairs, restart):
+    """Scores of the random walk by a dense solve; the mass of nodes without successors restarts."""
+    m = np.zeros((len(restart), len(restart)))
+    at = {n: i for i, n in enumerate(sorted({n for p in CHAIN for n in p}))}
+    for a, b in pairs:
+        m[at[b], at[a]] = 1 / sum(x == a for x, _ in pairs)
+    m[:, m.sum(axis=0) == 0] = restart[:, None]
+    return dict(zip(at, np.linalg.solve(np.eye(len(restart)) - 0.85 * m, 0.15 * restart), strict=True))
+
+
+def test_ranks_settle(spark, chain):
+    n = len({n for p in CHAIN for n in p})
+    want = {k: v for k, v in walk(CHAIN, np.eye(n)[0]).items() if v > 0}
+    assert {r.node: r.score for r in QUERIES["ppr_out"](spark, "").collect()} == pytest.approx(want, abs=1e-8)
+    a = np.zeros((32, 32))
+    for s, d in CHAIN:
+        a[s, d] = 1
+    v = np.linalg.eigh(a.T @ a)[1][:, -1]
+    got = {r.node: r.score for r in QUERIES["hits_fixed"](spark, "").collect()}
+    assert got == pytest.approx({k: (v / v.sum())[k] for k in got}, abs=1e-7)
