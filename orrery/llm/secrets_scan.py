@@ -34,6 +34,8 @@ _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(_ALPHABET.encode(), np.uint8)] = np.arange(len(_ALPHABET))
 #: Nats per character and in sum that a random string must have over an identifier.
 PER_CHAR, IN_SUM = 0.6, 20.0
+#: Characters of a random string at least; what joins it to others in a run.
+SHORTEST, _JOINTS = 20, "/_-=+"
 
 #: Parts that labelled ordinary identifiers are put together from.
 PARTS = (
@@ -75,19 +77,54 @@ def models() -> tuple[np.ndarray, np.ndarray]:
 
 def looks_random(s: str) -> bool:
     """Both digits and letters, and the ratio says random; same-letter runs and words don't pass."""
-    if s.isdigit() or not any(ch.isdigit() for ch in s) or s.strip("0123456789-_=/+") == "":
+    if not any(ch.isdigit() for ch in s) or s.strip("0123456789-_=/+") == "":
         return False
+    llr = ratios(s).sum()
+    return bool(llr >= IN_SUM and llr >= PER_CHAR * len(s))
+
+
+def ratios(s: str) -> np.ndarray:
+    """The log-likelihood ratio of each character after the one before."""
     first, step = models()
     c = _CODE[np.frombuffer(s.encode(), np.uint8)]
-    llr = first[c[0]] + step[c[:-1], c[1:]].sum()
-    return llr >= IN_SUM and llr >= PER_CHAR * len(s)
+    return np.concatenate([[first[c[0]]], step[c[:-1], c[1:]]])
+
+
+def random_parts(s: str) -> list[tuple[int, int]]:
+    """Spans of a run that look random: the run, or else its best windows, so that ordinary words around a key don't hide it.
+
+    A window is grown to the separators around it if it looks random then, too, and is SHORTEST long at least;
+    what lies to its left and right is searched in the same way.
+    """
+    found, todo = [], [(0, len(s))]
+    while todo:
+        at, end = todo.pop()
+        if end - at < SHORTEST:
+            continue
+        if looks_random(s[at:end]):
+            found.append((at, end))
+            continue
+        total = np.concatenate([[0.0], np.cumsum(ratios(s[at:end]) - PER_CHAR)])
+        gain = total[1:] - np.minimum.accumulate(total)[:-1]
+        b = int(np.argmax(gain)) + 1
+        if gain[b - 1] <= 0:
+            continue
+        a, b = at + int(np.argmin(total[:b])), at + b
+        left, right = max(at, *(s.rfind(ch, at, a) + 1 for ch in _JOINTS)), min(i if (i := s.find(ch, b, end)) >= 0 else end for ch in _JOINTS)
+        for x, y in ((left, right), (a, right), (left, b), (a, b)):
+            if y - x >= SHORTEST and looks_random(s[x:y]):
+                a, b = x, y
+                found.append((a, b))
+                break
+        todo += [(at, a), (b, end)]
+    return sorted(found)
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind in KINDS' order. Null: none.
 
     Base matches are leftmost and do not overlap within a kind; those that are too short are
-    dropped. Random strings that overlap a base span are not reported again.
+    dropped. Random strings are looked for in what base spans leave of a run.
     """
     if not text:
         return []
@@ -103,8 +140,10 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if _has_run(raw, _CODE >= 0, 20):
         base = list(found)
         for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for _, a, b in base) and looks_random(m[0]):
-                found.append(("random", m.start(), m.end()))
+            at, end = m.span()
+            for a, b in [*sorted((a, b) for _, a, b in base if a < end and at < b), (end, end)]:
+                found += [("random", at + x, at + y) for x, y in random_parts(text[at : max(at, a)])]
+                at = max(at, b)
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 

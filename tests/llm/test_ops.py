@@ -288,6 +288,17 @@ def test_markov_models_on_held_out_samples():
     assert np.mean(hit) > 0.95 and np.mean(wrong) < 0.01
 
 
+def test_random_keys_among_ordinary_words():
+    r, symbols = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(r.choice(symbols) for _ in range(n))
+    for shape in ("user/path/{}", "table/model/config/{}", "table/model/config/user/value/{}/edge-list", "default_client_config_request_handler={}", "{}/table/model/config/value/{}"):
+        keys = [[key(24) for _ in range(shape.count("{}"))] for _ in range(200)]
+        texts = [f"at {shape.format(*k)} end" for k in keys]
+        inside = [all(any(a <= t.index(x) and t.index(x) + 24 <= b for _, a, b in secrets_scan.scan(t)) for x in k) for k, t in zip(keys, texts, strict=True)]
+        assert np.mean(inside) > 0.95, shape
+    assert secrets_scan.scan("x deadbeefdeadbeefdeadbeef-table-model-config") == [("hex", 2, 26)]
+
+
 def test_secrets_frame(spark):
     d = docs_of(spark, [(1, None), (2, ""), (3, 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'), (4, "key dBjftJeZ4CVPmB92K27uhbUJU1p1r_wW1gFWFOEjXk end")])
     got = {r.doc_id: r for r in secrets_scan.find_secrets(d).collect()}
