@@ -76,8 +76,8 @@ def models() -> tuple[np.ndarray, np.ndarray]:
 
 
 def looks_random(s: str) -> bool:
-    """Both digits and letters, and the ratio says random; same-letter runs and words don't pass."""
-    if not any(ch.isdigit() for ch in s) or s.strip("0123456789-_=/+") == "":
+    """Letters, and the ratio says random; same-letter runs, words and plain numbers don't pass."""
+    if s.strip("0123456789-_=/+") == "":
         return False
     llr = ratios(s).sum()
     return bool(llr >= IN_SUM and llr >= PER_CHAR * len(s))

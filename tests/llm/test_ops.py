@@ -288,6 +288,16 @@ def test_markov_models_on_held_out_samples():
     assert np.mean(hit) > 0.95 and np.mean(wrong) < 0.01
 
 
+def test_random_strings_without_digits():
+    rows = secrets_scan.labelled_samples(5000)[8000:]
+    r = random.Random(4)
+    for symbols in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        texts = ["".join(r.choice(symbols) for _ in range(24)) for _ in range(500)]
+        assert np.mean([secrets_scan.scan(f"at {t} end") == [("random", 3, 27)] for t in texts]) > 0.9
+    assert np.mean([bool(secrets_scan.scan(s)) for s, y in rows if y and len(s) >= 20]) > 0.95
+    assert np.mean([bool(secrets_scan.scan(s)) for s, y in rows if not y]) < 0.01
+
+
 def test_random_keys_among_ordinary_words():
     r, symbols = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     key = lambda n: "".join(r.choice(symbols) for _ in range(n))
