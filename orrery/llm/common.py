@@ -42,6 +42,30 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, sizes, hashes): the words of all texts as places in `hashes`, the sorted hashes of the distinct ones, and the words in each text.
+
+    The same words and hashes as words() and word_hashes(), cut and coded in Arrow, so that
+    only distinct words are hashed one by one. Null counts as empty.
+    """
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = cut.flatten().dictionary_encode()
+    codes, kept = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    owner = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
+    # White space at either end of a text leaves an empty word there.
+    if b"" in kept:
+        at = kept.index(b"")
+        real = codes != at
+        codes, owner = codes[real], owner[real]
+        codes = codes - (codes > at)
+        del kept[at]
+    hashes = word_hashes(kept)
+    order = np.argsort(hashes)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[codes], np.bincount(owner, minlength=len(cut)), hashes[order]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each slice holds about `limit` bytes of one text column."""
     for batch in batches:

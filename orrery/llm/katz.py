@@ -13,8 +13,8 @@ arrays. A bucket knows c(w) and c(h, w) of its words and writes, into one staged
 Counts of counts, histories and documents are then summed from that table.
 
 Two light passes over the texts find the frequent words and bigrams beforehand and count them
-exactly (`frequent`): those with one of max(SHARES, buckets) equal shares of all tokens, of which
-there can be two for each share at most. Frequent bigrams are scored where their text is read and
+exactly (`frequent`): those with one of SHARES equal shares of all tokens, of which there can be
+two for each share at most. Frequent bigrams are scored where their text is read and
 never shuffled; other bigrams of a frequent word are split over buckets by their history.
 """
 
@@ -30,13 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import mix, slices, stage, word_hashes, words
+from orrery.llm.common import coded_words, mix, slices, stage
 
 #: Counts up to CUT are discounted by Good-Turing; larger ones keep LARGE of themselves, so that
 #: every history has something to give to unseen words. Text bytes that a bucket holds on average.
 CUT, LARGE, BUCKET_BYTES = 5, 0.999, 8 << 20
 #: Tokens that a worker counts before it reports the frequent ones; least number of shares.
 UNIT, SHARES = 2 << 20, 1 << 18
+#: Bytes of text that are cut into tokens at a time.
+WIDE = 12 << 20
 #: Histories that follow less than 1 / OFTEN of all tokens are joined by a shuffle, the others (OFTEN at most) by broadcast.
 OFTEN = 4096
 #: Documents whose remainder is HELD are scored only.
@@ -76,9 +78,38 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32)
 
 
-def _hashed(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """Start, words and end of each text."""
-    return [np.concatenate([[START], word_hashes(words(t)), [END]]).astype(np.uint64) for t in batch.column("text").to_pylist()]
+class Grams:
+    """The tokens of a batch of texts as codes: word w after history h in document d; vocab holds the sorted hashes."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        codes, sizes, hashes = coded_words(batch.column("text"))
+        self.vocab = np.unique(np.concatenate([hashes, [START, END]]).astype(np.uint64))
+        place = np.searchsorted(self.vocab, hashes)
+        start, end = np.searchsorted(self.vocab, np.array([START, END], np.uint64))
+        self.d = np.repeat(np.arange(len(sizes)), sizes + 1)
+        last = np.cumsum(sizes + 1) - 1
+        self.w = np.full(len(self.d), end)
+        self.h = np.full(len(self.d), start)
+        own = np.ones(len(self.d), bool)
+        own[last] = False
+        self.w[own] = place[codes]
+        own = np.ones(len(self.d), bool)
+        own[last - sizes] = False
+        self.h[own] = place[codes]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(w, h, d, count) of the distinct ones, by w, h and d."""
+        docs = int(self.d[-1]) + 1 if len(self.d) else 1
+        key = np.sort((self.w * len(self.vocab) + self.h) * docs + self.d)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        pair, d = np.divmod(key[first], docs)
+        return *np.divmod(pair, len(self.vocab)), d, np.diff(np.append(first, len(key)))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(w, h, count) of the distinct bigrams, by w and h."""
+        key = np.sort(self.w * len(self.vocab) + self.h)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        return *np.divmod(key[first], len(self.vocab)), np.diff(np.append(first, len(key)))
 
 
 def _pair(w: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -122,8 +153,11 @@ def frequent(docs: DataFrame, shares: int) -> Frequent:
     def report(parts: list[tuple[np.ndarray, ...]], tokens: int) -> Iterator[pa.RecordBatch]:
         w, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         for kind, key in ((0, w), (1, _pair(w, h))):
-            _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            count = np.rint(np.bincount(at, weights=n)).astype(np.int64)
+            # Parts that come alone are distinct bigrams by word already.
+            order = np.argsort(key) if kind or len(parts) > 1 else np.arange(len(key))
+            key = key[order]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first, count = order[edge], np.add.reduceat(n[order], edge).astype(np.int64)
             keep = count * 2 * shares >= tokens
             first, count = first[keep], count[keep]
             hist = h[first] if kind else np.zeros(len(first), np.uint64)
@@ -132,12 +166,11 @@ def frequent(docs: DataFrame, shares: int) -> Frequent:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, tokens = [], 0
-        for batch in slices(batches, "text"):
-            hashed = _hashed(batch)
-            w, h = np.concatenate([x[1:] for x in hashed]), np.concatenate([x[:-1] for x in hashed])
-            _, first, n = np.unique(_pair(w, h), return_index=True, return_counts=True)
-            parts.append((w[first], h[first], n))
-            tokens += len(w)
+        for batch in slices(batches, "text", WIDE):
+            g = Grams(batch)
+            w, h, n = g.pairs()
+            parts.append((g.vocab[w], g.vocab[h], n))
+            tokens += len(g.w)
             if tokens >= UNIT:
                 yield from report(parts, tokens)
                 parts, tokens = [], 0
@@ -155,15 +188,16 @@ def frequent(docs: DataFrame, shares: int) -> Frequent:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cw, cp = np.zeros(len(keys), np.int64), np.zeros(len(pairs), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", WIDE):
             batch = batch.filter(pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_()))
-            hashed = _hashed(batch)
-            if hashed:
-                w, h = np.concatenate([x[1:] for x in hashed]), np.concatenate([x[:-1] for x in hashed])
-                at, there = _find(keys, w)
-                cw += np.bincount(at[there], minlength=len(keys))
-                at, there = _find(pairs, _pair(w[there], h[there]))
-                cp += np.bincount(at[there], minlength=len(pairs))
+            if batch.num_rows:
+                g = Grams(batch)
+                at, there = _find(keys, g.vocab)
+                cw[at[there]] += np.bincount(g.w, minlength=len(g.vocab))[there]
+                w, h, n = g.pairs()
+                own = there[w]
+                at, there = _find(pairs, _pair(g.vocab[w[own]], g.vocab[h[own]]))
+                cp[at[there]] += n[own][there]
         a, b = np.flatnonzero(cw), np.flatnonzero(cp)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(a), len(b)]), pa.int8()), pa.array(np.concatenate([keys[a], pw[b]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(a), np.uint64), ph[b]]).view(np.int64)), pa.array(np.concatenate([cw[a], cp[b]]))], ["kind", "w", "h", "n"])
 
@@ -194,21 +228,12 @@ def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", WIDE):
             ids = batch.column("doc_id").to_pylist()
-            hashed = _hashed(batch)
-            d = np.repeat(np.arange(len(ids)), [len(x) - 1 for x in hashed])
-            vocab, at = np.unique(np.concatenate(hashed), return_inverse=True)
-            first = np.cumsum([0, *(len(x) for x in hashed)])
-            is_last, is_first = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            is_last[first[1:] - 1], is_first[first[:-1]] = True, True
-            w, h = at[~is_first], at[~is_last]
-            order = np.lexsort((d, h, w))
-            w, h, d = w[order], h[order], d[order]
-            new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-            cut = np.flatnonzero(new)
-            count = np.diff(np.concatenate([cut, [len(w)]]))
-            w, h, d = w[cut], h[cut], d[cut]
+            g = Grams(batch)
+            vocab = g.vocab
+            w, h, d, count = g.distinct()
+            del g
             doc_ids = np.array([_NULL if i is None else i for i in ids], np.int64)
             split = np.flatnonzero(_find(shared.w, vocab)[1][w])
             uw, uh = vocab[w[split]], vocab[h[split]]
@@ -229,13 +254,16 @@ def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
             rest = np.ones(len(w), bool)
             rest[own] = False
             w, h, d, count, salt = w[rest], h[rest], d[rest], count[rest], salt[rest]
-            bucket = (mix(salt) % np.uint64(n_buckets)).astype(np.int64)
+            bucket = mix(salt) % np.uint64(n_buckets)
+            bucket = bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
             held = np.array([held_out(i) for i in ids], np.uint8)
             order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [-1]])))
+            edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order].astype(np.int64), [-1]])))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = order[a:b]
-                uw, iw = np.unique(w[part], return_inverse=True)
+                own = w[part]
+                new = np.concatenate([[True], own[1:] != own[:-1]])
+                uw, iw = own[new], np.cumsum(new) - 1
                 uh, ih = np.unique(h[part], return_inverse=True)
                 ud, idd = np.unique(d[part], return_inverse=True)
                 numbers.append(int(bucket[part[0]]))
@@ -349,9 +377,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # A document's end takes room too.
     size = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
-    n_buckets = max(1, -(-size // bucket_bytes))
-    shared = frequent(d, max(shares, n_buckets))
-    counted = deal(d, n_buckets, shared).groupBy("bucket").applyInArrow(lambda rows: count_bucket(rows, shared), SCHEMA)
+    # Beyond as many buckets as shares, buckets grow instead: what each worker knows of frequent words stays bounded.
+    n_buckets = min(max(1, -(-size // bucket_bytes)), max(shares, SHARES))
+    shared = frequent(d, shares)
+    counted = deal(d, n_buckets, shared).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: count_bucket(rows, shared), SCHEMA)
     spark: SparkSession = d.sparkSession
     kept = stage(counted, "counts").unionByName(spark.createDataFrame(shared.rows(), SCHEMA))
 
