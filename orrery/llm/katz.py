@@ -38,7 +38,9 @@ CUT, LARGE, BUCKET_BYTES = 5, 0.999, 8 << 20
 #: Tokens that a worker counts before it reports the frequent ones; least number of shares.
 UNIT, SHARES = 2 << 20, 1 << 18
 #: Bytes of text that are cut into tokens at a time.
-WIDE = 12 << 20
+WIDE = 4 << 20
+#: Rows of a bucket that go back to the JVM at a time.
+BATCH = 16384
 #: Histories that follow less than 1 / OFTEN of all tokens are joined by a shuffle, the others (OFTEN at most) by broadcast.
 OFTEN = 4096
 #: Documents whose remainder is HELD are scored only.
@@ -348,7 +350,9 @@ def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
     cols = _history(pb, pw, lambda x: np.bincount(ih, weights=x, minlength=len(uh)))
     out.append(_rows(1, uh.view(np.int64), cols=cols))
     out.append(_rows(3, np.zeros(1), cols=_counts_of_counts(cp[~split_p], cw[~split_w])))
-    return pa.concat_tables(out)
+    # Small batches, as the JVM holds each whole.
+    whole = pa.concat_tables(out)
+    return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH), whole.schema)
 
 
 def discounts(n: list[int]) -> list[float]:
