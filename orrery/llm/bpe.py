@@ -1,13 +1,18 @@
 """Byte-pair encoding by a deterministic automaton over tokens.
 
-The automaton is built merge by merge. At first one state has an arc for every base symbol.
-The gadget of a merge (u, v) copies the state p that u leads to, without the arc v, sends u
-to the copy, and gives every state that has u an arc uv to where v led from p. All arcs of
-one label lead to one state, so a state is named by the label that leads to it, and a copy
-is kept as what it takes away: `left` and `right` say from which state and arc a label came,
-`born` when. A transition is looked up in that table once and then kept, so the dense table
-of 49k by 49k arcs is never written out. A word has exactly one path that spells it; it is
-found from left to right, and decoding emits the labels of the arcs.
+The automaton is compiled merge by merge. At first one state has an arc for every base symbol.
+The gadget of a merge (u, v) -> uv copies the state that v leads to, as it is then, for the new
+label uv, takes the arc v away after u, and gives every state that has an arc u an arc uv. All
+arcs of one label lead to one state, so a state is named by the label that leads to it.
+
+Taking v away after u takes with it the labels that begin with v and are made later. Labels are
+numbered so that these are a run of numbers next to v: in preorder over "is the left part of",
+the latest first. So the row of a state, which is all that is kept of it, is a short sorted table
+of the numbers at which arcs end and begin again, and a transition is one look into that table.
+
+A prefix of a word has exactly one path that spells it, so each place of a word has one state:
+encoding goes through the places once, from left to right, and writes down the arc that reaches
+each place. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -26,9 +32,25 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import slices
 
-#: Most transitions and words kept in a worker before their tables start anew.
-KEPT_ARCS, KEPT_WORDS = 1_000_000, 300_000
-_LATE = 1 << 60
+#: Most words whose tokens are kept in a worker before its table starts anew.
+KEPT_WORDS = 400_000
+
+#: First and last code points that the library's split leaves out of letters and numbers, as they came after Unicode 16.
+LATE = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Lower case of letters that Python's tables of Unicode 15.1 lack and the library's have.
+NEW_LOWER = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
 
 
 def byte_symbols() -> list[str]:
@@ -43,7 +65,7 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Encoder and decoder of one tokenizer file of the word-BPE kind."""
+    """Encoder and decoder of one tokenizer file of the word-BPE kind: words of letters, lower case, an end mark on the last symbol."""
 
     def __init__(self, spec: dict) -> None:
         model = spec["model"]
@@ -51,160 +73,145 @@ class Automaton:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.label = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.gone: dict[tuple[int, int], int] = {}
-        for time, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self._gadget(time, self.vocab[a], self.vocab[b], self.vocab[a + b])
-        self.longest = max((len(t) - (len(self.end) if t.endswith(self.end) and self.end else 0) for t in self.vocab), default=1)
+        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
+            raise ValueError(f"not a tokenizer of the word-BPE kind: {kinds}")
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.number, self.rows = self._compile([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges])
         self.heads = {t[:k] for t in self.vocab if not (self.end and t.endswith(self.end)) for k in range(1, len(t) + 1)}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern)
+        late = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE) + "]"
+        for kind in ("L", "N"):
+            pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--{late}]")
+        self.split = regex.compile(pattern, regex.V1)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
-        self.arcs: dict[int, bool] = {}
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-
-    def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
-        """Takes the arc v away after u from now on, and adds the arc uv."""
-        self.gone.setdefault((u, v), time)
-        if uv not in self.born:
-            self.left[uv], self.right[uv], self.born[uv] = u, v, time
+        self.words = _Words(self)
+
+    def _compile(self, merges: list[tuple[int, int, int]]) -> tuple[list[int], list[list[int]]]:
+        """(the number of each label, for each state the numbers at which its arcs end or begin, in turn)."""
+        size = max(self.label, default=-1) + 1
+        later: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        made: set[int] = set()
+        for time, (u, _, uv) in enumerate(merges):
+            if uv not in made:
+                made.add(uv)
+                later[u].append((time, uv))
+        number, ends, n = [0] * size, [0] * size, 0
+        todo = [(i, False) for i in range(size) if i not in made]
+        while todo:
+            label, done = todo.pop()
+            if done:
+                ends[label] = n
+            else:
+                number[label] = n
+                n += 1
+                # The latest is popped, and numbered, first.
+                todo += [(label, True), *((y, False) for _, y in later[label])]
+        # A gadget: the new state is a copy of v's; u's loses v and what is made from v from now on.
+        # Where u has no arc v any more, the merge never happens.
+        gone: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        live = [i not in made for i in range(size)]
+        for time, (u, v, uv) in enumerate(merges):
+            if not (live[u] and live[v]) or any(a <= number[v] < b for a, b in gone[u]):
+                continue
+            if not live[uv]:
+                live[uv] = True
+                gone[uv] = gone[v].copy()
+            first = next((y for t, y in later[v] if t >= time), None)
+            gone[u].append((number[v], ends[first] if first is not None else number[v] + 1))
+        rows = []
+        for spans in gone:
+            row: list[int] = []
+            for a, b in sorted(spans):
+                if row and a <= row[-1]:
+                    row[-1] = max(row[-1], b)
+                else:
+                    row += [a, b]
+            rows.append(row)
+        self.arcs = {t: i for t, i in self.vocab.items() if live[i]}
+        return number, rows
 
     def follows(self, state: int, label: int) -> bool:
-        """Whether the state that label `state` leads to has an arc `label`.
-
-        The state descends from those of its right parts, each copied when the merge was made;
-        the arc exists since its left part's arc did. An arc that a gadget took away in either
-        time is missing.
-        """
-        key = state << 20 | label
-        known = self.arcs.get(key)
-        if known is None:
-            known = self._follows(state, label)
-            if len(self.arcs) >= KEPT_ARCS:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
-
-    def _follows(self, state: int, label: int) -> bool:
-        until = _LATE
-        while True:
-            x, since = label, _LATE
-            while True:
-                t = self.gone.get((state, x))
-                if t is not None and t < until and t <= since:
-                    return False
-                if x not in self.left:
-                    break
-                since, x = self.born[x], self.left[x]
-            if state not in self.right:
-                return True
-            until, state = self.born[state], self.right[state]
-
-    def path(self, word: str) -> tuple[int, ...]:
-        """Labels of the one path that spells a word of byte symbols; its last symbol carries the end mark.
-
-        Depth first, longest labels first; a (place, state) that led nowhere is not entered
-        again, so the work is bounded by places times labels that match there.
-        """
-        n, get, heads, arcs, end = len(word), self.vocab.get, self.heads, self.arcs, self.end
-        out: list[int] = []
-        at, state, todo = 0, -1, []
-        dead: set[tuple[int, int]] = set()
-        while True:
-            found = []
-            if at + self.longest >= n:
-                t = get(word[at:] + end)
-                if t is not None:
-                    found.append((n, t))
-            near = []
-            for j in range(at + 1, min(n, at + self.longest + 1)):
-                s = word[at:j]
+        """Whether the state that label `state` leads to has an arc `label`."""
+        return not bisect_right(self.rows[state], self.number[label]) & 1
+
+    def path(self, word: str) -> list[int]:
+        """Labels of the path that spells a word of byte symbols; its last symbol carries the end mark."""
+        get, heads, number, rows, end, n = self.arcs.get, self.heads, self.number, self.rows, self.end, len(word)
+        whole = get(word + end)
+        if whole is not None:
+            return [whole]
+        # The arc that reaches each place, and where it comes from; the start has every arc.
+        arc, back = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            row = rows[arc[i]] if i else []
+            for j in range(i + 1, n + 1 if not end else n):
+                s = word[i:j]
                 if s not in heads:
                     break
                 t = get(s)
-                if t is not None:
-                    near.append((j, t))
-            found += near[::-1]
-            todo.append((at, state, iter(found)))
-            while True:
-                at, state, rest = todo[-1]
-                for j, t in rest:
-                    if state >= 0:
-                        ok = arcs.get(state << 20 | t)
-                        if not (self.follows(state, t) if ok is None else ok):
-                            continue
-                    if (j, t) not in dead:
-                        break
-                else:
-                    todo.pop()
-                    dead.add((at, state))
-                    out.pop()
-                    continue
-                break
-            out.append(t)
-            if j == n:
-                return tuple(out)
-            at, state = j, t
-
-    def token(self, text: str) -> tuple[int, ...]:
-        """The path of one pre-split word, kept for the next time."""
-        got = self.tokens.get(text)
-        if got is None:
-            got = self.path("".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]))
-            if len(text) <= 64:
-                if len(self.tokens) >= KEPT_WORDS:
-                    self.tokens.clear()
-                self.tokens[text] = got
-        return got
-
-    def chunk(self, text: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """(count, ids, labels, id tuple) of a piece without white space, in lower case already."""
-        got = self.words.get(text)
-        if got is None:
-            ids: list[int] | tuple[int, ...] = []
-            if text.isalpha():
-                ids = self.token(text)
-            else:
-                for m in self.split.findall(text):
-                    ids += self.token(m)
-            got = (len(ids), " ".join(map(str, ids)), " ".join(self.label[i] for i in ids), tuple(ids))
-            if len(text) <= 64:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[text] = got
-        return got
-
-    def pieces(self, text: str | None) -> list[tuple[int, str, str, tuple[int, ...]]]:
-        """The encoded chunks of a text. Null and empty texts have none."""
-        out = []
+                if t is not None and not bisect_right(row, number[t]) & 1:
+                    arc[j], back[j] = t, i
+            if end and arc[n] < 0:
+                t = get(word[i:] + end) if n - i <= 256 else None
+                if t is not None and not bisect_right(row, number[t]) & 1:
+                    arc[n], back[n] = t, i
+        out, j = [], n
+        while j:
+            out.append(arc[j])
+            j = back[j]
+        return out[::-1]
+
+    def token(self, text: str) -> list[int]:
+        """The path of one pre-split word."""
+        return self.path("".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]))
+
+    def pieces(self, text: str | None) -> Iterator[tuple[str, str, int]]:
+        """(ids, labels, count) of each chunk between white space; chunks without tokens are left out."""
         for part in self.cut.split(text or "") if self.cut else [text or ""]:
             if part in self.special:
-                i = self.special[part]
-                out.append((1, str(i), part, (i,)))
+                yield str(self.special[part]), part, 1
             elif part:
-                out += [c for c in map(self.chunk, _normal(part)) if c[0]]
-        return out
+                got = list(map(self.words.__getitem__, _normal(part)))
+                yield from (got if all(got) else filter(None, got))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pieces(text) for i in p[3]]
+        return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by a space, as the file names no decoder."""
         return " ".join(self.label[i] for i in ids)
 
 
+class _Words(dict):
+    """The tokens of chunks without white space, in lower case already, worked out when first asked for."""
+
+    def __init__(self, automaton: Automaton) -> None:
+        self.automaton = automaton
+
+    def __missing__(self, text: str) -> tuple[str, str, int] | None:
+        a, ids = self.automaton, []
+        for m in [text] if text.isalpha() else a.split.findall(text):
+            ids += a.token(m)
+        got = (" ".join(map(str, ids)), " ".join([a.label[i] for i in ids]), len(ids)) if ids else None
+        if len(text) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[text] = got
+        return got
+
+
 _SPACE = regex.compile(r"\p{White_Space}+")
+_NEW = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
 
 
 def _normal(text: str) -> list[str]:
     """NFC, white space as the separator, lower case letter by letter."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _NEW.search(text):
+            text = text.translate(NEW_LOWER)
     odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
     return [c for c in _SPACE.split(text.lower()) if c] if odd else text.lower().split()
 
@@ -230,11 +237,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in slices(batches, "text"):
             n, ids, text_sha, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
-                p = a.pieces(text)
-                n.append(sum(x[0] for x in p))
-                ids.append(sha(x[1] for x in p))
-                text_sha.append(sha(x[2] for x in p))
-                all_ids.append([i for x in p for i in x[3]] if with_ids else None)
+                of_ids, of_labels, counts = zip(*p, strict=True) if (p := list(a.pieces(text))) else ((), (), ())
+                n.append(sum(counts))
+                ids.append(sha(of_ids))
+                text_sha.append(sha(of_labels))
+                all_ids.append([int(i) for x in of_ids for i in x.split(" ")] if with_ids else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text_sha, pa.string()), pa.array(all_ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
