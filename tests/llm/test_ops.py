@@ -151,6 +151,57 @@ def test_resample(spark):
     assert quality.resample(d.where("false"), labels).count() == 0
 
 
+def test_resample_against_brute_force(spark):
+    """Weights, keys and the draw, worked out again from dictionaries; repeated rows, ties, clashing names, a long text."""
+    import math
+    from collections import Counter
+
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "zz%%", "q#"]
+    texts = [(i, " ".join(r.choice(words[: 4 + i % 3]) for _ in range(r.randint(1, 30)))) for i in range(150)] + [(150, None), (151, ""), (152, "alpha beta " * 30000), (3, "x y z"), (3, "x y z")]
+    d = spark.createDataFrame([(i, t, 1.0, False, "k") for i, t in texts], "doc_id long, text string, log_weight double, selected boolean, gumbel_key string").repartition(3)
+    good = [i for i in range(0, 150, 3)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 0) for i in range(1, 40, 3)] + [(2, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        raw = (t or "").encode()
+        b = b" " + raw + b"   "
+        return [int.from_bytes(b[j : j + 4], "big") * 0x9E3779B1 % 2**32 >> 17 for j in range(len(b) - 3)] if raw else []
+
+    raw, target = Counter(), Counter()
+    for i, t in texts:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    size, scale = 1 << quality.BITS, sum(target.values()) / sum(raw.values())
+    n_raw, n_target = sum(raw.values()) + 2 * size, sum(target.values()) + 2 * scale * size
+    ratio = lambda g: math.log((target[g] + 2 * scale) / n_target) - math.log((raw[g] + 2) / n_raw)
+    weight = lambda t: quality.GRAMS * sum(map(ratio, grams(t))) / len(grams(t)) if grams(t) else 0.0
+    hashed = {x.doc_id: x.h for x in d.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}
+    noise = lambda i: -math.log(-math.log((((hashed[i] % 2**64) >> 11) + 0.5) / 2**53))
+    want = [(i, weight(t), weight(t) + noise(i)) for i, t in texts]
+    for share in (None, 0.0, 0.3, 1.0):
+        rows = quality.resample(d, labels, share=share).collect()
+        if share is None:
+            k = sum(w >= min(0.0, np.quantile([w for i, w, _ in want if i in good], quality.TARGET_LOSS)) - 1e-9 for _, w, _ in want)
+        else:
+            k = math.ceil(share * len(texts))
+        cut = sorted((v for _, _, v in want), reverse=True)[k - 1] if k else math.inf
+        assert sorted((x.doc_id, round(x.log_weight, 6), round(x.gumbel_key, 6), x.selected) for x in rows) == sorted((i, round(w, 6), round(v, 6), v >= cut - 1e-9) for i, w, v in want)
+
+
+def test_the_draw_decides_near_the_cut(spark):
+    """Among documents of one kind the noise is worth as much as the weights, and takes less than a tenth of those far from the cut."""
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "house", "tree"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(400))) for i in range(300)] + [(i, " ".join(r.choice(["zz%%", "q#"]) for _ in range(400))) for i in range(300, 330)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = quality.resample(docs_of(spark, texts), labels, share=0.5).collect()
+    drawn = {x.doc_id for x in got if x.selected}
+    by_weight = {x.doc_id for x in sorted(got, key=lambda x: -x.log_weight)[: len(drawn)]}
+    assert len(drawn) == 165 and 5 < len(drawn - by_weight) < 120 and max(drawn) < 300
+
+
 def test_kth_largest(spark):
     r = random.Random(1)
     v = [r.gauss(0, 100) for _ in range(3000)] + [5.0] * 500
