@@ -1,32 +1,35 @@
 """Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff weights.
 
-P(w | h) = d_c * c(h, w) / c(h) for a bigram seen in training, else a(h) * P(w), and P(w)
-backs off in turn from discounted counts to one unknown word. One shuffle holds the corpus:
-tokens are dealt by a hash of the predicted word into buckets of bounded text, as packed
-arrays. A bucket knows c(w) and c(h, w) of its words and writes, into one staged table,
+Counts and what is asked of them travel as packed arrays between three partitioned tables:
 
-* per document: sums of logs, and how often counts of 1..CUT occur (discounts, which need
-  counts of counts over all buckets, are put in later),
-* per history: what its backoff weight needs from the bucket's words,
-* per document and history: the tokens whose bigram is unknown.
+* by predicted word: a bucket holds all tokens of its words, so it knows c(w) and c(h, w). It
+  answers each slice of documents with the counts of the slice's n-grams, and tells
+* by history: each history's counts of counts, and which unknown bigrams wait for its backoff
+  weight. A bucket of histories works out the weights, a(h) = (1 - what seen words keep) /
+  (1 - P(seen words)), and answers the slices with them;
+* by slice: all answers meet, and each token's probability is evaluated by recursion: from its
+  discounted bigram, or else the backoff weight times its unigram, or else the unknown word's.
 
-Counts of counts, histories and documents are then summed from that table.
+The answers of all word buckets are staged before the rest, as discounts need the counts of
+counts of the whole corpus. No row is ever made for a token; a document costs as many bytes in
+a large corpus as in a small one.
 
 Two light passes over the texts find the frequent words and bigrams beforehand and count them
 exactly (`frequent`): those with one of SHARES equal shares of all tokens, of which there can be
-two for each share at most. Frequent bigrams are scored where their text is read and
-never shuffled; other bigrams of a frequent word are split over buckets by their history.
+two for each share at most. Frequent bigrams are scored where their text is read and never
+shuffled; other bigrams of a frequent word are split over buckets by their history.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +44,17 @@ UNIT, SHARES = 2 << 20, 1 << 18
 WIDE = 4 << 20
 #: Rows of a bucket that go back to the JVM at a time.
 BATCH = 16384
-#: Histories that follow less than 1 / OFTEN of all tokens are joined by a shuffle, the others (OFTEN at most) by broadcast.
-OFTEN = 4096
+#: Buckets of words for one bucket of histories.
+HIST_BUCKETS = 4
 #: Documents whose remainder is HELD are scored only.
 FOLDS, HELD = 7, 2
 START, END = np.uint64(0x51ED270B0A7CF9E1), np.uint64(0xE4D1A7F05C3B9A65)
 
-_NULL = np.iinfo(np.int64).min
-_DOC = ["toks", "known", "starts", *(f"m{r}" for r in range(1, CUT + 1)), "mbig", *(f"u{r}" for r in range(CUT + 1)), "ubig"]
-_HIST = [*(f"b{r}" for r in range(1, CUT + 1)), "big", *(f"w{r}" for r in range(1, CUT + 1)), "wbig"]
-_STAT = [*(f"n{r}" for r in range(1, CUT + 2)), *(f"v{r}" for r in range(1, CUT + 2)), "n_all", "v_all"]
-#: Columns of the staged table: kind 0 documents, 1 histories, 2 unknown bigrams, 3 counts of counts.
-_WIDE = max(len(_DOC), len(_HIST), len(_STAT))
-_COLS = [f"a{i}" for i in range(_WIDE)]
-SCHEMA = "kind byte, k1 long, k2 long, lb double, ls double, " + ", ".join(f"{c} long" for c in _COLS)
+#: Columns of a history: bigrams seen 1..CUT times, tokens of those seen more often; the same of the words that follow it.
+_HIST = 2 * (CUT + 1)
+#: Kinds of packed rows: answers to slices, sums of a slice's own frequent bigrams, histories, unknown bigrams, backoff weights, counts of counts.
+ANSWER, OWN, HISTORY, MISS, BACK, STAT = range(6)
+SCHEMA = "kind byte, dest long, data binary, stat array<long>"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -136,13 +136,12 @@ class Frequent:
         self.pair, self.pw, self.ph = key[order], pw.astype(np.uint64)[order], ph.astype(np.uint64)[order]
         self.cw, self.cp = np.zeros(len(self.w), np.int64), np.zeros(len(key), np.int64)
 
-    def rows(self) -> pa.Table:
+    def rows(self, n_hist: int) -> pa.Table:
         """What buckets leave out: histories' sums over these bigrams, and counts of counts."""
         seen = self.cp > 0
         cp, cw = self.cp[seen], self.cw[_find(self.w, self.pw[seen])[0]] if seen.any() else self.cp[:0]
-        uh, ih = np.unique(self.ph[seen], return_inverse=True)
-        hist = _rows(1, uh.view(np.int64), cols=_history(cp, cw, lambda x: np.bincount(ih, weights=x, minlength=len(uh))))
-        return pa.concat_tables([hist, _rows(3, np.zeros(1), cols=_counts_of_counts(self.cp, self.cw))])
+        out = _histories(self.ph[seen], cp, cw, n_hist, self.w)
+        return _rows([*out, _stat(self.cp, self.cw)])
 
 
 def frequent(docs: DataFrame, shares: int) -> Frequent:
@@ -224,33 +223,31 @@ def _decode(steps: np.ndarray, rest: np.ndarray, common: np.ndarray) -> np.ndarr
 
 
 def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
-    """(bucket, ready, data): the tokens of slices of documents, packed for each bucket of predicted words.
+    """(bucket, slice, kind, data): the tokens of slices of documents, packed for each bucket of predicted words.
 
-    Ready data are rows of the staged table: what frequent bigrams add to documents.
+    Rows of kind OWN are for the slice itself: its ids, and what frequent bigrams add to its documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", WIDE):
+            name, number = part << 32 | number, number + 1
             ids = batch.column("doc_id").to_pylist()
             g = Grams(batch)
             vocab = g.vocab
             w, h, d, count = g.distinct()
             del g
-            doc_ids = np.array([_NULL if i is None else i for i in ids], np.int64)
             split = np.flatnonzero(_find(shared.w, vocab)[1][w])
             uw, uh = vocab[w[split]], vocab[h[split]]
             pair = _pair(uw, uh)
             at, there = _find(shared.pair, pair)
+            there &= shared.cp[at] > 0 if len(shared.cp) else False
             own = split[there]
-            numbers, ready, data = [], [], []
-            if len(own):
-                known = pa.concat_tables(_documents(doc_ids[d[own]], uw[there] == END, uh[there], count[own].astype(np.int64), shared.cw[_find(shared.w, uw[there])[0]], shared.cp[at[there]]))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, known.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(known)
-                numbers.append(int(mix(np.uint64([len(ids)]) + doc_ids[:1].view(np.uint64))[0] % np.uint64(n_buckets)))
-                ready.append(True)
-                data.append(sink.getvalue().to_pybytes())
+            wc = shared.cw[_find(shared.w, uw[there])[0]] if len(own) else np.zeros(0, np.int64)
+            sums = evaluate(len(ids), d[own], count[own], shared.cp[at[there]] if len(own) else wc, wc, uw[there] == END)
+            known = np.array([i is not None for i in ids], bool)
+            numbers, kinds = [int(mix(np.uint64([name]))[0] % np.uint64(n_buckets))], [OWN]
+            data = [_pack(known, np.array([i or 0 for i in ids], np.int64), *sums)]
             salt = vocab[w]
             salt[split] = pair
             rest = np.ones(len(w), bool)
@@ -258,101 +255,193 @@ def deal(docs: DataFrame, n_buckets: int, shared: Frequent) -> DataFrame:
             w, h, d, count, salt = w[rest], h[rest], d[rest], count[rest], salt[rest]
             bucket = mix(salt) % np.uint64(n_buckets)
             bucket = bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
-            held = np.array([held_out(i) for i in ids], np.uint8)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order].astype(np.int64), [-1]])))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = order[a:b]
-                own = w[part]
-                new = np.concatenate([[True], own[1:] != own[:-1]])
-                uw, iw = own[new], np.cumsum(new) - 1
-                uh, ih = np.unique(h[part], return_inverse=True)
-                ud, idd = np.unique(d[part], return_inverse=True)
-                numbers.append(int(bucket[part[0]]))
-                ready.append(False)
-                data.append(_pack(np.diff(doc_ids[ud], prepend=np.int64(0)), held[ud], *_encode(vocab[uw], shared.w), *_encode(vocab[uh], shared.w), _small(idd), _small(iw), _small(ih), _small(count[part])))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(ready, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "ready", "data"])
+            held = np.array([held_out(i) for i in ids], bool)
+            for b, of in _groups(bucket):
+                iw, words = _runs(w[of])
+                uh, ih = np.unique(h[of], return_inverse=True)
+                numbers.append(b)
+                kinds.append(ANSWER)
+                data.append(_pack(np.packbits(held), *_encode(vocab[words], shared.w), *_encode(vocab[uh], shared.w), _small(d[of]), _small(iw), _small(ih), _small(count[of])))
+            n = len(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([name] * n, pa.int64()), pa.array(kinds, pa.int8()), pa.array(data, pa.binary())], ["bucket", "slice", "kind", "data"])
 
-    return docs.mapInArrow(run, "bucket int, ready boolean, data binary")
+    return docs.mapInArrow(run, "bucket int, slice long, kind byte, data binary")
 
 
-def _rows(kind: int, k1: np.ndarray, k2: np.ndarray | None = None, lb: np.ndarray | None = None, ls: np.ndarray | None = None, cols: list[np.ndarray] | None = None) -> pa.Table:
-    n, nothing = len(k1), cols or []
-    own = [pa.array(np.full(n, kind), pa.int8()), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)) if k2 is not None else pa.nulls(n, pa.int64())]
-    own += [pa.array(x.astype(float)) if x is not None else pa.nulls(n, pa.float64()) for x in (lb, ls)]
-    own += [pa.array(np.rint(c).astype(np.int64)) for c in nothing] + [pa.nulls(n, pa.int64())] * (_WIDE - len(nothing))
-    return pa.table(own, names=["kind", "k1", "k2", "lb", "ls", *_COLS])
+def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places) of equal keys, places in their order."""
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(np.concatenate([[-1], key[order].astype(np.int64), [-1]])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(key[order[a]]), order[a:b]
 
 
-def _history(pb: np.ndarray, pw: np.ndarray, per: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """The columns of histories from counts of their bigrams and of the words these predict."""
-    one = lambda c: [*(per(c == r) for r in range(1, CUT + 1)), per(np.where(c > CUT, c, 0))]
-    return one(pb) + one(pw)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each value's run, the runs' values) of an array whose equal values lie together."""
+    new = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    return np.cumsum(new) - 1, x[new]
 
 
-def _counts_of_counts(cp: np.ndarray, cw: np.ndarray) -> list[np.ndarray]:
-    return [np.array([x]) for x in (*((c == r).sum() for c in (cp, cw) for r in range(1, CUT + 2)), cw.sum(), (cw > 0).sum())]
+def _rows(rows: list[tuple[int, int, bytes | None, list[int] | None]]) -> pa.Table:
+    kind, dest, data, stat = zip(*rows, strict=True)
+    table = pa.table([pa.array(kind, pa.int8()), pa.array(dest, pa.int64()), pa.array(data, pa.binary()), pa.array(stat, pa.list_(pa.int64()))], ["kind", "dest", "data", "stat"])
+    return pa.Table.from_batches(table.to_batches(max_chunksize=BATCH), table.schema)
 
 
-def _documents(doc: np.ndarray, is_end: np.ndarray, h: np.ndarray, c: np.ndarray, wc: np.ndarray, pc: np.ndarray) -> list[pa.Table]:
-    """What tokens add to their documents, and their unknown bigrams by document and history.
+def _stat(cp: np.ndarray, cw: np.ndarray) -> tuple[int, int, None, list[int]]:
+    """Counts of counts 1..CUT + 1 of bigrams and words, all word tokens, distinct words."""
+    return STAT, 0, None, [int(x) for x in (*((c == r).sum() for c in (cp, cw) for r in range(1, CUT + 2)), cw.sum(), (cw > 0).sum())]
 
-    c: how often the row's bigram is in the document; wc, pc: how often its word and itself are in training.
+
+def _histories(h: np.ndarray, cp: np.ndarray, cw: np.ndarray, n_hist: int, common: np.ndarray) -> list[tuple[int, int, bytes, None]]:
+    """Rows of histories from their distinct bigrams: counts of these and of the words they predict."""
+    uh, ih = np.unique(h, return_inverse=True)
+    out = []
+    cols = [np.bincount(ih, weights=x, minlength=len(uh)).astype(np.int64) for c in (cp, cw) for x in (*(c == r for r in range(1, CUT + 1)), np.where(c > CUT, c, 0))]
+    for g, of in _groups((mix(uh) % np.uint64(n_hist)).astype(np.int64)):
+        steps, rest = _encode(uh[of], common)
+        there = _find(common, uh[of])[1]
+        order = np.concatenate([of[there], of[~there]])
+        out.append((HISTORY, g, _pack(steps, rest, *(_small(c[order]) for c in cols)), None))
+    return out
+
+
+def evaluate(n: int, d: np.ndarray, c: np.ndarray, pc: np.ndarray, wc: np.ndarray, is_end: np.ndarray) -> list[np.ndarray]:
+    """Sums for each of n documents over n-grams that occur c times in document d.
+
+    pc, wc: how often the bigram and its word occur in training. The recursion on a token is
+    seen bigram, else seen word, else unknown word; how often each case with a small count
+    comes up is summed as such, as the discounts are not known yet, and the rest as logs.
     """
-    ud, idd = np.unique(doc, return_inverse=True)
-    per = lambda x: np.bincount(idd, weights=x, minlength=len(ud))
-    seen = pc > 0
+    per = lambda x: np.bincount(d, weights=x, minlength=n)
     log = lambda x: np.log10(np.maximum(x, 1))
-    ls = np.where(pc > CUT, c * log(pc), 0.0) - np.where((wc > 0) & ~is_end, c * log(wc), 0.0) + np.where(~seen & (wc > CUT), c * log(wc), 0.0)
-    only = lambda which: per(np.where(which, c, 0))
-    cols = [per(c), only(wc > 0), only(h == START), *(only(pc == r) for r in range(1, CUT + 1)), only(pc > CUT), *(only(~seen & (wc == r)) for r in range(CUT + 1)), only(~seen & (wc > CUT))]
-    at = np.flatnonzero(~seen)
-    return [_rows(0, ud, None, per(c * np.log10(wc + 1.0)), per(ls), cols), _rows(2, doc[at], h[at].view(np.int64), cols=[c[at]])]
-
-
-def count_bucket(rows: pa.Table, shared: Frequent) -> pa.Table:
-    """What one bucket of words adds to the four kinds of sums; shared words and bigrams count as they do in all buckets."""
-    ready = rows.column("ready").to_pylist()
-    data = rows.column("data")
-    out = [pa.ipc.open_stream(x.as_buffer()).read_all() for x, r in zip(data, ready, strict=True) if r]
-    parts = [_unpack(x.as_py()) for x, r in zip(data, ready, strict=True) if not r]
+    seen = pc > 0
+    # Each word but the end is the history of the next token: c(h) of all tokens but the first.
+    logs = np.where(pc > CUT, c * log(pc), 0.0) + np.where(~seen & (wc > CUT), c * log(wc), 0.0) - np.where(is_end, 0.0, c * log(wc))
+    # 0: unknown word, 1..CUT: word, CUT + 1: frequent word; then the same from 1 for bigrams.
+    case = np.where(seen, CUT + 1 + np.minimum(pc, CUT + 1), np.minimum(wc, CUT + 1))
+    cases = np.bincount(d * (2 * CUT + 3) + case, weights=c, minlength=n * (2 * CUT + 3)).reshape(n, -1)
+    return [per(c), per(np.where(wc > 0, c, 0)), per(c * np.log10(wc + 1.0)), per(logs), *cases.T]
+
+
+def count_bucket(rows: pa.Table, shared: Frequent, n_hist: int) -> pa.Table:
+    """The answers of one bucket of words to slices, and its rows for histories; shared words and bigrams count as they do in all buckets."""
+    kinds, names, data = rows.column("kind").to_pylist(), rows.column("slice").to_pylist(), rows.column("data")
+    out = [(OWN, s, x.as_py(), None) for s, k, x in zip(names, kinds, data, strict=True) if k == OWN]
+    names = [s for s, k in zip(names, kinds, strict=True) if k == ANSWER]
+    parts = [_unpack(x.as_py()) for x, k in zip(data, kinds, strict=True) if k == ANSWER]
     if not parts:
-        return pa.concat_tables(out)
-    doc = np.concatenate([np.cumsum(p[0])[p[6]] for p in parts])
-    held = np.concatenate([p[1][p[6]] for p in parts]).astype(bool)
-    w = np.concatenate([_decode(p[2], p[3], shared.w)[p[7]] for p in parts])
-    h = np.concatenate([_decode(p[4], p[5], shared.w)[p[8]] for p in parts])
-    c = np.concatenate([p[9].astype(np.uint32) for p in parts])
+        return _rows(out)
+    sizes = [len(p[5]) for p in parts]
+    held = np.concatenate([np.unpackbits(p[0])[p[5]] for p in parts]).astype(bool)
+    w = np.concatenate([_decode(p[1], p[2], shared.w)[p[6]] for p in parts])
+    h = np.concatenate([_decode(p[3], p[4], shared.w)[p[7]] for p in parts])
+    c = np.concatenate([p[8].astype(np.uint32) for p in parts])
+    docs, places = [p[5] for p in parts], [p[6] for p in parts]
     del parts
-    is_end = w == END
-    uw, iw = np.unique(w, return_inverse=True)
     train = np.where(held, 0, c)
-    cw = np.rint(np.bincount(iw, weights=train, minlength=len(uw))).astype(np.int64)
+    uw, iw = np.unique(w, return_inverse=True)
     iw = iw.astype(np.int32)
+    cw = np.rint(np.bincount(iw, weights=train, minlength=len(uw))).astype(np.int64)
     up, where, ip = np.unique(_pair(w, h), return_index=True, return_inverse=True)
     ip = ip.astype(np.int32)
-    del w
     cp = np.rint(np.bincount(ip, weights=train, minlength=len(up))).astype(np.int64)
+    del w, train, held
     at, split_w = _find(shared.w, uw)
     cw[split_w] = shared.cw[at[split_w]]
     at, split_p = _find(shared.pair, up)
     cp[split_p] = shared.cp[at[split_p]]
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for k, name in enumerate(names):
+        own = slice(edges[k], edges[k + 1])
+        first = np.flatnonzero(np.concatenate([[True], np.diff(places[k].astype(np.int64)) != 0]))
+        words = iw[own][first]
+        is_end = np.flatnonzero(uw[words] == END)
+        out.append((ANSWER, name, _pack(docs[k], _small(c[own]), _small(cp[ip[own]]), _small(np.diff(np.append(first, sizes[k]))), _small(cw[words]), is_end.astype(np.int32)), None))
 
-    del train
-    wc, pc = cw[iw], cp[ip]
-    out += _documents(doc, is_end, h, c, wc, pc)
-    del doc, wc, pc
-
-    # Histories, from the distinct training bigrams.
     known = np.flatnonzero((cp > 0) & ~split_p)
-    hh, pw, pb = h[where[known]], cw[iw[where[known]]], cp[known]
-    uh, ih = np.unique(hh, return_inverse=True)
-    cols = _history(pb, pw, lambda x: np.bincount(ih, weights=x, minlength=len(uh)))
-    out.append(_rows(1, uh.view(np.int64), cols=cols))
-    out.append(_rows(3, np.zeros(1), cols=_counts_of_counts(cp[~split_p], cw[~split_w])))
-    # Small batches, as the JVM holds each whole.
-    whole = pa.concat_tables(out)
-    return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH), whole.schema)
+    out += _histories(h[where[known]], cp[known], cw[iw[where[known]]], n_hist, shared.w)
+    miss = np.flatnonzero(cp[ip] == 0)
+    part = np.repeat(np.arange(len(names)), sizes)[miss]
+    doc = np.concatenate(docs)[miss]
+    for g, of in _groups((mix(h[miss]) % np.uint64(n_hist)).astype(np.int64)):
+        up, ipart = np.unique(part[of], return_inverse=True)
+        uh, ih = np.unique(h[miss[of]], return_inverse=True)
+        out.append((MISS, g, _pack(np.array(names, np.int64)[up], _small(ipart), _small(doc[of]), *_encode(uh, shared.w), _small(ih), _small(c[miss[of]])), None))
+    out.append(_stat(cp[~split_p], cw[~split_w]))
+    return _rows(out)
+
+
+def weigh_histories(rows: pa.Table, common: np.ndarray, model: Model) -> pa.Table:
+    """What the backoff weights of one bucket of histories, c(h) a(h), add to documents of slices."""
+    kinds = rows.column("kind").to_pylist()
+    parts = {k: [_unpack(x.as_py()) for x, own in zip(rows.column("data"), kinds, strict=True) if own == k] for k in (HISTORY, MISS)}
+    if not parts[MISS]:
+        return _rows([(STAT, 0, None, None)]).slice(0, 0)
+    keys, back = np.zeros(0, np.uint64), np.zeros(0)
+    if parts[HISTORY]:
+        h = np.concatenate([np.concatenate([common[np.cumsum(p[0], dtype=np.int64)], p[1]]) for p in parts[HISTORY]])
+        keys, ih = np.unique(h, return_inverse=True)
+        back = model.backoff([np.bincount(ih, weights=np.concatenate([p[2 + i] for p in parts[HISTORY]]), minlength=len(keys)) for i in range(_HIST)])
+    sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for names, part, doc, steps, rest, ih, c in parts[MISS]:
+        h = _decode(steps, rest, common)
+        at, there = _find(keys, h)
+        # A history that training does not have gives nothing away: its words are those of the unigram.
+        add = np.where(there, back[at] if len(keys) else 0.0, 0.0)[ih] * c
+        for k, of in _groups(part):
+            sums.setdefault(int(names[k]), []).append((doc[of].astype(np.int64), add[of]))
+    out = []
+    for name, own in sums.items():
+        d, x = (np.concatenate(v) for v in zip(*own, strict=True))
+        ud, idd = np.unique(d, return_inverse=True)
+        out.append((BACK, name, _pack(_small(ud), np.bincount(idd, weights=x)), None))
+    return _rows(out)
+
+
+def score_slice(rows: pa.Table, model: Model) -> pa.Table:
+    """(doc_id, n_tokens, n_known, base, score) for each text of one slice, from all answers to it."""
+    kinds = rows.column("kind").to_pylist()
+    parts = {k: [_unpack(x.as_py()) for x, own in zip(rows.column("data"), kinds, strict=True) if own == k] for k in (OWN, ANSWER, BACK)}
+    known, ids, *sums = parts[OWN][0]
+    n, total = len(ids), np.array(sums, float)
+    for d, c, pc, runs, wc, ends in parts[ANSWER]:
+        is_end = np.zeros(len(wc), bool)
+        is_end[ends] = True
+        total += evaluate(n, d.astype(np.int64), c.astype(np.int64), pc.astype(np.int64), np.repeat(wc, runs).astype(np.int64), np.repeat(is_end, runs))
+    toks, seen, base, logs, *cases = total
+    score = logs + np.array(cases).T @ model.case_logs() - model.start_log
+    for d, x in parts[BACK]:
+        score[d] += x
+    whole = [pa.array(ids, pa.int64(), mask=~known), *(pa.array(np.rint(x).astype(np.int64)) for x in (toks, seen)), pa.array(base), pa.array(score)]
+    return pa.table(whole, ["doc_id", "n_tokens", "n_known", "base", "score"])
+
+
+class Model:
+    """Discounts and the probabilities of words by their counts, from the counts of counts of the whole corpus."""
+
+    def __init__(self, stat: list[int], starts: int) -> None:
+        self.bi, self.uni = discounts(stat[: CUT + 1]), discounts(stat[CUT + 1 : 2 * CUT + 2])
+        self.n_all, self.v_all = stat[-2:]
+        # P(w): discounted counts over N; what they lose is the unknown word's.
+        total, times = max(self.n_all, 1), stat[CUT + 1 : 2 * CUT + 1]
+        small = sum(r * n for r, n in zip(range(1, CUT + 1), times, strict=True))
+        lost = sum((1 - x) * r * n for r, x, n in zip(range(1, CUT + 1), self.uni, times, strict=True)) + (1 - LARGE) * (self.n_all - small)
+        self.unknown = lost / total if self.n_all else 1.0
+        self.p_low = [self.unknown, *(x * r / total for r, x in zip(range(1, CUT + 1), self.uni, strict=True))]
+        self.p_big = LARGE / total
+        self.start_log = math.log10(max(1, starts))
+
+    def case_logs(self) -> np.ndarray:
+        """log10 of what a token of each case of evaluate() is worth beside its own logs."""
+        return np.log10([*self.p_low, self.p_big, *(x * r for r, x in zip(range(1, CUT + 1), self.bi, strict=True)), LARGE])
+
+    def backoff(self, cols: list[np.ndarray]) -> np.ndarray:
+        """log10 of c(h) a(h): what seen words give away over what unseen ones have, from the columns of histories."""
+        small, big, words, frequent_words = cols[:CUT], cols[CUT], cols[CUT + 1 : -1], cols[-1]
+        given = sum(r * (1 - x) * b for r, x, b in zip(range(1, CUT + 1), self.bi, small, strict=True)) + (1 - LARGE) * big
+        unseen = 1 - sum(p * b for p, b in zip(self.p_low[1:], words, strict=True)) - self.p_big * frequent_words
+        return np.log10(given) - np.log10(np.maximum(unseen, self.unknown))
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -373,64 +462,37 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or the start. Documents with crc32(doc_id as text) mod 7 = 2 are scored only. base_score is
     the add-one unigram model's, score the Katz model's log10 probability of the text.
 
-    Null and empty texts are one end token. Rows that share a doc_id are one document of
+    docs should be read from files, or staged: a task that is run again must see its rows in
+    the same order. Null and empty texts are one end token. Rows that share a doc_id are one document of
     several texts (sums over them); null ids are one document, held out by the rule for ''.
     Without training documents N is 0 and every word is unknown. Empty input gives an empty
     result; other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
     # A document's end takes room too.
-    size = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    size, starts = d.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.count(F.when(~held, 1))).first()
     # Beyond as many buckets as shares, buckets grow instead: what each worker knows of frequent words stays bounded.
-    n_buckets = min(max(1, -(-size // bucket_bytes)), max(shares, SHARES))
+    n_buckets = min(max(1, -(-(size or 0) // bucket_bytes)), max(shares, SHARES))
+    n_hist = max(1, n_buckets // HIST_BUCKETS)
     shared = frequent(d, shares)
-    counted = deal(d, n_buckets, shared).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda rows: count_bucket(rows, shared), SCHEMA)
+    dealt = deal(d, n_buckets, shared).repartition(n_buckets, "bucket").groupBy("bucket")
     spark: SparkSession = d.sparkSession
-    kept = stage(counted, "counts").unionByName(spark.createDataFrame(shared.rows(), SCHEMA))
-
-    def kind(k: int, names: list[str]) -> DataFrame:
-        return kept.where(F.col("kind") == k).select("k1", "k2", "lb", "ls", *(F.col(c).alias(n) for c, n in zip(_COLS, names, strict=False)))
-
-    stat = [int(x or 0) for x in kind(3, _STAT).agg(*(F.sum(c) for c in _STAT)).first()]
-    bi, uni, (n_all, v_all) = discounts(stat[: CUT + 1]), discounts(stat[CUT + 1 : 2 * CUT + 2]), stat[-2:]
-    # P(w): discounted counts over N; what they lose is the unknown word's.
-    total = max(n_all, 1)
-    small = sum(r * n for r, n in zip(range(1, CUT + 1), stat[CUT + 1 : 2 * CUT + 1], strict=True))
-    lost = sum((1 - x) * r * n for r, x, n in zip(range(1, CUT + 1), uni, stat[CUT + 1 : 2 * CUT + 1], strict=True)) + (1 - LARGE) * (n_all - small)
-    unknown = lost / total if n_all else 1.0
-    p_low = [unknown, *(x * r / total for r, x in zip(range(1, CUT + 1), uni, strict=True))]
-    p_big = LARGE / total
-
-    added = lambda names: [F.sum(c).alias(c) for c in names]
-    weighed = lambda name, by: sum((F.col(f"{name}{r}") * by[r] for r in range(1, CUT + 1)), F.lit(0.0))
-    # Backoff weight times c(h): what seen words give away, over what unseen ones have.
-    hist = kind(1, _HIST).groupBy("k1").agg(*added(_HIST))
-    given = weighed("b", [0, *(r * (1 - bi[r - 1]) for r in range(1, CUT + 1))]) + F.col("big") * (1 - LARGE)
-    unseen = F.greatest(1 - weighed("w", p_low) - F.col("wbig") * p_big, F.lit(unknown))
-    count = sum((F.col(f"b{r}") * r for r in range(1, CUT + 1)), F.col("big"))
-    hist = hist.select(F.col("k1").alias("h"), (F.log10(given) - F.log10(unseen)).alias("back"), count.alias("c_h"))
-    begun = hist.where(F.col("h") == int(START.view(np.int64))).select("c_h").first()
-    miss = kind(2, ["c"]).select(F.col("k1").alias("doc_id"), F.col("k2").alias("h"), "c")
-    # Histories that hold much of the table don't go through a shuffle.
-    heavy = np.append(shared.w[shared.cw * OFTEN >= max(n_all, 1)], START).view(np.int64)
-    often = F.broadcast(spark.createDataFrame(pa.table({"h": heavy})))
-    few = miss.join(F.broadcast(hist.join(often, "h", "left_semi")), "h")
-    found = few.unionByName(miss.join(often, "h", "left_anti").join(hist, "h"))
-    extra = found.groupBy("doc_id").agg(F.sum(F.col("c") * F.col("back")).alias("extra"))
-
-    doc = kind(0, _DOC).groupBy(F.col("k1").alias("doc_id")).agg(F.sum("lb").alias("lb"), F.sum("ls").alias("ls"), *added(_DOC))
-    logs = lambda values: [math.log10(v) if v > 0 else 0.0 for v in values]
-    seen = weighed("m", logs([0, *(bi[r - 1] * r for r in range(1, CUT + 1))])) + F.col("mbig") * math.log10(LARGE)
-    low = weighed("u", logs(p_low)) + F.col("u0") * math.log10(unknown) + F.col("ubig") * math.log10(p_big)
-    score = F.col("ls") + seen + low - F.col("starts") * math.log10(max(1, begun[0] if begun else 1)) + F.coalesce("extra", F.lit(0.0))
-    own = F.when(F.col("doc_id") != F.lit(int(_NULL)), F.col("doc_id"))
-    held = F.crc32(F.coalesce(own.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
-    return doc.join(extra, "doc_id", "left").select(
-        own.alias("doc_id"),
+    counts = stage(dealt.applyInArrow(lambda rows: count_bucket(rows, shared, n_hist), SCHEMA), "counts")
+    counts = counts.unionByName(spark.createDataFrame(shared.rows(n_hist), SCHEMA))
+    stat = counts.where(F.col("kind") == STAT).select(*(F.sum(F.get("stat", F.lit(i))) for i in range(2 * CUT + 4))).first()
+    model, common = Model([int(x or 0) for x in stat], starts), shared.w
+    asked = counts.where(F.col("kind").isin(HISTORY, MISS)).repartition(n_hist, "dest").groupBy("dest")
+    back = stage(asked.applyInArrow(lambda rows: weigh_histories(rows, common, model), SCHEMA), "backoff")
+    answers = counts.where(F.col("kind").isin(OWN, ANSWER)).unionByName(back).groupBy("dest")
+    scored = answers.applyInArrow(lambda rows: score_slice(rows, model), "doc_id long, n_tokens long, n_known long, base double, score double")
+    whole = scored.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return whole.select(
+        "doc_id",
         held.alias("held_out"),
-        F.col("toks").alias("n_tokens"),
-        F.col("known").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("lb") - F.col("toks") * math.log10(n_all + v_all + 1)).alias("base_score"),
-        score.alias("score"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.n_all).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * math.log10(model.n_all + model.v_all + 1)).alias("base_score"),
+        "score",
     )

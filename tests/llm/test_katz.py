@@ -79,5 +79,16 @@ def test_frequent_words_are_split(spark):
         assert (r.n_tokens, r.n_known) == want[r.doc_id][1:3] and r.score == pytest.approx(want[r.doc_id][4], rel=1e-8)
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows of one id are one document; null ids are one, held out as '' is; ids at the end of the range stay; other columns are not read."""
+    texts = [(i, "a b c d"[: 1 + i % 7]) for i in range(50)] + [(7, "a b"), (7, "a b"), (None, "a x"), (None, None), (-(2**63), "a b")]
+    df = spark.createDataFrame([(i, t, 1.0, 2) for i, t in texts], "doc_id long, text string, score double, dest int").repartition(4)
+    got = {r.doc_id: r for r in katz.score_documents(df, bucket_bytes=60, shares=4).collect()}
+    assert len(got) == 52 and got.keys() >= {None, -(2**63)}
+    assert got[7].n_tokens == len("a b c d"[:1].split()) + 1 + 6 and got[None].n_tokens == 4
+    alone = {r.doc_id: r.score for r in katz.score_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(1)).collect()}
+    assert {i: r.score for i, r in got.items()} == pytest.approx(alone, rel=1e-9)
+
+
 def test_empty(spark):
     assert katz.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
