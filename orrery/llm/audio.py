@@ -1,8 +1,10 @@
 """Audio features of 8-bit samples: polyphase resampling, log-mel frames, energy segments.
 
 Stored media are mono 8-bit WAV files. Features are log-mel windows of one fixed shape,
-(WINDOW frames, MELS), each with its time span, and activity segments by two energy
-thresholds. Samples are worked on in blocks of frames, so memory doesn't grow with length.
+(WINDOW frames, MELS), stored as an Arrow column of fixed-shape tensors with their time spans,
+and activity segments by two energy thresholds. sounds() makes both, audio_table() stores them
+and works on what it reads back. Spectra are made in blocks of frames, so beside a text, its file
+and its tensors (an eighth of its bytes, a window at least) memory doesn't grow with length.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import io
 import wave
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import slices, utf8
+from orrery.llm.common import slices, stage, utf8
 
 RATE, UP, DOWN, TAPS = 8000, 4, 5, 8
 OUT_RATE = RATE * UP // DOWN
 FRAME, HOP, MELS, WINDOW = 256, 128, 16, 64
-#: Decibels above FLOOR at which a segment begins and below which it ends.
-RISE, FALL, FLOOR = 90.0, 72.0, 1e-10
+#: Decibels above FLOOR at which a segment begins and below which it ends, of a frame without its mean. Of frames of
+#: prose nine in ten rise to the first and one in a hundred falls below the second; runs of one character, rules and
+#: plain digits lie well below.
+RISE, FALL, FLOOR = 105.0, 103.8, 1e-10
 BLOCK = 1024
 
 
@@ -93,16 +96,17 @@ def resample(x: np.ndarray, start: int, end: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (log-mel frames, frame energies in dB). At least one frame; the last ones reach into silence."""
+    """Blocks of (log-mel frames in hundredths of log10, frame energies in dB). At least one frame; the last ones reach into silence."""
     total = resampled_length(len(x))
     frames = max(1, -(-max(0, total - FRAME) // HOP) + 1)
     for f in range(0, frames, BLOCK):
         k = min(BLOCK, frames - f)
         y = resample(x, f * HOP, (f + k - 1) * HOP + FRAME)
-        v = sliding_window_view(y, FRAME)[::HOP] * _HANN
-        p = np.fft.rfft(v, axis=1)
+        frame = sliding_window_view(y, FRAME)[::HOP]
+        p = np.fft.rfft(frame * _HANN, axis=1)
         power = p.real**2 + p.imag**2
-        yield np.log10(power @ _BANK + FLOOR), 10 * np.log10((v * v).sum(axis=1) + FLOOR)
+        v = (frame - frame.mean(axis=1, keepdims=True)) * _HANN
+        yield np.rint(100 * np.log10(power @ _BANK + FLOOR)).astype(np.int16), 10 * np.log10((v * v).sum(axis=1) + FLOOR)
 
 
 def segments(db: np.ndarray) -> np.ndarray:
@@ -115,92 +119,99 @@ def segments(db: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-@dataclass
-class Sound:
-    n_bytes: int
-    media: bytes
-    payload: bytes
-    mel: np.ndarray
-    active: np.ndarray
+KIND = pa.fixed_shape_tensor(pa.int16(), (WINDOW, MELS))
+SCHEMA = pa.schema([pa.field("mel", KIND), pa.field("start_s", pa.float64()), pa.field("end_s", pa.float64())])
 
-    def windows(self) -> np.ndarray:
-        """Log-mel as (n, WINDOW, MELS); the last window is filled up with the floor."""
-        n = -(-len(self.mel) // WINDOW)
-        out = np.full((n * WINDOW, MELS), np.log10(FLOOR), np.float32)
-        out[: len(self.mel)] = self.mel
-        return out.reshape(n, WINDOW, MELS)
 
-    def spans(self) -> list[tuple[float, float]]:
-        return [(i * WINDOW * HOP / OUT_RATE, (min((i + 1) * WINDOW, len(self.mel)) - 1) * HOP / OUT_RATE + FRAME / OUT_RATE) for i in range(-(-len(self.mel) // WINDOW))]
+def seconds(frames: np.ndarray | int) -> np.ndarray | float:
+    return frames * (HOP / OUT_RATE)
 
-    def digest(self) -> str:
-        """frames:segments:active frames:SHA-256 of the log-mel values in hundredths."""
-        h = hashlib.sha256(np.rint(self.mel * 100).astype("<i2").tobytes()).hexdigest()
-        return f"{len(self.mel)}:{len(self.active)}:{int((self.active[:, 1] - self.active[:, 0]).sum())}:{h}"
 
+def write_tensors(mel: np.ndarray) -> bytes:
+    """An Arrow stream of windows of log-mel frames with their time spans; the last window is filled up with the floor."""
+    n = -(-len(mel) // WINDOW)
+    full = np.full((n * WINDOW, MELS), round(100 * np.log10(FLOOR)), np.int16)
+    full[: len(mel)] = mel
+    at = np.arange(n) * WINDOW
+    last = np.minimum(at + WINDOW, len(mel)) - 1
+    store = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), WINDOW * MELS)
+    cols = [pa.ExtensionArray.from_storage(KIND, store), pa.array(seconds(at)), pa.array(seconds(last) + FRAME / OUT_RATE)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SCHEMA) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(cols, schema=SCHEMA))
+    return sink.getvalue().to_pybytes()
 
-def listen(text: str | None) -> Sound:
-    raw = payload_of(text)
-    media = to_wav(raw)
-    payload = from_wav(media)
-    blocks = list(log_mel(np.frombuffer(payload, np.uint8)))
-    mel, db = (np.concatenate(p) for p in zip(*blocks, strict=True))
-    return Sound(len(utf8(text)), media, payload, mel.astype(np.float32), segments(db))
+
+def read_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(windows as (n, WINDOW, MELS) hundredths of log10, spans as (n, 2) seconds) of stored tensors."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    mel = table.column("mel").chunk(0).to_numpy_ndarray()
+    return mel, np.stack([table.column(c).to_numpy() for c in ("start_s", "end_s")], axis=1)
+
+
+def frames_of(data: bytes) -> np.ndarray:
+    """The log-mel frames of stored tensors, without what fills up the last window."""
+    mel, spans = read_tensors(data)
+    rest = round((spans[-1, 1] - spans[-1, 0] - FRAME / OUT_RATE) * OUT_RATE / HOP) + 1
+    return mel.reshape(-1, MELS)[: (len(mel) - 1) * WINDOW + rest]
+
+
+def listen(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(log-mel frames, [start, end) frames of activity) of 8-bit samples."""
+    mel, db = (np.concatenate(p) for p in zip(*log_mel(np.frombuffer(payload, np.uint8)), strict=True))
+    return mel, segments(db)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def audio_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, window, start_s, end_s, mel): each text's sound as fixed-shape log-mel windows.
+def sounds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media, tensors, segments): each text's file, log-mel tensors (read_tensors) and active time spans.
 
-    mel has WINDOW * MELS floats, row by row; to_tensors() gives the Arrow tensor column.
-    Null and empty texts are 64 zero bytes; repeated rows and null ids each give their rows.
+    One row for each row of docs. Ids are integers. Null and empty texts are 64 zero bytes with
+    n_bytes 0. Repeated rows and null ids each give a row; other columns are not read; empty
+    input gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            ids, at, start, end, mel = [], [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = listen(text)
-                spans = s.spans()
-                ids += [i] * len(spans)
-                at += range(len(spans))
-                start += [a for a, _ in spans]
-                end += [b for _, b in spans]
-                mel.append(s.windows().reshape(-1))
-            flat = pa.array(np.concatenate(mel))
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WINDOW * MELS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64()), rows], ["doc_id", "window", "start_s", "end_s", "mel"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, window int, start_s double, end_s double, mel array<float>")
-
-
-def to_tensors(rows: pa.Table) -> pa.Table:
-    """The mel lists of an Arrow table as a fixed_shape_tensor column of (WINDOW, MELS)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS))
-    flat = rows.column("mel").combine_chunks().flatten().cast(pa.float32())
-    store = pa.FixedSizeListArray.from_arrays(flat, WINDOW * MELS)
-    return rows.set_column(rows.schema.get_field_index("mel"), pa.field("mel", kind), pa.ExtensionArray.from_storage(kind, store))
-
-
-def audio_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", media: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, media).
-
-    One row for each row of docs. payload_* and tail_crc32 come from the bytes read back
-    out of the WAV. Null and empty texts are 64 zero bytes with n_bytes 0. media=False leaves
-    the file itself out (null).
+            rows = []
+            for text in batch.column("text").to_pylist():
+                media = to_wav(payload_of(text))
+                mel, active = listen(from_wav(media))
+                spans = [{"start_s": a, "end_s": b} for a, b in zip(seconds(active[:, 0]).tolist(), (seconds(active[:, 1] - 1) + FRAME / OUT_RATE).tolist(), strict=True)]
+                rows.append((len(utf8(text)), media, write_tensors(mel), spans))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "media", "tensors", "segments"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s double, end_s double>>")
+
+
+def digest(tensors: bytes, spans: list[dict[str, float]]) -> str:
+    """frames:segments:active milliseconds:SHA-256 of the log-mel values in hundredths, from stored tensors and spans."""
+    mel = frames_of(tensors)
+    active = sum(round(1000 * (s["end_s"] - s["start_s"])) for s in spans)
+    return f"{len(mel)}:{len(spans)}:{active}:{hashlib.sha256(mel.astype('<i2').tobytes()).hexdigest()}"
+
+
+def audio_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
+
+    sounds() of docs, stored in the shared folder; all but n_bytes comes from the files and
+    tensors that are read back from there. Nulls, empties, repeats and clashes as in sounds().
     """
+    stored = stage(sounds(docs, id_col, text_col), "sounds", compression="zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "media", 1 << 20):
             rows = []
-            for text in batch.column("text").to_pylist():
-                s = listen(text)
-                rows.append((s.n_bytes, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(s.media), hashlib.sha256(s.media).hexdigest(), s.digest(), s.media if media else None))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            for media, tensors, spans in zip(*(batch.column(c).to_pylist() for c in ("media", "tensors", "segments")), strict=True):
+                payload = from_wav(media)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(tensors, spans)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

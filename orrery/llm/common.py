@@ -93,14 +93,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where or "/tmp/checkpoints/orrery"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, was)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

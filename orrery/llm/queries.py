@@ -29,7 +29,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_table(table(spark, sf_dir, "documents"), media=False).drop("media")
+    return audio.audio_table(table(spark, sf_dir, "documents"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,19 +213,54 @@ def test_kth_largest(spark):
 # Audio
 def test_audio(spark):
     texts = [(1, None), (2, ""), (3, "x" * 64), (4, "é" * 33), (5, "wort " * 9000), (6, "wort " * 9000)]
-    rows = {r.doc_id: r for r in audio.audio_table(docs_of(spark, texts)).collect()}
+    d = docs_of(spark, [*texts, (None, "x"), (None, "x")])
+    rows = {r.doc_id: r for r in audio.audio_table(d).collect()}
+    stored = {r.doc_id: r for r in audio.sounds(d).collect()}
     for i, t in texts:
         raw = (t or "").encode()
         size = max(64, -(-len(raw) // 64) * 64)
-        with wave.open(io.BytesIO(bytes(rows[i].media))) as w:
+        with wave.open(io.BytesIO(bytes(stored[i].media))) as w:
             back = w.readframes(w.getnframes())
         assert back == raw + bytes(size - len(raw)) and rows[i].payload_bytes == size and rows[i].n_bytes == len(raw)
-        assert rows[i].payload_sha256 == hashlib.sha256(back).hexdigest() and rows[i].media_sha256 == hashlib.sha256(bytes(rows[i].media)).hexdigest()
+        assert rows[i].payload_sha256 == hashlib.sha256(back).hexdigest() and rows[i].media_sha256 == hashlib.sha256(bytes(stored[i].media)).hexdigest()
+        mel, _ = audio.listen(back)
+        windows, spans = audio.read_tensors(bytes(stored[i].tensors))
+        assert windows.shape == (-(-len(mel) // audio.WINDOW), audio.WINDOW, audio.MELS) and (audio.frames_of(bytes(stored[i].tensors)) == mel).all()
+        assert spans[0, 0] == 0 and (np.diff(spans[:, 0]) > 0).all() and (spans[:, 1] > spans[:, 0]).all()
+        assert rows[i].feature.startswith(f"{len(mel)}:{len(stored[i].segments)}:")
     assert rows[1].feature == rows[2].feature and rows[5].feature == rows[6].feature != rows[4].feature
-    win = audio.audio_windows(docs_of(spark, texts))
-    t = audio.to_tensors(pa.Table.from_pandas(win.where("doc_id = 5").orderBy("window").toPandas()))
-    assert t.column("mel").type.shape == [audio.WINDOW, audio.MELS]
-    assert t.column("mel").chunk(0).to_numpy_ndarray().reshape(-1, audio.MELS)[:5] == pytest.approx(audio.listen("wort " * 9000).mel[:5])
+    assert audio.audio_table(d).count() == len(texts) + 2 and audio.audio_table(d.where("false")).count() == 0
+
+
+def test_log_mel_by_a_plain_transform():
+    """Frames, mel bands and energies from sums over samples, one frame at a time."""
+    x = np.frombuffer(("A sound of words, 0123456789 and more words. " * 30).encode(), np.uint8)
+    mel, db = (np.concatenate(p) for p in zip(*audio.log_mel(x), strict=True))
+    y = audio.resample(x, 0, audio.resampled_length(len(x))).astype(float)
+    y = np.concatenate([y, np.zeros(audio.FRAME)])
+    to_mel, to_hz = (lambda f: 2595 * np.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+    edges = [to_hz(to_mel(60) + k * (to_mel(audio.OUT_RATE / 2) - to_mel(60)) / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    for f in (0, 1, len(mel) // 2, len(mel) - 2):
+        part = y[f * audio.HOP : f * audio.HOP + audio.FRAME]
+        t = np.arange(audio.FRAME)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * t / (audio.FRAME - 1))
+        for k in range(audio.MELS):
+            total = 0.0
+            for b in range(audio.FRAME // 2 + 1):
+                hz = b * audio.OUT_RATE / audio.FRAME
+                weight = max(0.0, min((hz - edges[k]) / (edges[k + 1] - edges[k]), (edges[k + 2] - hz) / (edges[k + 2] - edges[k + 1])))
+                if weight:
+                    total += weight * abs(np.sum(part * hann * np.exp(-2j * np.pi * b * t / audio.FRAME))) ** 2
+            assert mel[f, k] == pytest.approx(100 * np.log10(total + audio.FLOOR), abs=2)
+        assert db[f] == pytest.approx(10 * np.log10(np.sum(((part - part.mean()) * hann) ** 2) + audio.FLOOR), abs=0.01)
+
+
+def test_segments_tell_prose_from_rules():
+    prose, rule = "the quick brown fox jumps over the lazy dog " * 40, "=" * 2000
+    active = lambda t: [tuple(x) for x in audio.listen(audio.payload_of(t))[1]]
+    assert len(active(prose)) == 1 and active(rule) == [] and active("1234567890" * 200) == []
+    both = active(prose + rule + prose)
+    assert len(both) == 2 and both[0][1] < both[1][0]
 
 
 def test_resampling_is_a_filter_of_the_stuffed_signal():
@@ -242,7 +277,8 @@ def test_resampling_is_a_filter_of_the_stuffed_signal():
 
 
 def test_hysteresis():
-    db = np.array([-100, 0, -20, -27, -29, -20, -5, -100, -20, 0]) + 0.0
+    up, mid, low = audio.RISE - 100 + 0.2, (audio.RISE + audio.FALL) / 2 - 100, audio.FALL - 100 - 0.2
+    db = np.array([-100, up, mid, mid, low, mid, up, -100, mid, up])
     assert audio.segments(db).tolist() == [[1, 4], [6, 7], [9, 10]]
 
 
