@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import slices
 
-#: Most words whose tokens are kept in a worker before its table starts anew.
-KEPT_WORDS = 400_000
+#: Closes a word; no byte symbol is written so.
+STOP = "\0"
+#: Most words whose tokens are kept in a worker before its table starts anew; it keeps the table before, too.
+KEPT_WORDS = 250_000
 
 #: First and last code points that the library's split leaves out of letters and numbers, as they came after Unicode 16.
 LATE = (
@@ -78,7 +81,7 @@ class Automaton:
             raise ValueError(f"not a tokenizer of the word-BPE kind: {kinds}")
         merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
         self.number, self.rows = self._compile([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in merges])
-        self.heads = {t[:k] for t in self.vocab if not (self.end and t.endswith(self.end)) for k in range(1, len(t) + 1)}
+        self._spell()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         late = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE) + "]"
         for kind in ("L", "N"):
@@ -136,45 +139,46 @@ class Automaton:
         """Whether the state that label `state` leads to has an arc `label`."""
         return not bisect_right(self.rows[state], self.number[label]) & 1
 
+    def _spell(self) -> None:
+        """The matcher that finds all arcs of a word: spellings of labels, those with the end mark closed by STOP."""
+        self.matcher, cut = ahocorasick.Automaton(), len(self.end)
+        for t, i in self.arcs.items():
+            spelt = t[: len(t) - cut] + STOP if cut and t.endswith(self.end) else t
+            self.matcher.add_word(spelt, (len(spelt), self.number[i], i))
+        self.matcher.make_automaton()
+
     def path(self, word: str) -> list[int]:
         """Labels of the path that spells a word of byte symbols; its last symbol carries the end mark."""
-        get, heads, number, rows, end, n = self.arcs.get, self.heads, self.number, self.rows, self.end, len(word)
-        whole = get(word + end)
+        whole = self.arcs.get(word + self.end)
         if whole is not None:
             return [whole]
         # The arc that reaches each place, and where it comes from; the start has every arc.
+        n, rows = len(word) + bool(self.end), self.rows
         arc, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            row = rows[arc[i]] if i else []
-            for j in range(i + 1, n + 1 if not end else n):
-                s = word[i:j]
-                if s not in heads:
-                    break
-                t = get(s)
-                if t is not None and not bisect_right(row, number[t]) & 1:
-                    arc[j], back[j] = t, i
-            if end and arc[n] < 0:
-                t = get(word[i:] + end) if n - i <= 256 else None
-                if t is not None and not bisect_right(row, number[t]) & 1:
-                    arc[n], back[n] = t, i
-        out, j = [], n
-        while j:
-            out.append(arc[j])
-            j = back[j]
+        row_at: list[list[int]] = [[]] * (n + 1)
+        for at, (length, number, label) in self.matcher.iter(word + STOP if self.end else word):
+            at += 1
+            if arc[at] < 0 and not bisect_right(row_at[at - length], number) & 1:
+                arc[at], back[at], row_at[at] = label, at - length, rows[label]
+        out = []
+        while n:
+            out.append(arc[n])
+            n = back[n]
         return out[::-1]
 
     def token(self, text: str) -> list[int]:
-        """The path of one pre-split word."""
-        return self.path("".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]))
+        """The path of one pre-split word; a letter of ASCII stands for its byte."""
+        return self.path(text if text.isascii() and text.isalpha() else "".join([self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]))
 
-    def pieces(self, text: str | None) -> Iterator[tuple[str, str, int]]:
+    def pieces(self, text: str | None) -> list[tuple[str, str, int]]:
         """(ids, labels, count) of each chunk between white space; chunks without tokens are left out."""
+        out: list[tuple[str, str, int] | None] = []
         for part in self.cut.split(text or "") if self.cut else [text or ""]:
             if part in self.special:
-                yield str(self.special[part]), part, 1
+                out.append((str(self.special[part]), part, 1))
             elif part:
-                got = list(map(self.words.__getitem__, _normal(part)))
-                yield from (got if all(got) else filter(None, got))
+                out += map(self.words.__getitem__, _normal(part))
+        return out if all(out) else list(filter(None, out))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]
@@ -185,18 +189,31 @@ class Automaton:
 
 
 class _Words(dict):
-    """The tokens of chunks without white space, in lower case already, worked out when first asked for."""
+    """The tokens of chunks without white space, in lower case already, worked out when first asked for.
+
+    When it is full, it becomes the old table, from which words are taken over as they come up again.
+    """
 
     def __init__(self, automaton: Automaton) -> None:
-        self.automaton = automaton
+        self.automaton, self.old = automaton, {}
 
     def __missing__(self, text: str) -> tuple[str, str, int] | None:
-        a, ids = self.automaton, []
-        for m in [text] if text.isalpha() else a.split.findall(text):
-            ids += a.token(m)
-        got = (" ".join(map(str, ids)), " ".join([a.label[i] for i in ids]), len(ids)) if ids else None
+        if text in self.old:
+            got = self.old[text]
+        else:
+            a = self.automaton
+            parts = [text] if text.isalpha() else a.split.findall(text)
+            if parts == [text]:
+                ids = a.token(text)
+                got = (" ".join(map(str, ids)), " ".join([a.label[i] for i in ids]), len(ids))
+            elif parts:
+                ids, labels, counts = zip(*map(self.__getitem__, parts), strict=True)
+                got = (" ".join(ids), " ".join(labels), sum(counts))
+            else:
+                got = None
         if len(text) <= 64:
             if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[text] = got
         return got
@@ -237,7 +254,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in slices(batches, "text"):
             n, ids, text_sha, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
-                of_ids, of_labels, counts = zip(*p, strict=True) if (p := list(a.pieces(text))) else ((), (), ())
+                of_ids, of_labels, counts = zip(*p, strict=True) if (p := a.pieces(text)) else ((), (), ())
                 n.append(sum(counts))
                 ids.append(sha(of_ids))
                 text_sha.append(sha(of_labels))
