@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.staging import stage
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the folder that all machines share."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/orrery"
-    path = f"{root}/orrery-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rounds of a rank iteration between two staged tables; whether it has settled is looked at there.
+BLOCK, HITS_BLOCK = 3, 8
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -33,8 +27,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFra
 
     With `depth` the search ends after so many hops, else when the frontier is empty.
     """
-    e = stage(edges.select(F.col("src").alias("node"), "dst"))
-    seen = front = stage(seeds.select("task", "node", F.lit(0).alias("dist")))
+    e = stage(edges.select(F.col("src").alias("node"), "dst"), "graph")
+    seen = front = stage(seeds.select("task", "node", F.lit(0).alias("dist")), "graph")
     for d in count(1) if depth is None else range(1, depth + 1):
         step = front.join(e, "node").select("task", F.col("dst").alias("node")).distinct()
         front = stage(step.join(seen, ["task", "node"], "left_anti").withColumn("dist", F.lit(d)))
@@ -44,49 +38,67 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFra
     return seen
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-9) -> DataFrame:
-    """(task, node, score) after a fixed number of rounds, or without one when the scores have settled.
+def pagerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
+    """(task, node, score) of one large graph after a fixed number of rounds, or without one when the scores have settled.
 
     start(task, node, p) is the restart distribution, which also takes the mass of nodes
     without successors. Only nodes with mass are kept, so personal walks stay local at first.
-    Settled: no task's scores change by `tol` in sum and no row is new, so that all that is
-    reachable has its score, however many nodes there are.
+    Settled: after a multiple of BLOCK rounds, the last one changed no task's scores by
+    `tol` for each node of the graph in sum and reached no new node. Many small graphs are
+    ranked by walks.scores instead.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = stage(edges.join(out, "src").select(F.col("src").alias("node"), "dst", "deg"))
-    has = stage(e.select("node").distinct())
-    start = stage(start.select("task", "node", "p"))
-    x = start.select("task", "node", F.col("p").alias("score"))
-    for _ in count() if rounds is None else range(rounds):
+    e = stage(edges.join(out, "src").select(F.col("src").alias("node"), "dst", "deg"), "graph")
+    has = stage(e.select("node").distinct(), "graph")
+    start = stage(start.select("task", "node", "p"), "graph")
+    least = tol * nodes.count()
+
+    def step(x: DataFrame) -> DataFrame:
         moved = x.join(e, "node").select("task", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("deg")).alias("score"))
         lost = x.join(has, "node", "left_anti").groupBy("task").agg(F.sum("score").alias("lost"))
         back = start.join(lost, "task", "left").select("task", "node", (F.col("p") * ((1 - alpha) + alpha * F.coalesce("lost", F.lit(0.0)))).alias("score"))
         was = x.select("task", "node", F.lit(0.0).alias("score"), F.col("score").alias("old"))
-        both = stage(moved.unionByName(back).withColumn("old", F.lit(None).cast("double")).unionByName(was).groupBy("task", "node").agg(F.sum("score").alias("score"), F.sum("old").alias("old")))
+        return moved.unionByName(back).withColumn("old", F.lit(None).cast("double")).unionByName(was).groupBy("task", "node").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
+
+    x = start.select("task", "node", F.col("p").alias("score"))
+    for i in count(1) if rounds is None else range(1, rounds + 1):
+        both = step(x)
+        if i % BLOCK == 0 or i == rounds:
+            both = stage(both, "graph")
         x = both.select("task", "node", "score")
-        if rounds is None:
+        if rounds is None and i % BLOCK == 0:
             change = F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))
-            if both.groupBy("task").agg(change.alias("c"), F.count(F.when(F.col("old").isNull(), 1)).alias("n")).where(f"c >= {tol!r} OR n > 0").isEmpty():
+            if both.groupBy("task").agg(change.alias("c"), F.count(F.when(F.col("old").isNull(), 1)).alias("n")).where(f"c >= {least!r}D OR n > 0").isEmpty():
                 break
     return x
 
 
 def hits_authority(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """(node, score): authority by power iteration, hubs and authorities scaled to sum 1 in each round.
+    """(node, score): authority by power iteration; hubs and authorities sum to 1.
 
-    Ends when the hubs change by less than `tol` in sum; if they still do not after `rounds`, the in-degree is the score.
+    Ends after a multiple of HITS_BLOCK rounds of which the last changed the hubs by less than `tol` in sum; if they
+    still change by more after `rounds`, the in-degree is the score. Sums are scaled once a block.
     """
     n = nodes.count()
-    e = stage(edges.select("src", "dst"))
+    e = stage(edges.select("src", "dst"), "graph")
     hub = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("h"))
-    for _ in range(rounds):
-        a = hub.join(e.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
-        auth = stage(a.crossJoin(F.broadcast(a.agg(F.sum("a").alias("t")))).select("node", (F.col("a") / F.col("t")).alias("a")))
-        h = auth.join(e.withColumnRenamed("dst", "node"), "node").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
-        new = stage(h.crossJoin(F.broadcast(h.agg(F.sum("h").alias("t")))).select("node", (F.col("h") / F.col("t")).alias("h")))
-        change = hub.join(new.withColumnRenamed("h", "g"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("h", F.lit(0.0)) - F.coalesce("g", F.lit(0.0))))).first()[0]
-        hub = new
-        if auth.isEmpty() or change < tol:
+    to, back = e.withColumnRenamed("src", "node"), e.withColumnRenamed("dst", "node")
+    for _ in range(0, rounds, HITS_BLOCK):
+        for _ in range(HITS_BLOCK):
+            old = hub
+            auth = old.join(to, "node").groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
+            hub = auth.join(back, "node").groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
+        kinds = ((old, "h", "old"), (auth, "a", "auth"), (hub, "h", "hub"))
+        rows = stage(reduce(DataFrame.unionByName, [d.select("node", F.col(c).alias("v"), F.lit(k).alias("kind")) for d, c, k in kinds]), "graph")
+        total = {r.kind: r.t for r in rows.groupBy("kind").agg(F.sum("v").alias("t")).collect()}
+        if "hub" not in total:
+            auth = rows.select("node", F.col("v").alias("a"))
+            break
+        of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("v") / total[k])), F.lit(0.0))  # noqa: B023, E731
+        change = rows.groupBy("node").agg(F.abs(of("hub") - of("old")).alias("c")).agg(F.sum("c")).first()[0]
+        auth = rows.where("kind = 'auth'").select("node", (F.col("v") / total["auth"]).alias("a"))
+        hub = rows.where("kind = 'hub'").select("node", (F.col("v") / total["hub"]).alias("h"))
+        if change < tol:
             break
     else:
         auth = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("a"))
@@ -110,6 +122,24 @@ def reference_graph(defs: DataFrame, refs: DataFrame, most: int = 5) -> DataFram
     return refs.distinct().withColumnRenamed("file", "src").join(d, "name").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def positions(rows: DataFrame, by: list[Column], name: str = "pos") -> DataFrame:
+    """rows with their places, from 1, in one order of all of them, and `n`, their number.
+
+    Rows are sorted in ranges, so no task holds all of them; each range then begins where the
+    ranges before it end.
+    """
+    # Staged, as ranges are drawn anew whenever they are computed; files of a range keep its rows together.
+    cut = stage(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_size")).collect()
+    before, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before.append((r["_range"], total))
+        total += r["_size"]
+    at = F.broadcast(rows.sparkSession.createDataFrame(before, "_range int, _before long"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return cut.join(at, "_range").withColumn(name, F.col("_before") + own).withColumn("n", F.lit(total).cast("long")).drop("_range", "_before")
+
+
 def ordered(rows: DataFrame, by: list[Column], keys: tuple[str, ...] = ("task",)) -> DataFrame:
     """rows with pos from 1 in each task."""
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))

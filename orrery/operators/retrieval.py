@@ -28,13 +28,47 @@ def bm25(tf: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.groupBy("task", "doc").agg(F.sum(part).alias("score"))
 
 
+def bm25_others(tf: DataFrame, others: DataFrame, terms: DataFrame) -> DataFrame:
+    """(task, path, score) for all of a task's files in others(task, repo, seed, path): tf(repo, path, term, tf), terms(task, term) each once.
+
+    A task's corpus is its own files, that is, without the seed: N, the mean length and
+    document frequencies leave it out, empty files count. Files that share no term score 0;
+    tasks without terms have no rows.
+    """
+    asked = others.join(terms.select("task").distinct(), "task", "left_semi")
+    length = tf.groupBy("repo", "path").agg(F.sum("tf").alias("len"))
+    files = asked.join(length, ["repo", "path"], "left").select("task", "repo", "seed", "path", F.coalesce("len", F.lit(0)).alias("len"))
+    stats = files.groupBy("task").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    hits = terms.join(asked.select("task", "repo", "path"), "task").join(tf, ["repo", "path", "term"])
+    df = hits.groupBy("task", "term").agg(F.count("*").alias("df"))
+    x = hits.join(df, ["task", "term"]).join(stats, "task").join(files.select("task", "path", "len"), ["task", "path"])
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    found = x.groupBy("task", "path").agg(F.sum(part).alias("score"))
+    return files.select("task", "path").join(found, ["task", "path"], "left").fillna(0.0, ["score"])
+
+
 def rrf(*orders: DataFrame, k: int = RRF_K) -> DataFrame:
     """(task, doc, score): sum of 1 / (k + pos) over orderings(task, doc, pos)."""
     rows = reduce(DataFrame.unionByName, [o.select("task", "doc", "pos") for o in orders])
     return rows.groupBy("task", "doc").agg(F.sum(1.0 / (k + F.col("pos"))).alias("score"))
 
 
+#: Queries that are broadcast at a time.
+BLOCK = 1024
+
+
+def against_all(queries: DataFrame, docs: DataFrame, key: str = "task") -> DataFrame:
+    """Each row of docs beside each row of a stated query set, in blocks of at most BLOCK queries, so that no broadcast grows."""
+    n = queries.count()
+    if n <= BLOCK:
+        return docs.crossJoin(F.broadcast(queries))
+    blocks = -(-2 * n // BLOCK)
+    part = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [docs.crossJoin(F.broadcast(queries.where(part == b))) for b in range(blocks)])
+
+
 def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(task, doc, score): inner products of unit vectors, a stated query set against all rows; a missing vector scores -2."""
-    pairs = docs.crossJoin(F.broadcast(queries))
+    pairs = against_all(queries, docs)
     return pairs.select("task", "doc", F.coalesce(dot(F.col("q"), F.col("v")), F.lit(-2.0)).alias("score"))

@@ -11,8 +11,8 @@ from orrery.sources import tables as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-#: Hops that the SQL of level searches goes, and rounds of its rank iterations; the queries go on until nothing new is reached or the ranks have settled.
-DEPTH, ROUNDS = 6, 5
+#: Levels that the SQL of searches goes at most, far more than there are; the queries go on until nothing new is reached.
+DEPTH = 64
 
 _EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
 FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), rv AS (SELECT dst AS src, src AS dst FROM e),
@@ -64,12 +64,16 @@ def indegree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rank_sql(edges: str, start: str) -> str:
-    parts = [f"dg AS (SELECT src, count(*) AS deg FROM {edges} GROUP BY src)", f"st AS ({start})", "x0 AS (SELECT task, node, p AS score FROM st)"]
-    for i in range(ROUNDS):
-        parts.append(f"l{i} AS (SELECT task, sum(score) AS lost FROM x{i} WHERE node NOT IN (SELECT src FROM dg) GROUP BY task)")
-        parts.append(f"""x{i + 1} AS (SELECT task, node, sum(score) AS score FROM (SELECT task, dst AS node, 0.85::DOUBLE * score / deg AS score FROM x{i} JOIN {edges} ON {edges}.src = node JOIN dg ON dg.src = node
-UNION ALL SELECT st.task, node, p * (0.15::DOUBLE + 0.85::DOUBLE * coalesce(lost, 0)) FROM st LEFT JOIN l{i} ON l{i}.task = st.task) GROUP BY ALL)""")
-    return f"WITH {_EDGES}, " + ", ".join(parts)
+    """The iteration of G.pagerank with its stop: x holds all rounds."""
+    return f"""WITH RECURSIVE {_EDGES}, dg AS MATERIALIZED (SELECT src, count(*) AS deg FROM {edges} GROUP BY src), st AS MATERIALIZED ({start}), least AS (SELECT count(*) * 1e-6 AS tol FROM part),
+x AS (SELECT 0 AS i, task, node, p AS score, TRUE AS go FROM st UNION ALL
+SELECT i, task, node, score, i % {G.BLOCK} <> 0 OR max(CASE WHEN changed >= tol OR fresh > 0 THEN 1 ELSE 0 END) OVER () = 1 AS go FROM least, (
+  SELECT *, sum(abs(score - coalesce(old, 0))) OVER (PARTITION BY task) AS changed, sum(CASE WHEN old IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY task) AS fresh FROM (
+    SELECT max(i) AS i, task, node, sum(score) AS score, sum(old) AS old FROM (
+      SELECT x.i + 1 AS i, x.task, dst AS node, 0.85::DOUBLE * score / deg AS score, NULL::DOUBLE AS old FROM x JOIN {edges} ON {edges}.src = x.node JOIN dg ON dg.src = x.node WHERE go
+      UNION ALL SELECT l.i + 1, st.task, st.node, p * (0.15::DOUBLE + 0.85::DOUBLE * lost), NULL FROM st JOIN (SELECT i, task, sum(CASE WHEN dg.src IS NULL THEN score ELSE 0 END) AS lost FROM x LEFT JOIN dg ON dg.src = x.node WHERE go GROUP BY i, task) l ON l.task = st.task
+      UNION ALL SELECT i + 1, task, node, 0.0, score FROM x WHERE go) GROUP BY task, node))),
+last AS (SELECT task, node, score FROM x WHERE i = (SELECT max(i) FROM x))"""
 
 
 _SEED = "SELECT task, node, 1.0::DOUBLE AS p FROM seeds"
@@ -86,16 +90,16 @@ def _ppr(edges):
 
 for _name, _f, _sql in (("ppr_und", G.undirected, "u"), ("ppr_out", lambda e: e, "e"), ("ppr_in", G.reverse, "rv")):
     QUERIES[_name] = _ppr(_f)
-    ORACLE_SQL[_name] = f"{_rank_sql(_sql, _SEED)} SELECT task, node, round(score, 9) AS score FROM x{ROUNDS}"
+    ORACLE_SQL[_name] = f"{_rank_sql(_sql, _SEED)} SELECT task, node, round(score, 9) AS score FROM last"
 
 
-@query(f"{_rank_sql('u', _SEED)} SELECT task, node, round(round(score, 9) / greatest(p_size, 1), 9) AS score FROM x{ROUNDS} JOIN part ON p_partkey = node")
+@query(f"{_rank_sql('u', _SEED)} SELECT task, node, round(round(score, 9) / greatest(p_size, 1), 9) AS score FROM last JOIN part ON p_partkey = node")
 def ppr_und_pl(spark: SparkSession, d: str) -> DataFrame:
     rows = QUERIES["ppr_und"](spark, d).join(S.graph_nodes(spark, d), "node")
     return rows.select("task", "node", F.round(F.col("score") / F.greatest("cost", F.lit(1)), 9).alias("score"))
 
 
-@query(f"{_rank_sql('e', _ALL)} SELECT node, round(score, 9) AS score FROM x{ROUNDS}")
+@query(f"{_rank_sql('e', _ALL)} SELECT node, round(score, 9) AS score FROM last")
 def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
     n = S.graph_nodes(spark, d)
     start = n.select(F.lit("all").alias("task"), "node", (1.0 / F.lit(max(1, n.count()))).alias("p"))
@@ -103,11 +107,13 @@ def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits_sql() -> str:
-    parts = ["h0 AS (SELECT p_partkey AS node, 1.0::DOUBLE / count(*) OVER () AS h FROM part)"]
-    for i in range(ROUNDS):
-        parts.append(f"ra{i} AS (SELECT dst AS node, sum(h) AS a FROM h{i} JOIN e ON e.src = node GROUP BY dst), a{i} AS (SELECT node, a / sum(a) OVER () AS a FROM ra{i})")
-        parts.append(f"rh{i} AS (SELECT src AS node, sum(a) AS h FROM a{i} JOIN e ON e.dst = node GROUP BY src), h{i + 1} AS (SELECT node, h / sum(h) OVER () AS h FROM rh{i})")
-    return f"WITH {_EDGES}, " + ", ".join(parts) + f" SELECT p_partkey AS node, round(coalesce(a, 0), 9) AS score FROM part LEFT JOIN a{ROUNDS - 1} ON node = p_partkey"
+    return f"""WITH RECURSIVE {_EDGES}, x AS (SELECT 0 AS i, p_partkey AS node, 1.0::DOUBLE / count(*) OVER () AS h, 0.0::DOUBLE AS a, TRUE AS go FROM part UNION ALL
+SELECT i, node, h, a, i % {G.HITS_BLOCK} <> 0 OR sum(abs(h - old)) OVER () >= 1e-8 AS go FROM (
+  SELECT i, node, rh / sum(rh) OVER () AS h, a, old FROM (
+    SELECT n.i, n.node, coalesce(sum(b.a), 0) AS rh, any_value(n.a) AS a, any_value(n.old) AS old FROM (
+      SELECT i, node, ra / sum(ra) OVER () AS a, old FROM (SELECT x.i + 1 AS i, x.node, coalesce(sum(y.h), 0) AS ra, any_value(x.h) AS old FROM x LEFT JOIN e ON e.dst = x.node LEFT JOIN x y ON y.node = e.src WHERE x.go GROUP BY x.i, x.node)) n
+    LEFT JOIN e ON e.src = n.node LEFT JOIN (SELECT node, ra / sum(ra) OVER () AS a FROM (SELECT x.node, coalesce(sum(y.h), 0) AS ra FROM x LEFT JOIN e ON e.dst = x.node LEFT JOIN x y ON y.node = e.src WHERE x.go GROUP BY x.node)) b ON b.node = e.dst GROUP BY n.i, n.node)))
+SELECT node, round(a, 9) AS score FROM x WHERE i = (SELECT max(i) FROM x)"""
 
 
 @query(_hits_sql())

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.operators import stats
+from orrery.operators import graph as G
+from orrery.operators import retrieval, stats
 from orrery.sources import tables as S
 
 QUERIES: dict = {}
@@ -110,16 +111,17 @@ def size_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, CASE WHEN r <= 1 + (n - 1) / 3.0 THEN 'small' WHEN r <= 1 + 2 * (n - 1) / 3.0 THEN 'medium' ELSE 'large' END AS size FROM r")
 def size_terciles(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(F.lit(0))
-    r = S.table(spark, d, "supplier").select("s_suppkey", F.row_number().over(w.orderBy("s_acctbal", "s_suppkey")).alias("r"), F.count("*").over(w).alias("n"))
+    r = G.positions(S.table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.col("s_acctbal"), F.col("s_suppkey")], "r")
     return r.select("s_suppkey", F.when(F.col("r") <= 1 + (F.col("n") - 1) / 3.0, "small").when(F.col("r") <= 1 + 2 * (F.col("n") - 1) / 3.0, "medium").otherwise("large").alias("size"))
 
 
-@query("SELECT r_name AS region, c_mktsegment AS segment, count(c_custkey) AS n FROM (SELECT * FROM region, (SELECT DISTINCT c_mktsegment AS seg FROM customer)) JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = seg GROUP BY r_name, c_mktsegment HAVING c_mktsegment IS NOT NULL")
+@query("SELECT r_name AS region, seg AS segment, count(c_custkey) AS n FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) LEFT JOIN (SELECT c_custkey, c_mktsegment, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) ON n_regionkey = r_regionkey AND c_mktsegment = seg GROUP BY ALL")
 def crosstab(spark: SparkSession, d: str) -> DataFrame:
-    n = S.table(spark, d, "nation").join(S.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = S.table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupBy(F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    """Customers by region and segment; combinations without a customer count 0."""
+    regions, c = S.table(spark, d, "region"), S.table(spark, d, "customer").join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = c.groupBy(F.col("n_regionkey").alias("r_regionkey"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    cells = retrieval.against_all(S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")).distinct(), regions.select("r_regionkey", F.col("r_name").alias("region")), "segment")
+    return cells.join(found, ["r_regionkey", "segment"], "left").select("region", "segment", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT event_type AS method, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY ALL")
@@ -158,8 +160,7 @@ def latest_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), k AS (SELECT DISTINCT round_even(g.j * (n - 1) / 4.0, 0)::BIGINT AS i FROM (SELECT DISTINCT n FROM r), (SELECT unnest(range(5)) AS j) g) SELECT s_suppkey, i FROM r JOIN k USING (i)")
 def evenly_spaced(spark: SparkSession, d: str) -> DataFrame:
     """Five suppliers at even distances of the sorted order."""
-    w = Window.partitionBy(F.lit(0))
-    r = S.table(spark, d, "supplier").select("s_suppkey", (F.row_number().over(w.orderBy("s_acctbal", "s_suppkey")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    r = G.positions(S.table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.col("s_acctbal"), F.col("s_suppkey")], "i").withColumn("i", F.col("i") - 1)
     at = F.array(*(F.bround(F.lit(j) * (F.col("n") - 1) / 4.0, 0).cast("long") for j in range(5)))
     return r.where(F.array_contains(at, F.col("i"))).select("s_suppkey", "i")
 
@@ -269,9 +270,9 @@ def mixedlm(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("a", "b").applyInPandas(fit, "a string, b string, estimate double, lo double, hi double")
 
 
-#: Half-splits of the query, as in the reference; the SQL makes the first 50.
-_SPLITS, _SQL_SPLITS = 200, 50
-_HELD = f"WITH {_ROWS}, sp AS (SELECT s AS split, repo, row_number() OVER (PARTITION BY s ORDER BY sha256(s || '|' || repo)) <= 3 AS train FROM (SELECT DISTINCT repo FROM pm), (SELECT unnest(range({_SQL_SPLITS})) AS s)), m AS (SELECT split, train, method, round(avg(auc), 6) AS auc FROM sp JOIN pm USING (repo) GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY split, train ORDER BY auc DESC) AS rk FROM m), w AS (SELECT split, arg_min(method, (rk, method)) AS chosen FROM r WHERE train GROUP BY ALL)"
+#: Half-splits.
+_SPLITS = 200
+_HELD = f"WITH {_ROWS}, sp AS (SELECT s AS split, repo, row_number() OVER (PARTITION BY s ORDER BY sha256(s || '|' || repo)) <= 3 AS train FROM (SELECT DISTINCT repo FROM pm), (SELECT unnest(range({_SPLITS})) AS s)), m AS (SELECT split, train, method, round(avg(auc), 6) AS auc FROM sp JOIN pm USING (repo) GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY split, train ORDER BY auc DESC) AS rk FROM m), w AS (SELECT split, arg_min(method, (rk, method)) AS chosen FROM r WHERE train GROUP BY ALL)"
 
 
 @query(f"{_HELD} SELECT r.split, chosen, rk AS rank, auc FROM w JOIN r ON r.split = w.split AND r.method = w.chosen AND NOT r.train")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import text as T
 from orrery.operators import retrieval, scoring
 from orrery.sources import tables as S
+from orrery.staging import stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -40,7 +41,7 @@ _FILES = f"files AS (SELECT doc_id AS doc, source AS repo, source || '/' || lang
 
 @query(f"WITH {_bag_cte('b', 'doc_id', 'documents', 'text')} SELECT k AS doc, term, count(*) AS tf FROM b GROUP BY ALL")
 def bag_of(spark: SparkSession, d: str) -> DataFrame:
-    return T.bag(S.files(spark, d), "doc", T.bag_tokens(F.col("text")))
+    return T.text_bag(S.files(spark, d), "doc", F.col("text"))
 
 
 @query(f"WITH {_bag_cte('b', 'item_id', 'benchmark', 'text')} SELECT term, count(*) AS n FROM b GROUP BY ALL")
@@ -77,11 +78,13 @@ def test_path_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tf(spark: SparkSession, d: str) -> DataFrame:
-    return T.bag(S.files(spark, d), "doc", T.bag_tokens(F.col("text")))
+    """Term counts of all documents, tokenised once for a query."""
+    return stage(T.text_bag(S.files(spark, d), "doc", F.col("text")), "bags")
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    s = retrieval.bm25(_tf(spark, d), S.files(spark, d).select("doc"), S.issues(spark, d))
+def _bm25(spark: SparkSession, d: str, tf: DataFrame | None = None) -> DataFrame:
+    """Documents that share a term with an issue; the others score 0 and are left out."""
+    s = retrieval.bm25(tf if tf is not None else _tf(spark, d), S.files(spark, d).select("doc"), S.issues(spark, d))
     return s.withColumn("score", F.round("score", 6))
 
 
@@ -159,7 +162,7 @@ def dense_order(spark: SparkSession, d: str) -> DataFrame:
 
 def _random(spark: SparkSession, d: str) -> DataFrame:
     items, docs = S.table(spark, d, "benchmark").select(F.col("item_id").alias("task")), S.files(spark, d).select("doc")
-    return docs.crossJoin(F.broadcast(items)).withColumn("pos", F.row_number().over(Window.partitionBy("task").orderBy(T.tie_key(F.lit("random"), F.col("task"), F.col("doc")))))
+    return retrieval.against_all(items, docs).withColumn("pos", F.row_number().over(Window.partitionBy("task").orderBy(T.tie_key(F.lit("random"), F.col("task"), F.col("doc")))))
 
 
 _RANDOM = "ra AS (SELECT item_id AS task, doc_id AS doc, row_number() OVER (PARTITION BY item_id ORDER BY sha256('random|' || item_id || '|' || doc_id)) AS pos FROM benchmark, documents)"
@@ -170,49 +173,31 @@ def random_order(spark: SparkSession, d: str) -> DataFrame:
     return _random(spark, d).select("task", "doc", "pos")
 
 
-def _rrf(k: int):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        cheap = S.files(spark, d).select("doc", "cost")
-        lexical = _by_score(_bm25(spark, d))
-        costs = _bm25(spark, d).join(cheap, "doc").withColumn("score", F.col("score") / F.col("cost"))
-        return retrieval.rrf(lexical, _by_score(costs), k=k).withColumn("score", F.round("score", 9))
-
-    return run
-
-
-def _rrf_sql(k: int) -> str:
-    return f"""WITH {_BM25}, {_FILES}, pl AS (SELECT task, doc, score / cost AS score FROM bm JOIN files USING (doc)),
+@query(f"""WITH {_BM25}, {_FILES}, pl AS (SELECT task, doc, score / cost AS score FROM bm JOIN files USING (doc)),
 l AS (SELECT task, doc, {_POS} FROM bm UNION ALL SELECT task, doc, {_POS} FROM pl)
-SELECT task, doc, round(sum(1.0::DOUBLE / ({k} + pos)), 9) AS score FROM l GROUP BY ALL"""
-
-
-for _k, _name in ((60, "rrf_2"), (10, "rrf_k10"), (200, "rrf_k200")):
-    QUERIES[_name], ORACLE_SQL[_name] = _rrf(_k), _rrf_sql(_k)
-
-
-@query(f"""WITH {_BM25}, {_RANDOM}, l AS (SELECT task, doc, {_POS} FROM bm UNION ALL SELECT * FROM ra),
-s AS (SELECT task, doc, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM l GROUP BY ALL), o AS (SELECT task, doc, {_POS} FROM s)
-SELECT task, doc FROM o WHERE pos = 1""")
-def seed_localiser(spark: SparkSession, d: str) -> DataFrame:
-    """The file that a fusion of two orderings puts first for each issue."""
-    s = retrieval.rrf(_by_score(_bm25(spark, d)), _random(spark, d)).withColumn("score", F.round("score", 9))
-    return _by_score(s).where("pos = 1").select("task", "doc")
+SELECT task, doc, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score FROM l GROUP BY ALL""")
+def rrf_2(spark: SparkSession, d: str) -> DataFrame:
+    """The fusion operator on two lists over one scored table; the study's fusions are the order_rrf_ queries."""
+    s = stage(_bm25(spark, d).join(S.files(spark, d).select("doc", "cost"), "doc"), "bm25")
+    per_line = s.withColumn("score", F.col("score") / F.col("cost"))
+    return retrieval.rrf(_by_score(s.select("task", "doc", "score")), _by_score(per_line.select("task", "doc", "score"))).withColumn("score", F.round("score", 9))
 
 
 # Scoring: the answer key of an issue is the set of documents that hold its first eight words.
 def _order(spark: SparkSession, d: str) -> DataFrame:
-    key = _keys(spark, d)
+    tf = _tf(spark, d)
+    key = stage(_keys(spark, d, tf), "keys")
     size = key.groupBy("task").agg(F.count("*").alias("key_size"))
-    o = _by_score(_bm25(spark, d)).join(S.files(spark, d).select("doc", "cost"), "doc")
+    o = _by_score(_bm25(spark, d, tf)).join(S.files(spark, d).select("doc", "cost"), "doc")
     o = o.join(size, "task").join(key.withColumn("in_key", F.lit(1)), ["task", "doc"], "left")
     return o.select("task", F.lit("bm25_issue").alias("method"), "doc", "pos", "cost", F.coalesce("in_key", F.lit(0)).alias("in_key"), "key_size")
 
 
-def _keys(spark: SparkSession, d: str) -> DataFrame:
+def _keys(spark: SparkSession, d: str, tf: DataFrame) -> DataFrame:
     """(task, doc): documents with at least half of an issue's distinct terms."""
     q = S.issues(spark, d)
     n = q.groupBy("task").agg(F.count("*").alias("n"))
-    return q.join(_tf(spark, d), "term").groupBy("task", "doc").agg(F.count("*").alias("c")).join(n, "task").where("2 * c >= n").select("task", "doc")
+    return q.join(tf, "term").groupBy("task", "doc").agg(F.count("*").alias("c")).join(n, "task").where("2 * c >= n").select("task", "doc")
 
 
 _ORDER = f"""{_BM25}, {_FILES}, qn AS (SELECT task, count(*) AS n FROM qt GROUP BY ALL),
@@ -244,7 +229,10 @@ def lines_to_reach(spark: SparkSession, d: str) -> DataFrame:
     return scoring.lines_to_reach(_order(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDER.replace('ord AS (', 'ord AS MATERIALIZED (').replace('ks AS (', 'ks AS MATERIALIZED (')}, bu AS (SELECT unnest([250,500,1000,2000,4000,8000,16000,32000]) AS budget),
+sk AS (SELECT task, budget, 0::BIGINT AS place, 0::BIGINT AS used, 0::BIGINT AS hits FROM ks, bu
+UNION ALL SELECT sk.task, sk.budget, o.pos, CASE WHEN used + cost <= budget THEN used + cost ELSE used END, CASE WHEN used + cost <= budget THEN hits + in_key ELSE hits END FROM sk JOIN ord o ON o.task = sk.task AND o.pos = sk.place + 1)
+SELECT sk.task, 'bm25_issue' AS method, CAST(budget AS INT) AS budget, round(arg_max(hits, place) / any_value(key_size), 6) AS coverage FROM sk JOIN ks USING (task) GROUP BY sk.task, budget""")
 def skip_curve(spark: SparkSession, d: str) -> DataFrame:
     return scoring.coverage_skip(_order(spark, d)).withColumn("coverage", F.round("coverage", 6))
 
@@ -290,5 +278,6 @@ def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_bag_cte('b', 'doc_id', 'documents', 'text')}, {_FILES}, n AS (SELECT k AS doc, count(*) AS t FROM b GROUP BY ALL) SELECT repo, round(sum(coalesce(t, 0)) / sum(cost), 6) AS per_line, round(avg(coalesce(t, 0) / cost), 6) AS mean_per_line FROM files LEFT JOIN n USING (doc) GROUP BY repo")
 def token_calibration(spark: SparkSession, d: str) -> DataFrame:
-    f = S.files(spark, d).select("repo", "cost", F.size(T.bag_tokens(F.col("text"))).alias("t"))
+    n = T.text_bag(S.files(spark, d), "doc", F.col("text")).groupBy("doc").agg(F.sum("tf").alias("t"))
+    f = S.files(spark, d).join(n, "doc", "left").select("repo", "cost", F.coalesce("t", F.lit(0)).alias("t"))
     return f.groupBy("repo").agg(F.round(F.sum("t") / F.sum("cost"), 6).alias("per_line"), F.round(F.avg(F.col("t") / F.col("cost")), 6).alias("mean_per_line"))
