@@ -221,6 +221,8 @@ def with_parts(select: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
+    if not done:
+        return select
     return "WITH RECURSIVE " + ", ".join(f"{n} AS {'' if n == 'lv' or n.endswith('_x') else 'MATERIALIZED '}({_PARTS[n][0]})" for n in done) + " " + select
 
 
