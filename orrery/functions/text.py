@@ -86,7 +86,7 @@ def resolve_relative(package: Column, level: Column, module: Column) -> Column:
     up = F.size(parts) - (level - 1)
     base = F.array_join(F.slice(parts, F.lit(1), F.greatest(up, F.lit(0))), ".")
     whole = F.concat_ws(".", F.when(base != "", base), F.when(F.coalesce(module, F.lit("")) != "", module))
-    return F.when((level <= 0), module).when(up >= 1, whole)
+    return F.when(level <= 0, module).when(up >= 0, whole)
 
 
 def pr_number(instance: Column) -> Column:

@@ -72,3 +72,11 @@ def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(task, doc, score): inner products of unit vectors, a stated query set against all rows; a missing vector scores -2."""
     pairs = against_all(queries, docs)
     return pairs.select("task", "doc", F.coalesce(dot(F.col("q"), F.col("v")), F.lit(-2.0)).alias("score"))
+
+
+def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
+    """(key, v): the mean of vectors v weighed by w, scaled to length 1; components are summed apart, so no group is gathered."""
+    x = rows.select(key, "w", F.posexplode("v").alias("i", "x"))
+    m = x.groupBy(key, "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
+    whole = m.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    return whole.select(key, F.transform("v", lambda e: F.try_divide(e, F.col("norm"))).alias("v"))
