@@ -59,7 +59,7 @@ def wilcoxon(pairs: DataFrame, keys: list[str], types: str) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(run, f"{types}, n long, p double")
 
 
-def bootstrap_ci(groups: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 20260923) -> DataFrame:
+def bootstrap_ci(groups: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 11) -> DataFrame:
     """2.5 % and 97.5 % points of the mean over resampled groups(unit, s, n); multiplicities come from hashes.
 
     Each group is drawn Poisson(1) times in each resample, so no group list is gathered.

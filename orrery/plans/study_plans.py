@@ -84,6 +84,7 @@ def first_nonblank(spark: SparkSession, d: str) -> DataFrame:
     return S.first_nonblank(S.table(spark, d, "conversations"), "conv_id", "text", ["turn", "role", "text"]).select("conv_id", "text")
 
 
+# The salts 20260922 and 42 of the hashed draws.
 @query("SELECT c_nationkey AS repo, c_custkey AS id, draw_rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('20260922' || c_name)) AS draw_rank FROM customer) WHERE draw_rank <= 20")
 def draw_rank_cap(spark: SparkSession, d: str) -> DataFrame:
     """At most twenty customers of each nation, by a hashed draw (the cap is the operator)."""

@@ -1,8 +1,11 @@
 """Reading-order operators on hand-made tables, and every query against its SQL on the smallest tables."""
 
 import glob
+import itertools
 import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -15,7 +18,7 @@ from orrery.operators import retrieval, scoring, stats
 from orrery.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-EDGES = [("s", "a"), ("a", "b"), ("c", "s"), ("b", "d"), ("d", "b")]
+EDGES = [("k", "m"), ("k", "p"), ("m", "q"), ("q", "w"), ("w", "m"), ("x", "k"), ("x", "q")]
 
 
 @pytest.fixture(scope="module")
@@ -25,12 +28,18 @@ def edges(spark):
 
 @pytest.fixture(scope="module")
 def seed(spark):
-    return spark.createDataFrame([("t", "s")], "task string, node string")
+    return spark.createDataFrame([("t", "k")], "task string, node string")
 
 
 def test_split_ident(spark):
-    d = spark.createDataFrame([("parse_HTTPHeader",), ("getX",), ("camelCaseName",)], "x string")
-    assert [r[0] for r in d.select(T.split_ident(F.col("x"))).collect()] == [["parse", "http", "header"], ["get"], ["camel", "case", "name"]]
+    want = {"load_XMLFile": ["load", "xml", "file"], "isOk": ["is", "ok"], "lastUserItem": ["last", "user", "item"], "__init__": ["init"], "HTTP2Server": ["http", "server"], "x": [], "_": [], "Plain": ["plain"], "a1": ["a1"]}
+    d = spark.createDataFrame([(k,) for k in want], "x string")
+    got = {r.x: r.t for r in d.select("x", T.split_ident(F.col("x")).alias("t")).collect()}
+    plain = lambda n: [t.lower() for p in n.split("_") for t in re.findall("[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])", p) if len(t) > 1]
+    assert got == {k: plain(k) for k in want} and got["load_XMLFile"] == want["load_XMLFile"] and got["lastUserItem"] == want["lastUserItem"]
+    text = "load_XMLFile(isOk, isOk) 9x _x Plain plain"
+    bag = {r.term: r.tf for r in T.text_bag(spark.createDataFrame([(1, text), (2, None)], "doc long, text string"), "doc", F.col("text")).collect()}
+    assert bag == dict(Counter(t for n in re.findall("[A-Za-z_][A-Za-z0-9_]*", text) for t in plain(n)))
 
 
 def test_paths(spark):
@@ -41,34 +50,42 @@ def test_paths(spark):
 
 def test_levels(spark, edges, seed):
     level = lambda e, d=9: {r.node: r.dist for r in G.bfs(e, seed, d).collect()}
-    assert level(edges) == {"s": 0, "a": 1, "b": 2, "d": 3} and level(G.reverse(edges)) == {"s": 0, "c": 1}
-    assert level(G.undirected(edges), 1) == {"s": 0, "a": 1, "c": 1}
+    assert level(edges) == {"k": 0, "m": 1, "p": 1, "q": 2, "w": 3} and level(G.reverse(edges)) == {"k": 0, "x": 1}
+    assert level(G.undirected(edges), 1) == {"k": 0, "m": 1, "p": 1, "x": 1}
 
 
 def test_cochange(spark):
-    rows = [("c1", "s.py"), ("c1", "a.py"), ("c2", "s.py"), ("c2", "a.py"), ("c2", "b.py"), ("c3", "a.py"), ("c3", "b.py"), ("c4", "s.py")]
-    got = {r.path: r.score for r in G.cochange(spark.createDataFrame(rows, "commit string, path string")).where("seed = 's.py'").collect()}
-    assert got == {"a.py": 1.5, "b.py": 0.5}
+    commits = {"v1": "ijk", "v2": "ik", "v3": "ijkl", "v4": "l", "v5": "lj"}
+    got = {(r.seed, r.path): r.score for r in G.cochange(spark.createDataFrame([(c, p) for c, ps in commits.items() for p in ps], "commit string, path string")).collect()}
+    want = Counter()
+    for ps in commits.values():
+        for a, b in itertools.permutations(ps, 2):
+            want[a, b] += 1 / (len(ps) - 1)
+    assert got == pytest.approx(dict(want))
 
 
 def test_reference_graph(spark):
-    defs = spark.createDataFrame([("s", "run"), ("a", "helper"), ("b", "util"), ("c", "Engine")], "file string, name string")
-    refs = spark.createDataFrame([("s", "helper"), ("s", "Engine"), ("a", "util"), ("c", "run"), ("d", "util")], "file string, name string")
-    assert {(r.src, r.dst) for r in G.reference_graph(defs, refs).collect()} == {("s", "a"), ("s", "c"), ("a", "b"), ("c", "s"), ("d", "b")}
+    defs = [("m1", "Loader"), ("m1", "scan"), ("m2", "Sink"), ("m3", "common"), ("m4", "common"), ("m5", "common"), ("m6", "common"), ("m7", "common"), ("m8", "common")]
+    refs = [("m2", "Loader"), ("m2", "scan"), ("m3", "Sink"), ("m2", "Sink"), ("m1", "common"), ("m9", "scan"), ("m9", "scan")]
+    got = {(r.src, r.dst): r.weight for r in G.reference_graph(spark.createDataFrame(defs, "file string, name string"), spark.createDataFrame(refs, "file string, name string")).collect()}
+    few = {n for n, c in Counter(n for _, n in defs).items() if c <= 5}
+    assert got == dict(Counter((a, b) for a, n in set(refs) for b, m in defs if n == m and n in few and a != b))
 
 
 def test_pagerank_keeps_mass(spark, edges, seed):
-    nodes = spark.createDataFrame([(n,) for n in "sabcd"], "node string")
-    got = {r.node: r.score for r in G.pagerank(nodes, edges, seed.withColumn("p", F.lit(1.0)), 40).collect()}
-    assert sum(got.values()) == pytest.approx(1) and "c" not in got
-    m = np.zeros((5, 5))
-    at = {n: i for i, n in enumerate("sabcd")}
+    names = "kmpqwx"
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    got = {r.node: r.score for r in G.pagerank(nodes, edges, seed.withColumn("p", F.lit(1.0)), 20).collect()}
+    assert sum(got.values()) == pytest.approx(1) and "x" not in got
+    m, own = np.zeros((6, 6)), np.eye(6)[0]
+    at = {n: i for i, n in enumerate(names)}
     for a, b in EDGES:
         m[at[b], at[a]] = 1 / sum(x == a for x, _ in EDGES)
-    x = np.eye(5)[0]
-    for _ in range(40):
-        x = 0.85 * (m @ x) + 0.15 * np.eye(5)[0]
-    assert [got.get(n, 0) for n in "sabcd"] == pytest.approx(x.tolist())
+    m[:, at["p"]] = own  # p leads nowhere: its mass goes back to the seed
+    x = own
+    for _ in range(20):
+        x = 0.85 * (m @ x) + 0.15 * own
+    assert [got.get(n, 0) for n in names] == pytest.approx(x.tolist())
 
 
 def test_bm25_and_fusion(spark):
