@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from orrery.sources.tables import table  # noqa: F401
+from orrery.staging import stage  # noqa: F401
 
 #: Bytes of text that a Python worker works on at a time.
 SLICE_BYTES = 4 << 20
@@ -17,10 +18,6 @@ SLICE_BYTES = 4 << 20
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -79,30 +76,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-#: Shuffle files are dropped as soon as the write that made them has ended, not when the driver's memory is next cleaned.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; on one machine alone, where none is set, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return where or "/tmp/checkpoints/orrery"
-
-
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.set(_CLEANUP, was)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
