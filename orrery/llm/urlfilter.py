@@ -13,19 +13,32 @@ from pyspark.sql import functions as F
 #: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: The labelled URL table: host and path, 1 for pages to block. Made for this repository.
-LABELLED = (
-    ("docs.example.org/en/guide/install", 0), ("www.example.org/wiki/history", 0), ("library.example.edu/papers/2021/graph.html", 0), ("news.example.com/en/science/article", 0),
-    ("blog.example.com/2020/05/why-tests-matter", 0), ("www.university.example/courses/algebra", 0), ("archive.example.org/text/novel-12", 0), ("m.example.com/en/page", 0),
-    ("example.com/fr/article/culture", 0), ("example.org/es/noticias/ciencia", 0), ("www.example.com/about/contact", 0), ("museum.example.org/collection/item", 0),
-    ("help.example.com/kb/answers", 0), ("developer.example.com/reference/api", 0), ("example.com/en/825", 0), ("health.example.org/topics/sleep", 0),
-    ("cs.example.edu/people/notes/lecture3.html", 0), ("www.example.org/de/handbuch", 0), ("forum.example.com/thread/garden", 0), ("example.org/en/685", 0),
-    ("ads.tracker.example/click/banner", 1), ("casino-bonus.example/win/jackpot", 1), ("free-pills.example/buy/cheap", 1), ("xxx-video.example/adult/cam", 1),
-    ("pixel.adserver.example/track/impression", 1), ("best-casino.example/slots/free-spins", 1), ("cheap-viagra.example/order/now", 1), ("adult-dating.example/join/xxx", 1),
-    ("click.promo.example/redirect/ad", 1), ("win-prize.example/lottery/claim", 1), ("download-crack.example/keygen/serial", 1), ("poker-online.example/bet/bonus", 1),
-    ("spam.example/buy/followers", 1), ("malware.example/exe/download", 1), ("phish-login.example/verify/account", 1), ("porn.example/xxx/adult", 1),
-    ("banner.ads.example/popup/track", 1), ("betting.example/odds/casino", 1), ("payday-loan.example/apply/fast-cash", 1), ("crypto-giveaway.example/double/free", 1),
-)
+#: Words of the labelled URL table: sites and sections that are fine, names that say nothing, and what marks pages to block.
+_FINE = "docs library news history science health museum school music garden recipes travel weather sports research archive support forum wiki maps books language courses physics cooking city council theatre nature software".split()
+_PLAIN = "karlton meridian oberlin tandor velkin marisol brenner altona quillan fjordby sandoval harkness lindau petrov yamane corvalis rosedale wexford ibarra nakano".split()
+_BLOCK = "casino poker slots betting bets jackpot lottery pills viagra pharmacy-cheap porn xxx adult-cam escort ads adserver banner tracker track popup spam spammer phishing malware keygen crack warez payday-loan fast-cash win-prize free-followers".split()
+_SITES = ("example.com", "example.org", "example.net", "site.example", "co.example", "example.edu")
+_FRONTS = ("", "www.", "m.", "blog.", "en.")
+
+
+def _table() -> tuple[tuple[str, int], ...]:
+    """(host and path, 1 for pages to block): words, fronts and sites in turn, so that both classes lie on the same sites, fronts and paths."""
+    rows, turn = [], 0
+    pick = lambda words, k: words[k % len(words)]
+    for i, bad in enumerate(_BLOCK):
+        for j in range(4):
+            turn += 1
+            site, front, n = pick(_SITES, turn), pick(_FRONTS, turn // 2), 37 * turn % 9973
+            name, twin, fine, more, other = pick(_PLAIN, 3 * turn), pick(_PLAIN, 7 * turn + 5), pick(_FINE, i + 5 * j), pick(_FINE, 3 * turn + 2), pick(_BLOCK, i + 9 * j + 4)
+            lang = ("en", "de", "fr", "es")[turn % 4]
+            block = (f"{bad}-{name}.{site}/{lang}/{n}", f"{name}.{site}/{bad}/{other}.html", f"{more[:5]}-{bad}.{site}/{lang}/{n}.html", f"{bad}.{other}.{site}/{lang}/")[j]
+            allow = (f"{fine}-{name}.{site}/{lang}/{n}", f"{name}.{site}/{fine}/{more}.html", f"{twin}{name[:3]}.{site}/{lang}/{n}.html", f"{fine}.{twin}.{site}/{lang}/")[j]
+            rows += [(front + block, 1), (front + allow, 0), (f"{front}{twin[2:]}{name[:4]}.{site}/{lang}/{n + 7}", 0)]
+    return tuple(rows)
+
+
+#: The labelled URL table, made for this repository by the rule above.
+LABELLED = _table()
 BITS, SIZES = 14, (3, 4, 5)
 
 
@@ -35,7 +48,7 @@ def features(host: str, path: str) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in sorted(grams)], dtype=np.int64))
 
 
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, rate: float = 30.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; the same every time. No rows: all zero."""
     w, bias = np.zeros(1 << BITS), 0.0
     rows = [(features(*_cut(u)), y) for u, y in labelled]
@@ -45,7 +58,7 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 300, r
             p = probability(w, bias, x) - y
             grad[x] += p / (len(rows) * np.sqrt(max(1, len(x))))
             slope += p / len(rows)
-        w, bias = w - rate * 20 * grad, bias - rate * slope
+        w, bias = w - rate * grad, bias - 0.05 * rate * slope
     return w, bias
 
 
@@ -65,8 +78,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     Host: after the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; path: from
     there up to '?', '#' or the end. Null urls and urls without '://' have both empty; no rule
     fits them. A rule fits its host and all subdomains if the path starts with the rule's
-    path; the longest rule wins (ties: first in order). Without a rule the model decides,
-    block from 0.5 on. Ids may be null or repeated; each row gets a row. Empty in, empty out.
+    path; the longest rule wins (ties: the first). Without a rule the model decides, block
+    from 0.5 on. Ids of any type may be null or repeated; each row gets a row; urls of any
+    length are judged whole. Empty in, empty out. Other columns are not read.
     """
     url = F.col(url_col).cast("string")
     tail = F.when(F.instr(url, "://") > 0, F.expr(f"substring(cast(`{url_col}` as string), instr(cast(`{url_col}` as string), '://') + 3)")).otherwise(F.lit(""))
@@ -74,7 +88,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host = F.translate(F.regexp_extract("_tail", r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     d = raw.select("page_id", host.alias("host"), F.regexp_extract("_tail", r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+    # The last that fits stays: longest last, and of equal ones the first.
+    for h, p, v in sorted(reversed(rules), key=lambda r: len(r[0]) + len(r[1])):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     d = d.withColumn("rule", rule).withColumn("verdict", verdict)
