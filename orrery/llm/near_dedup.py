@@ -183,16 +183,21 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long, common long, total long")
 
 
-def _in_several(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in more than one component g."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("g0", F.min("g").over(w)).withColumn("g1", F.max("g").over(w)).where("g0 <> g1").drop("g0", "g1")
+def _in_several(rows: DataFrame, group: str, *key: str) -> DataFrame:
+    """Rows whose key occurs in more than one group.
+
+    Keys are summed up before the shuffle, and rows meet them in a join, which Spark splits
+    where one key holds too many rows; a window would hold all rows of a key in one task.
+    """
+    keys = rows.groupBy(*key).agg(F.min(group).alias("_g0"), F.max(group).alias("_g1")).where("_g0 <> _g1").select(*key)
+    return rows.join(keys, list(key), "left_semi")
 
 
 def _main(rows: DataFrame, group: str, *key: str) -> DataFrame:
     """Adds main: the group with most rows of a key, so that only the others need meet everything."""
-    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy(*key, group)))
-    return sized.withColumn("main", F.max(F.struct("size", group)).over(Window.partitionBy(*key))[group]).drop("size")
+    sized = rows.groupBy(*key, group).agg(F.count("*").alias("_n"))
+    most = sized.groupBy(*key).agg(F.max(F.struct("_n", group))[group].alias("main"))
+    return rows.join(most, list(key))
 
 
 def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,9 +256,8 @@ def _apart(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # At least so much in common with any partner, and with one that is not linked with the centre.
     ranked = ranked.withColumn("la", F.expr(f"greatest(1, ceil(e - {(100 - percent) / percent!r}D * n - 1e-9D))")).withColumn("lb", F.expr(f"greatest(la, ceil((e + {k!r}D * (nc - n)) / 2 - 1e-9D))"))
     ranked = ranked.withColumn("at", F.expr("e - sl - sg + r")).withColumn("strict", F.expr("at <= e - lb + 1")).where("strict OR far AND at <= e - la + 1")
-    w = Window.partitionBy("c", "tok")
-    open_ = ranked.withColumn("g0", F.min("g").over(w)).withColumn("g1", F.max("g").over(w)).where("g0 <> g1").select("d", "n", "g", "c", "e", "tok", "sl", "sg", "far", "strict")
-    prefix = stage(_main(open_, "g", "c", "tok"), "apart")
+    ranked = stage(ranked.select("d", "n", "g", "c", "e", "tok", "sl", "sg", "far", "strict"), "apart")
+    prefix = stage(_main(_in_several(ranked, "g", "c", "tok"), "g", "c", "tok"), "apart")
     side = lambda rows, v: rows.select("c", "tok", *[F.col(a).alias(b + v) for a, b in (("d", ""), ("n", "n"), ("g", "g"), ("e", "e"), ("sl", "sl"), ("sg", "sg"), ("far", "far"), ("strict", "strict"))], *["main"] * (v == "y"))
     fits = f"2 * (least(slx, sly) + least(sgx, sgy)) >= ex + ey - {k!r}D * (nx + ny) - 1e-9D AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
     roles = "(farx AND fary AND strictx AND stricty OR farx AND NOT fary AND stricty OR fary AND NOT farx AND strictx)"
@@ -281,11 +285,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
 
     # Tables. A document goes on only where its A_i is shared.
     tall = vertex.select("doc_id", "n", "b", F.explode("a").alias("a"))
-    shared = tall.withColumn("c", F.count("*").over(Window.partitionBy("a"))).where("c > 1")
-    tables = shared.select("doc_id", "n", "a", F.posexplode("b").alias("j", "b"))
-    bucket = Window.partitionBy("a", "j", "b")
-    member = tables.withColumn("c", F.count("*").over(bucket)).withColumn("first", F.min("doc_id").over(bucket)).where("c > 1")
-    member = stage(member.select(F.xxhash64("a", "j", "b").alias("k"), F.col("doc_id").alias("d"), "n", "first"), "members")
+    shared = tall.join(tall.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "a", "left_semi")
+    tables = shared.select("doc_id", "n", "a", F.posexplode("b").alias("j", "b")).select(F.xxhash64("a", "j", "b").alias("k"), F.col("doc_id").alias("d"), "n")
+    tables = stage(tables, "tables")
+    full = tables.groupBy("k").agg(F.count("*").alias("c"), F.min("d").alias("first")).where("c > 1").select("k", "first")
+    member = stage(tables.join(full, "k"), "members")
 
     cut = sketch_cut(2 * m * half, percent)
     sketches = vertex.select("doc_id", "sk").join(member.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -309,12 +313,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     # An id of several texts has no one set to take differences from.
     several = sketches.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("d"))
     near = near.join(several, "d", "left_anti").join(several.withColumnRenamed("d", "c"), "c", "left_anti")
-    open_ = _in_several(held, "k").select("d", "n", "g").distinct().join(near, "d", "left")
+    open_ = _in_several(held, "g", "k").select("d", "n", "g").distinct().join(near, "d", "left")
     open_ = stage(open_.select("d", "n", "g", F.coalesce("c", "d").alias("c"), "e", F.expr("both - n").alias("nc")), "open")
-    prefix = _in_several(_prefixes(open_, sets, percent), "tok")
-    w = Window.partitionBy("tok")
-    prefix = prefix.withColumn("c0", F.min("c").over(w)).withColumn("c1", F.max("c").over(w)).where("c0 <> c1").drop("c0", "c1")
-    prefix = stage(_main(prefix, "c", "tok"), "prefix")
+    prefix = stage(_prefixes(open_, sets, percent), "prefix")
+    keys = prefix.groupBy("tok").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("g0 <> g1 AND c0 <> c1").select("tok")
+    prefix = stage(_main(prefix.join(keys, "tok", "left_semi"), "c", "tok"), "prefix")
     few = prefix.where("c <> main").select("tok", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("s").alias("sx"), F.col("c").alias("cx"))
     rest = prefix.select("tok", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("s").alias("sy"), F.col("c").alias("cy"), "main")
     cross = few.join(rest, "tok").where(f"gx <> gy AND cx <> cy AND (cy = main OR cx < cy) AND {_shared_fit(percent)}")
@@ -323,7 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     merged = components(links.union(more))
 
     whole = rep.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.join(whole, ["s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
+    # Texts without shingles are no copies of each other, and need no class.
+    thin = sigs.select("doc_id", "n", "s1", "s2")
+    found = thin.where("n > 0").join(whole, ["s1", "s2"], "left").select("doc_id", "n", "component_id")
+    out = found.unionByName(thin.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
