@@ -370,6 +370,42 @@ def test_nearest_recall_and_ties(spark):
     assert hits / 20 / len(by) >= 0.9
 
 
+def test_probe_is_a_shared_queue():
+    """Leaves as one heap over the open branches of all trees gives them out."""
+    from heapq import heappop, heappush
+
+    g = np.random.default_rng(6)
+    x = g.normal(size=(600, 7))
+    f = ann.Forest(x[:300], 5, trees=3)
+    at = f.leaves(x)
+    for row, own, (trees, leaves) in zip(x[:40], at[:40], f.probe(x[:40], 25), strict=True):
+        queue, out = [(0.0, t, 0, 0) for t in range(3)], []
+        while len(out) < 25:
+            far, t, d, k = heappop(queue)
+            if d == 5:
+                out.append((far, t, k))
+                continue
+            along, cuts = f.trees[t]
+            gap = float(along[d] @ row - cuts[d][k])
+            heappush(queue, (far, t, d + 1, 2 * k + (gap > 0)))
+            heappush(queue, (far + gap * gap, t, d + 1, 2 * k + (gap <= 0)))
+        assert {(t, k) for t, k in zip(trees.tolist(), leaves.tolist())} == {(t, k) for _, t, k in out}
+        assert {(t, int(k)) for t, k in enumerate(own)} <= {(t, k) for far, t, k in out if far == 0}
+    assert [len(v) for v in f.probe(x[:1], 99)][0:] and ann.Forest(x[:1], 0).leaves(x[:3]).tolist() == [[0] * ann.TREES] * 3
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """The same result however queries and leaves are dealt; repeated ids and columns with clashing names."""
+    g = np.random.default_rng(8)
+    rows = [(i % 390, v.tolist(), 1, 2) for i, v in enumerate(g.normal(size=(400, 8)))] + [(7, [1.0] * 8, 1, 2)] * 3
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score int")
+    want = sorted(map(tuple, ann.nearest(d, "vec_id % 20 = 0", k=5, leaf=16).collect()))
+    monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    assert sorted(map(tuple, ann.nearest(d, "vec_id % 20 = 0", k=5, leaf=16).collect())) == want
+    assert {r[0] for r in want} == set(range(0, 390, 20)) and all(a != b for a, _, b, _ in want)
+
+
 def test_nearest_few_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(d, "vec_id % 20 = 0").orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
