@@ -401,10 +401,11 @@ def test_blocks_of_queries(spark, monkeypatch):
     g = np.random.default_rng(8)
     rows = [(i % 390, v.tolist(), 1, 2) for i, v in enumerate(g.normal(size=(400, 8)))] + [(7, [1.0] * 8, 1, 2)] * 3
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score int")
-    want = sorted(map(tuple, ann.nearest(d, "vec_id % 20 = 0", k=5, leaf=16).collect()))
+    found = lambda: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(d, "vec_id % 20 = 0", k=5, leaf=16).collect())
+    want = found()
     monkeypatch.setattr(ann, "ASKED", 3)
     monkeypatch.setattr(ann, "BLOCK", 4)
-    assert sorted(map(tuple, ann.nearest(d, "vec_id % 20 = 0", k=5, leaf=16).collect())) == want
+    assert found() == want
     assert {r[0] for r in want} == set(range(0, 390, 20)) and all(a != b for a, _, b, _ in want)
 
 
