@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     owner = None
     while not live.isEmpty():
         step = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
+        # Staged, so that the join below reads plain tables: Spark then splits the rows of a vertex that many point to.
+        step = stage(step, "step")
         # Two hops of the pointers at once.
         hop = step.select(F.col("node").alias("to"), F.col("to").alias("to2"))
         step = stage(step.join(hop, "to", "left").select("node", F.coalesce("to2", "to").alias("to")), "step")
