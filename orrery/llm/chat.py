@@ -7,7 +7,7 @@ the output is always a marker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Written forms of the four characters that markers begin or end with; '&' first to write, last to read.
@@ -36,32 +36,21 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     marker. A conversation's string is as long as its turns: one conversation is one row.
     Empty input gives an empty result; other columns are not read.
     """
-    own = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    d = turns.select(F.col(conv).alias("conv_id"), own.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    own = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # Where each text ends in the output is a running sum, made while the rows are sorted, so the mask costs no more than the turns.
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    place = F.row_number().over(w)
+    d = own.select("conv_id", place.alias("i"), "role", escape(F.col("role")).alias("r"), escape(F.col("text")).alias("x"), (F.col("role") == F.lag("role").over(w)).alias("same"))
+    head = F.when(F.col("i") == 1, len(START)).otherwise(len(END)) + F.length("r") + 2
+    size = F.when(F.col("same"), len(SEP)).otherwise(head) + F.length("x")
+    d = d.withColumn("end", F.sum(size).over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    d = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "r", "x", "end"))).alias("t"))
     # Indexes (from 1) at which the role changes, then the turns of each run.
     d = d.withColumn("starts", F.expr("filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1].role <> t[i - 2].role)"))
     d = d.withColumn("blocks", F.expr("transform(starts, (s, i) -> slice(t, s, coalesce(get(starts, i + 1), size(t) + 1) - s))"))
-    joined = lambda b: F.concat(F.lit("["), escape(b[0]["role"]), F.lit("]"), F.array_join(F.transform(b, lambda x: escape(x["text"])), SEP), F.lit(END))
-    d = d.select("conv_id", F.concat(F.lit(START), F.array_join(F.transform("blocks", joined), "")).alias("formatted"))
-    return d.withColumn("loss", _mask(F.col("formatted"), loss_role))
-
-
-def _mask(formatted: Column, loss_role: str) -> Column:
-    """Spans of the texts of one role, found by the markers alone."""
-    bare = F.expr(f"substring(formatted, {len(START) + 1})")
-    pieces = F.slice(F.split(bare, END), F.lit(1), F.size(F.split(bare, END)) - 1)
-    # (head, texts) of each block; where a block begins is a running sum of lengths.
-    seed = F.struct(F.lit(len(START)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    head = f"[{loss_role}]"
-
-    def step(acc: Column, block: Column) -> Column:
-        texts = F.split(F.substring(block, len(head) + 1, 2**31 - 1), SEP)
-        inner = F.struct((acc["at"] + len(head)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-        spans = F.aggregate(texts, inner, lambda a, x: F.struct((a["at"] + F.length(x) + len(SEP)).alias("at"), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end")))).alias("spans")))["spans"]
-        more = F.when(F.startswith(block, F.lit(head)), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((acc["at"] + F.length(block) + len(END)).alias("at"), F.concat(acc["spans"], more).alias("spans"))
-
-    return F.aggregate(pieces, seed, step)["spans"]
+    joined = lambda b: F.concat(F.lit("["), b[0]["r"], F.lit("]"), F.array_join(F.transform(b, lambda x: x["x"]), SEP), F.lit(END))
+    spans = F.transform(F.filter("t", lambda x: x["role"] == loss_role), lambda x: F.struct((x["end"] - F.length(x["x"])).alias("start"), x["end"].alias("end")))
+    return d.select("conv_id", F.concat(F.lit(START), F.array_join(F.transform("blocks", joined), "")).alias("formatted"), spans.alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -347,6 +347,25 @@ def test_chat_markers_only_where_turns_change(spark):
     assert r.formatted == "<s>[user]&#91;x&#93;<sep>y</s>[assistant]z</s>" and [r.formatted[a:b] for a, b in r.loss] == ["z"]
 
 
+def test_chat_of_many_turns(spark):
+    """A very long conversation, a very long text, an empty table; spans by the markers alone."""
+    rows = [(1, t, ("user", "assistant", "assistant", "tool")[t % 4], f"[{t}]" * (t % 5)) for t in range(6000)] + [(2, 0, "assistant", "<" * 300_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(d)).collect()}
+    assert got[1].loss_text == "".join(x for c, t, r, x in rows if c == 1 and r == "assistant") and len(got[1].turns) == 6000
+    assert got[2].loss_text == "<" * 300_000 and got[2].formatted == "<s>[assistant]" + "&lt;" * 300_000 + "</s>"
+    r = chat.format_chats(d.where("conv_id = 1")).first()
+    want, at = [], 3
+    for block in r.formatted[3:].split("</s>")[:-1]:
+        head, body = block.split("]", 1)
+        place = at + len(head) + 1
+        for x in body.split("<sep>"):
+            want += [(place, place + len(x))] if head == "[assistant" else []
+            place += len(x) + 5
+        at += len(block) + 4
+    assert [tuple(s) for s in r.loss] == want
+
+
 # Neighbours
 def test_nearest_recall_and_ties(spark):
     g = np.random.default_rng(4)
