@@ -441,6 +441,21 @@ def scores(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFram
     return _gathered(nodes, edges, tasks, None, None).groupBy("repo").applyInPandas(run, "task string, method string, path string, score double")
 
 
+def hops(nodes: DataFrame, edges: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task, path, forward, reverse, undirected): hops from each task's seed; null without a way."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, own = _graph_of(pdf)
+        out = []
+        for task, seed in own:
+            if seed in g.at:
+                ways = [levels(a, g.at[seed]) for a in (g.out, g.into, g.und)]
+                out += [(task, p, *(w.get(v) for w in ways)) for v, p in enumerate(g.paths)]
+        return pd.DataFrame(out, columns=["task", "path", "forward", "reverse", "undirected"]).astype({c: "Int32" for c in ("forward", "reverse", "undirected")})
+
+    return _gathered(nodes, edges, tasks, None, None).groupBy("repo").applyInPandas(run, "task string, path string, forward int, reverse int, undirected int")
+
+
 def loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, path, clump, size): strongly connected components, numbered by their smallest members in each repository."""
 

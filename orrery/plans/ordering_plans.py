@@ -239,9 +239,103 @@ for _name in O.ORDERINGS:
         ORACLE_SQL[f"order_{_name}"] = with_parts(f"SELECT task, path, pos FROM o_{_name}", f"o_{_name}")
 
 
-def _all_orders(spark: SparkSession, d: str) -> DataFrame:
+# Orders of walks.ORDERS that SQL can express: levels by recursion, then hashes.
+_PARTS["calls"] = ("SELECT repo, src, dst FROM refs WHERE weight > 1", ("refs",))
+for _n in ("refs", "calls"):
+    _PARTS[f"{_n}_und"] = (f"SELECT repo, src, dst FROM {_n} UNION SELECT repo, dst, src FROM {_n}", (_n,))
+_PARTS["mixed"] = ("SELECT repo, src, dst FROM und UNION SELECT repo, src, dst FROM refs_und", ("und", "refs_und"))
+_TIE = "sha256(task || '|' || path)"
+
+
+def _reach(edges: str) -> str:
+    """near_edges: (task, path, dist) of all but the seed that the seed reaches."""
+    _PARTS[f"{edges}_x"] = (f"SELECT task, repo, seed AS path, 0 AS dist FROM tasks UNION SELECT l.task, l.repo, e.dst, l.dist + 1 FROM {edges}_x l JOIN {edges} e ON e.repo = l.repo AND e.src = l.path WHERE l.dist < 64", ("tasks", edges))
+    _PARTS[f"near_{edges}"] = (f"SELECT x.task, x.repo, x.path, min(dist) AS dist FROM {edges}_x x JOIN tasks t ON t.task = x.task AND x.path <> t.seed GROUP BY ALL", (f"{edges}_x", "tasks"))
+    return f"near_{edges}"
+
+
+def _walk_sql(rows: str, by: str, *needs: str) -> str:
+    return with_parts(f"SELECT task, path, CAST(row_number() OVER (PARTITION BY task ORDER BY {by}{_TIE}) AS INT) AS pos FROM ({rows})", *needs)
+
+
+_OUT, _IN, _BOTH, _REF, _CALL, _MIX = (_reach(e) for e in ("edges", "rev", "und", "refs_und", "calls_und", "mixed"))
+_WALK_SQL = {
+    "bfs_fwd": _walk_sql(f"SELECT * FROM {_OUT}", "dist, ", _OUT),
+    "bfs_rev": _walk_sql(f"SELECT * FROM {_IN}", "dist, ", _IN),
+    "bfs_und": _walk_sql(f"SELECT * FROM {_BOTH}", "dist, ", _BOTH),
+    "closure_fwd": _walk_sql(f"SELECT * FROM {_OUT}", "", _OUT),
+    "closure_rev": _walk_sql(f"SELECT * FROM {_IN}", "", _IN),
+    "closure_comb": _walk_sql(f"SELECT task, path FROM {_OUT} UNION SELECT task, path FROM {_IN}", "", _OUT, _IN),
+    "closure_fwd_trim": _walk_sql(f"SELECT * FROM {_OUT}", "dist, ", _OUT),
+    "khop1_und": _walk_sql(f"SELECT * FROM {_BOTH} WHERE dist = 1", "", _BOTH),
+    "khop2_und": _walk_sql(f"SELECT * FROM {_BOTH} WHERE dist <= 2", "", _BOTH),
+    "indegree": with_parts("SELECT task, path, pos FROM o_indegree", "o_indegree"),
+    "pagerank": with_parts("SELECT task, path, pos FROM o_pagerank", "o_pagerank"),
+    "ppr_und": _walk_sql("SELECT * FROM s_ppr_und WHERE score > 0", "round(score, 9) DESC, ", "s_ppr_und"),
+    "ppr_fwd": _walk_sql("SELECT * FROM s_ppr_out WHERE score > 0", "round(score, 9) DESC, ", "s_ppr_out"),
+    "repograph_k1": _walk_sql(f"SELECT * FROM {_REF} WHERE dist = 1", "", _REF),
+    "repograph_k2": _walk_sql(f"SELECT * FROM {_REF} WHERE dist <= 2", "dist, ", _REF),
+    "cosil_bfs": _walk_sql(f"SELECT * FROM {_CALL}", "dist, ", _CALL),
+}
+_PARTS["pairs_x"] = ("SELECT repo, path AS seed, path, 0 AS dist FROM nodes UNION SELECT x.repo, x.seed, u.dst, x.dist + 1 FROM pairs_x x JOIN und u ON u.repo = x.repo AND u.src = x.path WHERE x.dist < 64", ("nodes", "und"))
+_PARTS["close"] = ("SELECT n.repo, n.path, coalesce((count(d) - 1) * (count(d) - 1) / nullif(sum(d), 0) / (any_value(s.n) - 1), 0) AS score FROM nodes n JOIN size s ON s.repo = n.repo JOIN (SELECT repo, seed, path, min(dist) AS d FROM pairs_x GROUP BY ALL) x ON x.repo = n.repo AND x.seed = n.path GROUP BY n.repo, n.path", ("nodes", "size", "pairs_x"))
+_WALK_SQL["closeness"] = _walk_sql("SELECT o.task, o.path, c.score FROM others o JOIN close c ON c.repo = o.repo AND c.path = o.path", "round(score, 9) DESC, ", "others", "close")
+_PARTS["typed"] = (f"SELECT m.task, m.path, m.dist, min(CASE WHEN u.src IS NULL THEN 1 ELSE 0 END) AS kind FROM {_MIX} m LEFT JOIN (SELECT u.repo, u.src, u.dst, b.task, b.dist FROM und u JOIN (SELECT task, repo, path, dist FROM {_MIX} UNION ALL SELECT task, repo, seed, 0 FROM tasks) b ON b.repo = u.repo AND b.path = u.src) u ON u.task = m.task AND u.dst = m.path AND u.dist = m.dist - 1 GROUP BY ALL", (_MIX, "und", "tasks"))
+_WALK_SQL["locagent_bfs"] = _walk_sql("SELECT * FROM typed", "dist, kind, ", "typed")
+for _n, _rows, _by, _need in (("repograph_k2", f"SELECT o.task, o.path, r.dist FROM others o LEFT JOIN {_REF} r ON r.task = o.task AND r.path = o.path AND r.dist <= 2", "dist NULLS LAST, ", _REF), ("locagent_bfs", "SELECT o.task, o.path, r.dist, r.kind FROM others o LEFT JOIN typed r ON r.task = o.task AND r.path = o.path", "dist NULLS LAST, kind, ", "typed")):
+    ORACLE_SQL[f"order_sys_{_n}"] = _walk_sql(_rows, _by, "others", _need)
+
+
+def _walk(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _walked(spark, d).where(F.col("method") == name).select("task", "path", "pos")
+
+    return run
+
+
+def _walked(spark: SparkSession, d: str) -> DataFrame:
+    """All orders of walks.ORDERS, made in one go over repositories."""
+    c = corpus(spark, d)
+    return c.made("all walks", lambda: walks.orders(list(walks.ORDERS), c.nodes, c.edges, c.tasks, c.refs, c.calls))
+
+
+for _name in walks.ORDERS:
+    QUERIES[f"walk_{_name}"] = _walk(_name)
+    if _name in _WALK_SQL:
+        ORACLE_SQL[f"walk_{_name}"] = _WALK_SQL[_name]
+
+
+@query()
+def graph_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _walked(spark, d)
+
+
+_PARTS["fwd_x"] = ("SELECT repo, path AS seed, path, 0 AS dist FROM nodes UNION SELECT x.repo, x.seed, e.dst, x.dist + 1 FROM fwd_x x JOIN edges e ON e.repo = x.repo AND e.src = x.path WHERE x.dist < 64", ("nodes", "edges"))
+
+
+@query(with_parts("SELECT repo, path, CAST(dense_rank() OVER (PARTITION BY repo ORDER BY least_) - 1 AS INT) AS clump, CAST(count(*) OVER (PARTITION BY repo, least_) AS INT) AS size FROM (SELECT n.repo, n.path, min(coalesce(b.path, n.path)) AS least_ FROM nodes n LEFT JOIN (SELECT DISTINCT x.repo, x.seed, x.path FROM fwd_x x JOIN fwd_x y ON y.repo = x.repo AND y.seed = x.path AND y.path = x.seed) b ON b.repo = n.repo AND b.seed = n.path GROUP BY ALL)", "nodes", "fwd_x"))
+def import_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Strongly connected components of each repository's imports, numbered by their smallest members."""
     c = corpus(spark, d)
-    return walks.orders(list(walks.ORDERS), c.nodes, c.edges, c.tasks, c.refs, c.calls)
+    return walks.loops(c.nodes, c.edges)
 
 
-QUERIES["graph_orders"] = _all_orders
+@query(with_parts("SELECT task, path, CAST(row_number() OVER (PARTITION BY task ORDER BY path) AS INT) AS pos FROM others", "others"))
+def whole_repo(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a repository by path."""
+    w = Window.partitionBy("task").orderBy("path")
+    return corpus(spark, d).others.select("task", "path", F.row_number().over(w).alias("pos"))
+
+
+@query(with_parts("SELECT k.task, k.source, k.path, CAST(row_number() OVER (PARTITION BY k.task, k.source ORDER BY cost, sha256(k.task || '|' || k.path)) AS INT) AS pos FROM keys k JOIN others o ON o.task = k.task AND o.path = k.path", "keys", "others"))
+def oracle_of_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The best order there is: a key's files, cheapest first, the seed left out."""
+    return O.oracle(corpus(spark, d), keys(spark, d))
+
+
+@query(with_parts("SELECT k.task, k.source, k.path, CAST(min(a.dist) AS DOUBLE) AS forward, CAST(min(b.dist) AS DOUBLE) AS reverse, CAST(min(c.dist) AS DOUBLE) AS undirected FROM keys k LEFT JOIN near_edges a ON a.task = k.task AND a.path = k.path LEFT JOIN near_rev b ON b.task = k.task AND b.path = k.path LEFT JOIN near_und c ON c.task = k.task AND c.path = k.path GROUP BY ALL", "keys", "near_edges", "near_rev", "near_und"))
+def key_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Hops from the seed to each key file along imports, against them and either way; null without a way."""
+    c = corpus(spark, d)
+    hops = c.made("three ways", lambda: walks.hops(c.nodes, c.edges, c.tasks))
+    return keys(spark, d).join(hops, ["task", "path"], "left").select("task", "source", "path", *(F.col(n).cast("double").alias(n) for n in ("forward", "reverse", "undirected")))
