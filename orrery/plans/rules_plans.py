@@ -145,13 +145,13 @@ def identifier_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PATHS}, s AS (SELECT string_split(path, '/')[:-2] AS sd FROM paths WHERE k = (SELECT min(k) FROM paths)), x AS (SELECT k, path, string_split(path, '/')[:-2] AS pd, sd FROM paths, s),
 y AS (SELECT k, path, pd, sd, coalesce(list_position(list_transform(range(1, CAST(least(len(pd), len(sd)) AS BIGINT) + 1), lambda i: pd[i] <> sd[i]), TRUE) - 1, least(len(pd), len(sd))) AS same FROM x)
-SELECT k, CAST(len(pd) + len(sd) - 2 * same AS INT) AS steps, CAST(row_number() OVER (ORDER BY len(pd) + len(sd) - 2 * same, sha256('seed|' || path)) AS INT) AS pos FROM y""")
+SELECT k, CAST(len(pd) + len(sd) - 2 * same AS INT) AS steps, CAST(row_number() OVER (ORDER BY len(pd) + len(sd) - 2 * same, sha256('seed|' || path), k) AS INT) AS pos FROM y""")
 def directory_order(spark: SparkSession, d: str) -> DataFrame:
     """All files by the steps between their folder and the first file's."""
     p = _paths(spark, d)
     seed = F.broadcast(p.agg(F.min_by("path", "k").alias("seed")))
     x = p.crossJoin(seed).select("k", "path", T.folder_distance(F.col("path"), F.col("seed")).cast("int").alias("steps"))
-    return joins.positions(x, [F.col("steps"), T.tie_key(F.lit("seed"), F.col("path"))]).select("k", "steps", F.col("pos").cast("int").alias("pos"))
+    return joins.positions(x, [F.col("steps"), T.tie_key(F.lit("seed"), F.col("path")), F.col("k")]).select("k", "steps", F.col("pos").cast("int").alias("pos"))
 
 
 @query(f"""WITH {_PATHS}, f AS (SELECT k, path, string_split(path, '/')[:-2] AS dirs FROM paths)
