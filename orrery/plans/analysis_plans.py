@@ -413,3 +413,63 @@ def task_keys(spark: SparkSession, d: str) -> DataFrame:
 def minimum_detectable(n: int, m: int) -> float:
     """One cell of the power table."""
     return round(math.tanh((_z(1 - 0.025 / m) + _z(0.8)) * math.sqrt(1.06 / (n - 3))), 2)
+
+
+@query(
+    f"""SELECT source, method, round(avg(acc), 6) AS acc_10, round(avg(share), 6) AS top_10, round(avg(rr), 6) AS mrr, round(avg(empty), 6) AS empty_rate, round((sum(acc) + 0.5) * (any_value(base_miss) + 0.5) / ((count(*) - sum(acc) + 0.5) * (any_value(base_hit) + 0.5)), 6) AS odds_ratio FROM (
+  SELECT x.*, sum(CASE WHEN method = 'random' THEN acc ELSE 0 END) OVER (PARTITION BY source) AS base_hit, sum(CASE WHEN method = 'random' THEN 1 - acc ELSE 0 END) OVER (PARTITION BY source) AS base_miss FROM (
+    SELECT g.task, g.source, g.method, coalesce(max(CASE WHEN in_key = 1 AND pos <= {TOP} THEN 1.0 END), 0) AS acc, coalesce(sum(CASE WHEN in_key = 1 AND pos <= {TOP} THEN 1.0 END), 0) / any_value(g.key_size) AS share, coalesce(1.0::DOUBLE / min(CASE WHEN in_key = 1 THEN pos END), 0) AS rr, CASE WHEN count(o.pos) = 0 THEN 1.0 ELSE 0.0 END AS empty
+    FROM grid g LEFT JOIN ord o ON o.task = g.task AND o.source = g.source AND o.method = g.method GROUP BY g.task, g.source, g.method) x) GROUP BY source, method""",
+    "grid",
+    "ord",
+)
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Whether and how much of the key is among the first files, reciprocal ranks, empty lists, and the odds against a random order."""
+    hit = (F.col("in_key") == 1) & (F.col("pos") <= TOP)
+    per = _lists(spark, d).groupBy("task", "source", "method").agg(F.max(hit.cast("double")).alias("acc"), F.sum(hit.cast("double")).alias("hits"), (1.0 / F.min(F.when(F.col("in_key") == 1, F.col("pos")))).alias("rr"))
+    x = _grid(spark, d).join(per, ["task", "source", "method"], "left").withColumn("empty", F.col("acc").isNull().cast("double")).fillna(0.0, ["acc", "hits", "rr"])
+    t = x.groupBy("source", "method").agg(F.count("*").alias("n"), F.sum("acc").alias("a"), F.avg("acc").alias("acc_10"), F.avg(F.col("hits") / F.col("key_size")).alias("top_10"), F.avg("rr").alias("mrr"), F.avg("empty").alias("empty_rate"))
+    base = t.where("method = 'random'").select("source", F.col("a").alias("b"), (F.col("n") - F.col("a")).alias("c"))
+    odds = (F.col("a") + 0.5) * (F.col("c") + 0.5) / ((F.col("n") - F.col("a") + 0.5) * (F.col("b") + 0.5))
+    return t.join(F.broadcast(base), "source").select("source", "method", *(F.round(c, 6).alias(c) for c in ("acc_10", "top_10", "mrr", "empty_rate")), F.round(odds, 6).alias("odds_ratio"))
+
+
+@query("SELECT o.task, CAST(count(*) AS BIGINT) AS edges, CAST(sum(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) AS BIGINT) AS inversions, min(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) = 0 AS valid FROM tasks o JOIN edges e ON e.repo = o.repo JOIN o_hops_lines a ON a.task = o.task AND a.path = e.src JOIN o_hops_lines b ON b.task = o.task AND b.path = e.dst GROUP BY o.task", "tasks", "edges", "o_hops_lines")
+def ordering_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of which the importing file comes first in an order, by task; an order of dependencies has none."""
+    c = P.corpus(spark, d)
+    o = c.ordering("hops_lines")
+    e = c.tasks.select("task", "repo").join(c.edges, "repo")
+    x = e.join(o.select("task", F.col("path").alias("src"), F.col("pos").alias("a")), ["task", "src"]).join(o.select("task", F.col("path").alias("dst"), F.col("pos").alias("b")), ["task", "dst"])
+    late = F.count(F.when(F.col("a") < F.col("b"), 1))
+    return x.groupBy("task").agg(F.count("*").alias("edges"), late.alias("inversions"), (late == 0).alias("valid"))
+
+
+@query("SELECT n.repo, count(*) AS files, CAST(any_value(coalesce(m.edges, 0)) AS BIGINT) AS edges, round(any_value(coalesce(m.edges, 0)) / (count(*) * (count(*) - 1)), 6) AS density, round(any_value(coalesce(m.edges, 0)) / count(*), 6) AS mean_out, max(coalesce(i.k, 0)) AS max_in, count(*) FILTER (i.k IS NULL) AS roots, count(*) FILTER (o.k IS NULL) AS leaves, round(any_value(coalesce(m.both_ways, 0)) / greatest(any_value(coalesce(m.edges, 0)), 1), 6) AS reciprocity FROM nodes n LEFT JOIN (SELECT repo, dst, count(*) AS k FROM edges GROUP BY ALL) i ON i.repo = n.repo AND i.dst = n.path LEFT JOIN (SELECT repo, src, count(*) AS k FROM edges GROUP BY ALL) o ON o.repo = n.repo AND o.src = n.path LEFT JOIN (SELECT e.repo, count(*) AS edges, count(r.src) AS both_ways FROM edges e LEFT JOIN rev r ON r.repo = e.repo AND r.src = e.src AND r.dst = e.dst GROUP BY ALL) m ON m.repo = n.repo GROUP BY n.repo", "nodes", "edges", "rev")
+def structure_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Size, density, degrees, files without imports either way, and reciprocity of each repository's graph."""
+    c = P.corpus(spark, d)
+    back = c.edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("r"))
+    m = c.edges.join(back, ["repo", "src", "dst"], "left").groupBy("repo").agg(F.count("*").alias("edges"), F.count("r").alias("both_ways"))
+    i = c.edges.groupBy("repo", F.col("dst").alias("path")).agg(F.count("*").alias("i"))
+    o = c.edges.groupBy("repo", F.col("src").alias("path")).agg(F.count("*").alias("o"))
+    n = c.nodes.join(i, ["repo", "path"], "left").join(o, ["repo", "path"], "left").groupBy("repo").agg(F.count("*").alias("files"), F.max(F.coalesce("i", F.lit(0))).alias("max_in"), F.count(F.when(F.col("i").isNull(), 1)).alias("roots"), F.count(F.when(F.col("o").isNull(), 1)).alias("leaves"))
+    x = n.join(m, "repo", "left").fillna(0, ["edges", "both_ways"])
+    pairs = F.col("files") * (F.col("files") - 1)
+    return x.select("repo", "files", "edges", F.round(F.try_divide(F.col("edges").cast("double"), pairs), 6).alias("density"), F.round(F.col("edges") / F.col("files"), 6).alias("mean_out"), "max_in", "roots", "leaves", F.round(F.col("both_ways") / F.greatest("edges", F.lit(1)), 6).alias("reciprocity"))
+
+
+@query("SELECT task, kind, arg_min(path, sha256(kind || '|' || task || '|' || path)) AS seed FROM (SELECT h.task, h.path, unnest(list_filter(['any', CASE dist WHEN 1 THEN 'one' WHEN 2 THEN 'two' END], lambda x: x IS NOT NULL)) AS kind FROM hops h) GROUP BY ALL", "hops")
+def wrong_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """A wrong seed for each task by hash: one hop away, two hops away, or any other file."""
+    kinds = F.array_compact(F.array(F.lit("any"), F.when(F.col("dist") == 1, F.lit("one")).when(F.col("dist") == 2, F.lit("two"))))
+    x = P.corpus(spark, d).hops().select("task", "path", F.explode(kinds).alias("kind"))
+    return x.groupBy("task", "kind").agg(F.min_by("path", T.tie_key(F.col("kind"), F.col("task"), F.col("path"))).alias("seed"))
+
+
+@query(f"SELECT g.source, g.method, CAST(budget AS INT) AS budget, round(avg(full_), 6) AS share FROM (SELECT c.source, c.method, c.budget, a.pr, avg(CASE WHEN c.coverage >= 0.999 THEN 1.0 ELSE 0 END) AS full_ FROM curves c JOIN about a ON a.task = c.task GROUP BY ALL) g WHERE {_IS} GROUP BY ALL", "curves", "about")
+def full_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Share of pull requests, as means of their tasks, whose key is read in full within each budget."""
+    x = _curves(spark, d).where(F.col("method").isin(*RANKED)).join(_about(spark, d), "task")
+    x = x.groupBy("source", "method", "budget", "pr").agg(F.avg((F.col("coverage") >= 0.999).cast("double")).alias("f"))
+    return x.groupBy("source", "method", F.col("budget").cast("int").alias("budget")).agg(F.round(F.avg("f"), 6).alias("share"))

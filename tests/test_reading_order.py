@@ -132,3 +132,28 @@ def test_query_against_sql(spark, name):
         for p in glob.glob(f"{SF}/*.parquet"):
             con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
         assert rows_of(got) == rows_of(con.execute(ORACLE_SQL[name]).fetchdf())
+
+
+def test_signed_ranks_by_all_signs():
+    """The exact p against all ways to set the signs; the normal one near it."""
+    r = np.random.default_rng(3)
+    for n in (3, 6, 9):
+        d = r.normal(size=n) + 0.4
+        ranks = np.argsort(np.argsort(np.abs(d))) + 1
+        w = [ranks[np.array(s) > 0].sum() for s in itertools.product([1, -1], repeat=n)]
+        low = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+        assert stats.signed_rank_p(d) == pytest.approx(min(1, 2 * np.mean([x <= low for x in w])))
+    d = np.round(r.normal(size=60) + 0.2, 1)
+    assert 0 < stats.signed_rank_p(d) < 1 and stats.signed_rank_p(d) == stats.signed_rank_p(-d)
+
+
+def test_resampled_interval(spark):
+    """Near the normal interval of a mean of equal groups; the same twice."""
+    r = np.random.default_rng(5)
+    rows = [("m", i, float(x), 1) for i, x in enumerate(r.normal(2, 1, 200))]
+    g = spark.createDataFrame(rows, "method string, unit int, s double, n int")
+    lo, hi = (stats.bootstrap_ci(g, ["method"], resamples=800).first()[c] for c in ("lo", "hi"))
+    x = np.array([v for _, _, v, _ in rows])
+    half = 1.96 * x.std() / math.sqrt(len(x))
+    assert lo == pytest.approx(x.mean() - half, abs=0.05) and hi == pytest.approx(x.mean() + half, abs=0.05)
+    assert stats.bootstrap_ci(g, ["method"], resamples=800).first().lo == lo
