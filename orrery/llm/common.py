@@ -13,7 +13,7 @@ from orrery.sources.tables import table  # noqa: F401
 from orrery.staging import stage  # noqa: F401
 
 #: Bytes of text that a Python worker works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -23,6 +23,8 @@ from orrery.llm.common import slices, stage, utf8
 
 #: n-gram width in bytes and hash buckets (a table of 2 ** BITS doubles goes to each task).
 WIDTH, BITS = 4, 15
+#: Bytes of text whose n-grams are counted at a time; each takes eight bytes meanwhile.
+COUNTED = 1 << 19
 #: Most labelled rows that the target model is fitted on, smallest hashes of doc_id first.
 LABEL_BOUND = 50_000
 #: Pseudo-count of a bucket in the raw model.
@@ -53,7 +55,7 @@ def fit(docs: DataFrame, good_ids: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", COUNTED):
             ids = batch.column("doc_id").to_pylist()
             known = np.isin(np.array([-1 if i is None else i for i in ids]), good_ids) & np.array([i is not None for i in ids])
             own = [buckets(text) for text in batch.column("text").to_pylist()]
