@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, audio, bpe, chat, katz, near_dedup, packing, quality, secrets_scan, urlfilter
+from orrery.llm import ann, audio, bpe, chat, katz, near_dedup, packing, quality, secrets_scan, turn_repair, urlfilter
 from orrery.llm.common import table
 
 
@@ -70,6 +70,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations after the stated damage; rows that it drops stay, with `present` false."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    d = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20).alias("kind"))
+    d = d.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("kind") != 0).alias("present"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return d.drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = turn_repair.repair(damaged(table(spark, sf_dir, "conversations")), present="present")
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
@@ -81,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
 }
 
 #: Written forms as in chat.ESCAPES; formatted_chars counts markers and escapes.
