@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, audio, bpe, chat, hard_negatives, katz, near_dedup, packing, quality, secrets_scan, turn_repair, urlfilter
+from orrery.llm import ann, audio, bpe, chat, hard_negatives, katz, near_dedup, packing, quality, secrets_scan, toxicity, turn_repair, urlfilter
 from orrery.llm.common import table
 
 
@@ -91,6 +91,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    d = toxicity.toxicity(table(spark, sf_dir, "documents"), labels, evidence=False)
+    return d.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of rows whose vec_id is divisible by 7 are moved on by one, as if they had been entered wrongly."""
     d = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
     "op11_repair": op11_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
