@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents is the set of examples. A word's idf is measured against
-the examples that are not labelled toxic, so that words of ordinary prose weigh little. The index
+A bounded sample of labelled documents is the set of examples. Terms are words and, for longer
+words, their fronts. A term's idf is measured against the examples that are not labelled toxic, so
+that ordinary prose weighs little, and taken to a power; weights are (1 + ln tf) idf^1.5. The index
 holds the examples in blocks of similar ones; for each word and block it knows the largest weight
 there. A document's blocks are taken by the sum of these maxima, and the search ends when no block
 left can reach the k-th best example: what it finds is exact. Each neighbour votes with its
@@ -28,7 +29,9 @@ EXAMPLES, CHARACTERS = 8192, 48_000_000
 #: Neighbours that vote; examples of a block; blocks that a search takes first.
 NEIGHBOURS, BLOCK, FIRST = 25, 256, 4
 #: A word counts if so many examples have it, and at most this share of those that are not toxic.
-LEAST, SHARE = 5, 0.05
+LEAST, SHARE = 8, 0.05
+#: Letters of the fronts that stand for longer words, too; the power of the idf in a weight.
+FRONT, POWER = 6, 1.5
 #: Characters of a text whose words are counted at a time.
 PIECE = 1 << 20
 
@@ -37,7 +40,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def bag(text: str | None) -> Counter:
-    """How often each word occurs: runs of letters of the lower-cased text. Null counts as empty."""
+    """How often each word occurs, and each front of longer words (with ~): words are runs of letters of the lower-cased text. Null counts as empty."""
     text, found, at = (text or "").lower(), Counter(), 0
     while at < len(text):
         end = at + PIECE
@@ -46,13 +49,15 @@ def bag(text: str | None) -> Counter:
             end = _WORD.match(text, end).end() if _WORD.match(text, end) else end
         found.update(_WORD.findall(text, at, end))
         at = end
+    for word in [w for w in found if len(w) > FRONT]:
+        found[word[:FRONT] + "~"] += found[word]
     return found
 
 
 class Index:
     """Unit vectors of examples as postings by block and word, with each word's largest weight in each block."""
 
-    def __init__(self, words: list[str], counts: list[int], numbers: np.ndarray, weights: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
+    def __init__(self, words: list[str], counts: list[int], numbers: np.ndarray, weights: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> None:
         """counts: postings of each word; numbers and weights: the postings, by word, weights of unit vectors."""
         self.words = {w: i for i, w in enumerate(words)}
         self.idf, self.n, n_words = idf, len(labels), max(len(words), 1)
@@ -65,7 +70,8 @@ class Index:
         self.given = np.argsort(commonest, kind="stable")
         place = np.empty(self.n, np.int64)
         place[self.given] = np.arange(self.n)
-        self.labels, self.ids, self.n_words, self.n_blocks = labels[self.given], ids[self.given], n_words, max(-(-self.n // BLOCK), 1)
+        self.labels, self.ids, self.hashes = labels[self.given], ids[self.given], hashes[self.given]
+        self.n_words, self.n_blocks = n_words, max(-(-self.n // BLOCK), 1)
         at = place[numbers]
         key = (at // BLOCK) * n_words + word
         order = np.lexsort((at, key))
@@ -151,19 +157,17 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, characters: int) -> DataFrame:
     """(text, toxic): distinct texts of labelled documents, toxic the mean of their labels; a sample of bounded size."""
     own = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
-    key = F.xxhash64(F.col("i"))
-    chosen = own.groupBy("i").agg(F.avg("y").alias("y")).orderBy(key, "i").limit(limit)
+    chosen = own.groupBy("i").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(limit)
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stage(d.join(F.broadcast(chosen), "i").withColumn("h", key).groupBy("text").agg(F.avg("y").alias("toxic"), F.min("h").alias("h"), F.min("i").alias("i")), "examples")
+    found = stage(d.join(F.broadcast(chosen), "i").groupBy("text").agg(F.avg("y").alias("toxic"), F.min("i").alias("i")).withColumn("h", F.xxhash64("i", "text")), "examples")
     sizes = found.select("h", "i", F.length("text").alias("n")).orderBy("h", "i").limit(limit).collect()
     whole = np.cumsum([r.n for r in sizes])
     last = int(np.searchsorted(whole, characters, "right"))
     return found.where(F.lit(False) if not last else (F.col("h") < sizes[last - 1].h) | ((F.col("h") == sizes[last - 1].h) & (F.col("i") <= sizes[last - 1].i)))
 
 
-def build(known: DataFrame, least: int = LEAST, share: float = SHARE) -> Index:
-    """The index over examples(text, toxic, h, i), with its curve fitted."""
-    spark = known.sparkSession
+def _lists(known: DataFrame, least: int, share: float) -> Index:
+    """The index over examples(text, toxic, h, i), its curve not fitted yet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for x in batches for s in slices([x], "text")):
@@ -181,7 +185,7 @@ def build(known: DataFrame, least: int = LEAST, share: float = SHARE) -> Index:
     lists = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("toxic") < 0.5, 1)).alias("n_clean"), F.collect_list(F.struct("h", "i", "tf")).alias("postings"))
     lists = lists.where((F.col("n") >= least) & (F.col("n_clean") <= share * max(clean, 1 / share)))
     got = lists.select("word", "n_clean", F.col("postings.h").alias("h"), F.col("postings.i").alias("i"), F.col("postings.tf").alias("tf")).orderBy("word").toArrow()
-    idf = np.log((clean + 1) / (got.column("n_clean").to_numpy() + 1))
+    idf = np.log((clean + 1) / (got.column("n_clean").to_numpy() + 1)) ** POWER
     numbers = np.array([number[k] for k in zip(*(got.column(c).combine_chunks().flatten().to_numpy().tolist() for c in ("h", "i")), strict=True)], np.int64)
     tf = got.column("tf").combine_chunks().flatten().to_numpy()
     counts = [len(x) for x in got.column("tf")]
@@ -190,21 +194,31 @@ def build(known: DataFrame, least: int = LEAST, share: float = SHARE) -> Index:
     order = np.lexsort((numbers, np.repeat(np.arange(len(counts)), counts)))
     numbers, weights = numbers[order], weights[order]
     size = np.sqrt(np.bincount(numbers, weights**2, len(labels)))
-    index = Index(got.column("word").to_pylist(), counts, numbers, weights / np.where(size > 0, size, 1)[numbers], idf, labels, np.array([r.i for r in rows], np.int64))
-    if len(labels):
-        place = np.empty(index.n, np.int64)
-        place[index.given] = np.arange(index.n)
-        places = spark.createDataFrame([(h, i, int(place[n])) for (h, i), n in number.items()], "h long, i long, place long")
-        shared = spark.sparkContext.broadcast(index)
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (s for x in batches for s in slices([x], "text")):
-                at = b.column("place").to_pylist()
-                votes = [shared.value.vote(*shared.value.nearest(*shared.value.vector(bag(t)), without=p)) for t, p in zip(b.column("text").to_pylist(), at, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(votes, pa.float64())], ["place", "vote"])
-
-        judged = known.join(F.broadcast(places), ["h", "i"]).select("place", "text").repartition(max(spark.sparkContext.defaultParallelism, 1)).mapInArrow(judge, "place long, vote double").orderBy("place").collect()
-        index.curve = fit_curve(np.array([r.vote for r in judged]), index.labels[[r.place for r in judged]])
+    return Index(got.column("word").to_pylist(), counts, numbers, weights / np.where(size > 0, size, 1)[numbers], idf, labels, np.array([r.i for r in rows], np.int64), np.array([r.h for r in rows], np.int64))
+
+
+def _votes(known: DataFrame, index: Index) -> np.ndarray:
+    """How all other examples vote on each, in order of place."""
+    spark = known.sparkSession
+    places = spark.createDataFrame([(int(h), int(i), p) for p, (h, i) in enumerate(zip(index.hashes, index.ids, strict=True))], "h long, i long, place long")
+    shared = spark.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in (s for x in batches for s in slices([x], "text")):
+            at = b.column("place").to_pylist()
+            votes = [own.vote(*own.nearest(*own.vector(bag(t)), without=p)) for t, p in zip(b.column("text").to_pylist(), at, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(votes, pa.float64())], ["place", "vote"])
+
+    dealt = known.join(F.broadcast(places), ["h", "i"]).select("place", "text").repartition(max(spark.sparkContext.defaultParallelism, 1))
+    return np.array([r.vote for r in dealt.mapInArrow(judge, "place long, vote double").orderBy("place").collect()])
+
+
+def build(known: DataFrame, least: int = LEAST, share: float = SHARE) -> Index:
+    """The index over examples(text, toxic, h, i), with its curve fitted on how they vote on each other."""
+    index = _lists(known, least, share)
+    if index.n:
+        index.curve = fit_curve(_votes(known, index), index.labels)
     return index
 
 

@@ -40,7 +40,7 @@ def frames(spark, docs, labels):
 def test_index_finds_the_nearest_exactly(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     docs, labels = made(400)
-    index = toxicity.build(toxicity.examples(*frames(spark, docs, labels), "doc_id", "text", "toxic", 300, 10**9), share=0.5)
+    index = toxicity._lists(toxicity.examples(*frames(spark, docs, labels), "doc_id", "text", "toxic", 300, 10**9), 8, 0.5)
     assert index.n == 300 and index.n_blocks == 38
     dense = np.zeros((index.n, index.n_words))
     key = np.repeat(np.arange(index.n_blocks * index.n_words), np.diff(index.start))
@@ -62,11 +62,11 @@ def test_index_finds_the_nearest_exactly(spark, monkeypatch):
 
 def test_weights_are_tf_idf(spark):
     docs, labels = [(i, "kato " * (1 + i % 3) + ("grolm" if i % 4 == 0 else "vinos")) for i in range(40)], [(i, i % 4 == 0) for i in range(40)]
-    index = toxicity.build(toxicity.examples(*frames(spark, docs, labels), "doc_id", "text", "toxic", 100, 10**9), least=1, share=1)
+    index = toxicity._lists(toxicity.examples(*frames(spark, docs, labels), "doc_id", "text", "toxic", 100, 10**9), 1, 1)
     # Copies of a text are one example: 3 toxic and 3 clean texts are left.
     assert index.n == 6 and sorted(index.labels) == [0, 0, 0, 1, 1, 1]
     idf = {w: index.idf[i] for w, i in index.words.items()}
-    assert idf == pytest.approx({"grolm": math.log(4), "kato": 0.0, "vinos": 0.0})
+    assert idf == pytest.approx({"grolm": math.log(4) ** 1.5, "kato": 0.0, "vinos": 0.0})
 
 
 def test_held_out_accuracy(spark):
@@ -115,7 +115,7 @@ def test_words_of_long_texts_are_whole(monkeypatch):
     text = " ".join(prose(r, 3000)) + "." + "q" * 500
     whole = toxicity.bag(text)
     monkeypatch.setattr(toxicity, "PIECE", 97)
-    assert toxicity.bag(text) == whole and whole["q" * 500] == 1
+    assert toxicity.bag(text) == whole and whole["q" * 500] == whole["qqqqqq~"] == 1
 
 
 def test_query_on_given_rows(spark):
