@@ -57,7 +57,7 @@ def bag(text: str | None) -> Counter:
 class Index:
     """Unit vectors of examples as postings by block and word, with each word's largest weight in each block."""
 
-    def __init__(self, words: list[str], counts: list[int], numbers: np.ndarray, weights: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> None:
+    def __init__(self, words: list[str], counts: np.ndarray, numbers: np.ndarray, weights: np.ndarray, idf: np.ndarray, labels: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> None:
         """counts: postings of each word; numbers and weights: the postings, by word, weights of unit vectors."""
         self.words = {w: i for i, w in enumerate(words)}
         self.idf, self.n, n_words = idf, len(labels), max(len(words), 1)
@@ -159,7 +159,8 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     own = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("double").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     chosen = own.groupBy("i").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(limit)
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stage(d.join(F.broadcast(chosen), "i").groupBy("text").agg(F.avg("y").alias("toxic"), F.min("i").alias("i")).withColumn("h", F.xxhash64("i", "text")), "examples")
+    found = d.join(F.broadcast(chosen), "i").groupBy("text").agg(F.avg("y").alias("toxic"), F.min("i").alias("i")).withColumn("h", F.xxhash64("i", "text"))
+    found = stage(found.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 1)), "examples")
     sizes = found.select("h", "i", F.length("text").alias("n")).orderBy("h", "i").limit(limit).collect()
     whole = np.cumsum([r.n for r in sizes])
     last = int(np.searchsorted(whole, characters, "right"))
@@ -167,34 +168,45 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def _lists(known: DataFrame, least: int, share: float) -> Index:
-    """The index over examples(text, toxic, h, i), its curve not fitted yet."""
+    """The index over examples(text, toxic, h, i), its curve not fitted yet.
+
+    Terms are counted task by task and summed; then each example is one row of the terms that
+    count, so that no posting is shuffled.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, clean = Counter(), Counter()
         for b in (s for x in batches for s in slices([x], "text")):
-            bags = [bag(t) for t in b.column("text").to_pylist()]
-            sizes = [len(c) for c in bags]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("h", "i", "toxic")] + [pa.array([w for c in bags for w in c], pa.string()), pa.array([n for c in bags for n in c.values()], pa.int64())], ["h", "i", "toxic", "word", "tf"]
-            )
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                terms = bag(text).keys()
+                every.update(terms)
+                if toxic < 0.5:
+                    clean.update(terms)
+        yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([clean[t] for t in every], pa.int64())], ["term", "n", "n_clean"])
 
     rows = known.select("h", "i", "toxic").orderBy("h", "i").collect()
-    number = {(r.h, r.i): n for n, r in enumerate(rows)}
     labels = np.array([r.toxic for r in rows], float)
     clean = int((labels < 0.5).sum())
-    words = known.select("h", "i", "toxic", "text").mapInArrow(count, "h long, i long, toxic double, word string, tf long")
-    lists = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("toxic") < 0.5, 1)).alias("n_clean"), F.collect_list(F.struct("h", "i", "tf")).alias("postings"))
-    lists = lists.where((F.col("n") >= least) & (F.col("n_clean") <= share * max(clean, 1 / share)))
-    got = lists.select("word", "n_clean", F.col("postings.h").alias("h"), F.col("postings.i").alias("i"), F.col("postings.tf").alias("tf")).orderBy("word").toArrow()
-    idf = np.log((clean + 1) / (got.column("n_clean").to_numpy() + 1)) ** POWER
-    numbers = np.array([number[k] for k in zip(*(got.column(c).combine_chunks().flatten().to_numpy().tolist() for c in ("h", "i")), strict=True)], np.int64)
-    tf = got.column("tf").combine_chunks().flatten().to_numpy()
-    counts = [len(x) for x in got.column("tf")]
-    weights = (1 + np.log(tf)) * np.repeat(idf, counts)
-    # Postings of a word by number, so that nothing depends on the order in which Spark gathered them.
-    order = np.lexsort((numbers, np.repeat(np.arange(len(counts)), counts)))
-    numbers, weights = numbers[order], weights[order]
+    counted = known.select("toxic", "text").mapInArrow(count, "term string, n long, n_clean long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
+    kept = counted.where((F.col("n") >= least) & (F.col("n_clean") <= share * max(clean, 1 / share))).select("term", "n_clean").orderBy("term").toArrow()
+    terms = kept.column("term").to_pylist()
+    idf = np.log((clean + 1) / (kept.column("n_clean").to_numpy() + 1)) ** POWER
+    shared = known.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in (s for x in batches for s in slices([x], "text")):
+            found = [sorted((own[t], n) for t, n in bag(text).items() if t in own) for text in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("i"), *(pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["h", "i", "terms", "times"])
+
+    coded = known.select("h", "i", "text").mapInArrow(code, "h long, i long, terms array<int>, times array<int>").orderBy("h", "i").toArrow()
+    of, times = (coded.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("terms", "times"))
+    numbers = np.repeat(np.arange(len(labels)), [len(x) for x in coded.column("terms")])
+    weights = (1 + np.log(times)) * idf[of]
     size = np.sqrt(np.bincount(numbers, weights**2, len(labels)))
-    return Index(got.column("word").to_pylist(), counts, numbers, weights / np.where(size > 0, size, 1)[numbers], idf, labels, np.array([r.i for r in rows], np.int64), np.array([r.h for r in rows], np.int64))
+    order = np.lexsort((numbers, of))
+    weights = weights / np.where(size > 0, size, 1)[numbers]
+    return Index(terms, np.bincount(of, minlength=len(terms)), numbers[order], weights[order], idf, labels, np.array([r.i for r in rows], np.int64), np.array([r.h for r in rows], np.int64))
 
 
 def _votes(known: DataFrame, index: Index) -> np.ndarray:
@@ -210,8 +222,8 @@ def _votes(known: DataFrame, index: Index) -> np.ndarray:
             votes = [own.vote(*own.nearest(*own.vector(bag(t)), without=p)) for t, p in zip(b.column("text").to_pylist(), at, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(votes, pa.float64())], ["place", "vote"])
 
-    dealt = known.join(F.broadcast(places), ["h", "i"]).select("place", "text").repartition(max(spark.sparkContext.defaultParallelism, 1))
-    return np.array([r.vote for r in dealt.mapInArrow(judge, "place long, vote double").orderBy("place").collect()])
+    own = known.join(F.broadcast(places), ["h", "i"]).select("place", "text")
+    return np.array([r.vote for r in own.mapInArrow(judge, "place long, vote double").orderBy("place").collect()])
 
 
 def build(known: DataFrame, least: int = LEAST, share: float = SHARE) -> Index:
