@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import slices, stage
@@ -27,7 +28,7 @@ from orrery.llm.common import slices, stage
 #: Examples at most, smallest hashes of doc_id first, and the characters that they have in sum at most.
 EXAMPLES, CHARACTERS = 8192, 48_000_000
 #: Neighbours that vote; examples of a block; blocks that a search takes first.
-NEIGHBOURS, BLOCK, FIRST = 25, 256, 4
+NEIGHBOURS, BLOCK, FIRST = 25, 512, 3
 #: A word counts if so many examples have it, and at most this share of those that are not toxic.
 LEAST, SHARE = 8, 0.05
 #: Letters of the fronts that stand for longer words, too; the power of the idf in a weight.
@@ -75,13 +76,24 @@ class Index:
         at = place[numbers]
         key = (at // BLOCK) * n_words + word
         order = np.lexsort((at, key))
-        self.at, self.weight, key = at[order].astype(np.int32), weights[order], key[order]
-        self.start = np.searchsorted(key, np.arange(self.n_blocks * n_words + 1)).astype(np.int64)
+        small = np.int16 if self.n <= np.iinfo(np.int16).max else np.int32
+        self.at, self.weight, key = at[order].astype(small), weights[order], key[order]
+        self.start = np.searchsorted(key, np.arange(self.n_blocks * n_words + 1)).astype(np.int32 if len(key) < 1 << 31 else np.int64)
         most = np.zeros(self.n_blocks * n_words)
         np.maximum.at(most, key, self.weight)
-        self.most = np.ascontiguousarray(most.reshape(self.n_blocks, n_words).T)
+        # Singles rounded up are bounds still.
+        self.most = np.nextafter(np.ascontiguousarray(most.reshape(self.n_blocks, n_words).T).astype(np.float32), np.float32(np.inf)) * (most.reshape(self.n_blocks, n_words).T > 0)
         self.base = float(labels.mean()) if self.n else 0.0
-        self.curve = (0.0, 1.0)
+        self.curve, self.shared = (0.0, 1.0), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shared": None}
+
+    def broadcast(self, spark: SparkSession) -> Broadcast:
+        """The index in every task; sent once, without the curve that is fitted later."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a unit vector, terms ascending; words that are not in the index are left out."""
@@ -109,7 +121,7 @@ class Index:
             if not len(chosen):
                 break
             key = (chosen[:, None] * self.n_words + terms[None]).ravel()
-            lo = self.start[key]
+            lo = self.start[key].astype(np.int64)
             size = self.start[key + 1] - lo
             ends = np.cumsum(size)
             posting = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
@@ -129,10 +141,10 @@ class Index:
         """The toxic share of the neighbours, each counted by its cosine; that of all examples without neighbours."""
         return float((score * self.labels[best]).sum() / score.sum()) if len(best) else self.base
 
-    def probability(self, vote: float) -> float:
+    def probability(self, vote: float, curve: tuple[float, float]) -> float:
         if not self.n:
             return 0.0
-        a, b = self.curve
+        a, b = curve
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * _spread(vote)))))
 
 
@@ -213,7 +225,7 @@ def _votes(known: DataFrame, index: Index) -> np.ndarray:
     """How all other examples vote on each, in order of place."""
     spark = known.sparkSession
     places = spark.createDataFrame([(int(h), int(i), p) for p, (h, i) in enumerate(zip(index.hashes, index.ids, strict=True))], "h long, i long, place long")
-    shared = spark.sparkContext.broadcast(index)
+    shared = index.broadcast(spark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -241,13 +253,13 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     get that of the examples' share; without any example all scores are 0. Null ids are scored
     like others, repeated rows each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, curve = index.broadcast(docs.sparkSession), index.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in (s for x in batches for s in slices([x], "text")):
             found = [own.nearest(*own.vector(bag(t))) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), pa.array([own.probability(own.vote(*f)) for f in found], pa.float64())]
+            cols = [b.column("doc_id"), pa.array([own.probability(own.vote(*f), curve) for f in found], pa.float64())]
             if evidence:
                 cols.append(pa.array([[{"doc_id": int(own.ids[p]), "cosine": float(c), "toxic": float(own.labels[p])} for p, c in zip(*f, strict=True)] for f in found], pa.list_(_NEIGHBOUR)))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "neighbours"][: len(cols)])

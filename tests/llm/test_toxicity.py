@@ -43,7 +43,7 @@ def test_index_finds_the_nearest_exactly(spark, monkeypatch):
     index = toxicity._lists(toxicity.examples(*frames(spark, docs, labels), "doc_id", "text", "toxic", 300, 10**9), 8, 0.5)
     assert index.n == 300 and index.n_blocks == 38
     dense = np.zeros((index.n, index.n_words))
-    key = np.repeat(np.arange(index.n_blocks * index.n_words), np.diff(index.start))
+    key = np.repeat(np.arange(index.n_blocks * index.n_words), np.diff(index.start.astype(int)))
     dense[index.at, key % index.n_words] = index.weight
     assert np.allclose([(dense[i] ** 2).sum() for i in range(index.n) if dense[i].any()], 1)
     text = dict(docs)
