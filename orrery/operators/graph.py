@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators import levels
 from orrery.staging import stage
 
-#: Rounds of a rank iteration between two staged tables; whether it has settled is looked at there.
-BLOCK, HITS_BLOCK = 3, 8
+#: Rounds of the iteration of hubs between two staged tables; whether it has settled is looked at there.
+HITS_BLOCK = 8
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -23,54 +23,10 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """(task, node, dist) of all that each seed(task, node) reaches, the seed at 0; frontier joins, visited rows out.
-
-    With `depth` the search ends after so many hops, else when the frontier is empty.
-    """
-    e = stage(edges.select(F.col("src").alias("node"), "dst"), "graph")
-    seen = front = stage(seeds.select("task", "node", F.lit(0).alias("dist")), "graph")
-    for d in count(1) if depth is None else range(1, depth + 1):
-        step = front.join(e, "node").select("task", F.col("dst").alias("node")).distinct()
-        front = stage(step.join(seen, ["task", "node"], "left_anti").withColumn("dist", F.lit(d)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
-
-
-def pagerank(nodes: DataFrame, edges: DataFrame, start: DataFrame, rounds: int | None = None, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
-    """(task, node, score) of one large graph after a fixed number of rounds, or without one when the scores have settled.
-
-    start(task, node, p) is the restart distribution, which also takes the mass of nodes
-    without successors. Only nodes with mass are kept, so personal walks stay local at first.
-    Settled: after a multiple of BLOCK rounds, the last one changed no task's scores by
-    `tol` for each node of the graph in sum and reached no new node. Many small graphs are
-    ranked by walks.scores instead.
-    """
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = stage(edges.join(out, "src").select(F.col("src").alias("node"), "dst", "deg"), "graph")
-    has = stage(e.select("node").distinct(), "graph")
-    start = stage(start.select("task", "node", "p"), "graph")
-    least = tol * nodes.count()
-
-    def step(x: DataFrame) -> DataFrame:
-        moved = x.join(e, "node").select("task", F.col("dst").alias("node"), (alpha * F.col("score") / F.col("deg")).alias("score"))
-        lost = x.join(has, "node", "left_anti").groupBy("task").agg(F.sum("score").alias("lost"))
-        back = start.join(lost, "task", "left").select("task", "node", (F.col("p") * ((1 - alpha) + alpha * F.coalesce("lost", F.lit(0.0)))).alias("score"))
-        was = x.select("task", "node", F.lit(0.0).alias("score"), F.col("score").alias("old"))
-        return moved.unionByName(back).withColumn("old", F.lit(None).cast("double")).unionByName(was).groupBy("task", "node").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
-
-    x = start.select("task", "node", F.col("p").alias("score"))
-    for i in count(1) if rounds is None else range(1, rounds + 1):
-        both = step(x)
-        if i % BLOCK == 0 or i == rounds:
-            both = stage(both, "graph")
-        x = both.select("task", "node", "score")
-        if rounds is None and i % BLOCK == 0:
-            change = F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))
-            if both.groupBy("task").agg(change.alias("c"), F.count(F.when(F.col("old").isNull(), 1)).alias("n")).where(f"c >= {least!r}D OR n > 0").isEmpty():
-                break
-    return x
+    """(task, node, dist) of all that each seed(task, node) reaches in one large graph, the seed at 0; with `depth` the search ends after so many hops."""
+    whole = F.lit("all").alias("repo")
+    found = levels.reached(edges.select(whole, "src", "dst"), seeds.select(whole, F.col("task").alias("source"), "node"), depth)
+    return found.select(F.col("source").alias("task"), "node", "dist")
 
 
 def hits_authority(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
-from orrery.operators import retrieval, walks
+from orrery.operators import levels, retrieval, walks
 from orrery.staging import stage
 
 #: Digits to which scores are rounded before they are ranked, so that equal ones are equal everywhere.
@@ -87,20 +87,58 @@ class Corpus:
 
     def walk(self, name: str) -> DataFrame:
         """(task, path, score) of one of walks.SCORES; all of them are made in one go over repositories."""
-        d = self.made("walks", lambda: walks.scores(["hops_und", "ppr_und", "ppr_out", "ppr_in", "pagerank"], self.nodes, self.edges, self.tasks))
+        d = self.made("walks", lambda: walks.scores(list(walks.SCORES), self.nodes, self.edges, self.tasks))
         return d.where(F.col("method") == name).select("task", "path", "score")
 
+    def graph(self, name: str) -> DataFrame:
+        """(repo, src, dst) of a graph without loops and unknown files: imports 'out', 'in' and 'und', 'refs' and 'calls' either way, 'mixed' imports and references either way."""
+
+        def make() -> DataFrame:
+            if name in ("in", "und"):
+                return levels.against(self.graph("out")) if name == "in" else levels.both_ways(self.graph("out"))
+            if name == "mixed":
+                return self.graph("und").union(self.graph("refs")).distinct()
+            rows = {"out": self.edges, "refs": self.refs, "calls": self.calls}[name]
+            known = self.nodes.select("repo", "path").distinct()
+            own = rows.where("src <> dst").select("repo", "src", "dst").join(known.withColumnRenamed("path", "src"), ["repo", "src"], "left_semi").join(known.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi")
+            own = own.select("repo", "src", "dst").distinct()
+            return own if name == "out" else levels.both_ways(own)
+
+        return self.made(f"graph {name}", make)
+
+    def reached(self, name: str) -> DataFrame:
+        """(task, repo, path, dist) of what each task's seed reaches in a graph, the seed itself at 0."""
+
+        def make() -> DataFrame:
+            seeds = self.tasks.join(self.nodes.select("repo", F.col("path").alias("seed")), ["repo", "seed"], "left_semi").select("repo", F.col("task").alias("source"), F.col("seed").alias("node"))
+            return levels.reached(self.graph(name), seeds).select(F.col("source").alias("task"), "repo", F.col("node").alias("path"), "dist")
+
+        return self.made(f"reached {name}", make)
+
+    def by_node(self, name: str) -> DataFrame:
+        """(repo, path, score) of 'closeness' or 'betweenness', which have no seed."""
+        nodes = self.nodes.select("repo", F.col("path").alias("node")).distinct()
+        make = lambda: (levels.closeness if name == "closeness" else levels.betweenness)(nodes, self.graph("out"))
+        return self.made(name, make).withColumnRenamed("node", "path")
+
+    def components(self) -> DataFrame:
+        """(repo, node, root): strongly connected components of the imports."""
+        return self.made("components", lambda: levels.strong_components(self.nodes.select("repo", F.col("path").alias("node")), self.graph("out")))
+
     def search(self, name: str) -> DataFrame:
-        """(task, path, pos) of one of walks.ORDERS."""
-        d = self.made(f"order {name}", lambda: walks.orders([name], self.nodes, self.edges, self.tasks, self.refs, self.calls))
+        """(task, path, pos) of one of BY_JOINS or walks.ORDERS."""
+        if name in BY_JOINS:
+            return self.made(f"order {name}", lambda: BY_JOINS[name](self).select("task", "path", F.col("pos").cast("int").alias("pos")))
+        d = self.made(f"order {name}", lambda: walks.orders([name], self.nodes, self.edges, self.tasks, self.refs))
         return d.select("task", "path", "pos")
 
     def hops(self) -> DataFrame:
         """(task, path, cost, dist): hops from the seed, one more than there are files where there is no way."""
 
         def make() -> DataFrame:
-            far = self.walk("hops_und").select("task", "path", F.col("score").cast("int").alias("dist"))
-            return self.others.join(far, ["task", "path"]).select("task", "path", "cost", "dist")
+            size = self.nodes.groupBy("repo").agg((F.count("*") + 1).cast("int").alias("far"))
+            near = self.reached("und").select("task", "path", "dist")
+            return self.others.join(size, "repo").join(near, ["task", "path"], "left").select("task", "path", "cost", F.coalesce("dist", "far").alias("dist"))
 
         return self.made("hops", make)
 
@@ -160,6 +198,48 @@ def _dense_fusion(*names: str) -> Callable[[Corpus], DataFrame]:
     return lambda c: fused(c, *names).join(c.ordering("dense_issue").select("task").distinct(), "task", "left_semi")
 
 
+def _near(c: Corpus, name: str, most: int | None = None) -> DataFrame:
+    return c.reached(name).where("dist > 0" if most is None else f"dist BETWEEN 1 AND {most}")
+
+
+def _topological(c: Corpus) -> DataFrame:
+    peeled = c.made("heights", lambda: levels.heights(c.components(), c.graph("out")))
+    reach = c.reached("out").select(F.col("task").alias("source"), "repo", F.col("path").alias("node"), "dist")
+    return levels.dependencies_first(reach, peeled, T.tie_key).select(F.col("source").alias("task"), F.col("node").alias("path"), "pos")
+
+
+def _typed(c: Corpus) -> DataFrame:
+    """Levels over imports and references together; within a level, files that an import reached come first."""
+    d = c.reached("mixed")
+    by_import = d.join(c.graph("und").withColumnRenamed("src", "path"), ["repo", "path"]).select("task", F.col("dst").alias("path"), (F.col("dist") + 1).alias("dist")).distinct()
+    return ordered(d.where("dist > 0").join(by_import.withColumn("kind", F.lit(0)), ["task", "path", "dist"], "left"), F.col("dist"), F.coalesce("kind", F.lit(1)))
+
+
+def _central(name: str) -> Callable[[Corpus], DataFrame]:
+    return lambda c: by_score(c.others.join(c.by_node(name), ["repo", "path"]))
+
+
+#: Selections and orders that are made of levels, components and counts by joins: what they do not reach is not listed.
+BY_JOINS: dict[str, Callable[[Corpus], DataFrame]] = {
+    "bfs_fwd": lambda c: ordered(_near(c, "out"), F.col("dist")),
+    "bfs_rev": lambda c: ordered(_near(c, "in"), F.col("dist")),
+    "bfs_und": lambda c: ordered(_near(c, "und"), F.col("dist")),
+    "closure_fwd": lambda c: ordered(_near(c, "out")),
+    "closure_rev": lambda c: ordered(_near(c, "in")),
+    "closure_comb": lambda c: ordered(_near(c, "out").union(_near(c, "in")).select("task", "path").distinct()),
+    "khop1_und": lambda c: ordered(_near(c, "und", 1)),
+    "khop2_und": lambda c: ordered(_near(c, "und", 2)),
+    "closure_fwd_trim": lambda c: ordered(_near(c, "out"), F.col("dist")),
+    "topo_fwd": _topological,
+    "indegree": lambda c: c.ordering("indegree"),
+    "closeness": _central("closeness"),
+    "betweenness": _central("betweenness"),
+    "repograph_k1": lambda c: ordered(_near(c, "refs", 1)),
+    "repograph_k2": lambda c: ordered(_near(c, "refs", 2), F.col("dist")),
+    "locagent_bfs": _typed,
+    "cosil_bfs": lambda c: ordered(_near(c, "calls"), F.col("dist")),
+}
+
 #: Every ordering by name.
 ORDERINGS: dict[str, Callable[[Corpus], DataFrame]] = {
     "bfs_und": lambda c: ordered(c.hops(), F.col("dist")),

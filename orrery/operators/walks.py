@@ -1,8 +1,8 @@
 """Walks, ranks and communities on the file graphs of many repositories, one repository in one task.
 
 A repository's graph is as large as its tree of files, so it fits a task, and orders that are
-sequential by nature (depth-first, topological, greedy) are made where the graph is. Equal
-choices are settled by a hash of task and path, never by a random stream.
+sequential by nature (depth-first, greedy) are made where the graph is; levels, components and
+what follows from them are joins, in `levels`. Equal choices are settled by a hash of task and path, never by a random stream.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Damping, the stop of a rank iteration per node, and its most rounds.
 ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
-#: Graphs up to EXACT nodes have exact betweenness, larger ones that of SOURCES hashed sources.
-EXACT, SOURCES = 1500, 500
 
 
 def tie(task: str, path: str) -> str:
@@ -59,51 +57,14 @@ def rank(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray | None = N
     return x
 
 
-def components(adjacent: list[list[int]]) -> list[list[int]]:
-    """Strongly connected components, each sorted, in order of their smallest members."""
-    n, clock = len(adjacent), 0
-    number, low, on, stack, out = [-1] * n, [0] * n, [False] * n, [], []
-    for root in range(n):
-        if number[root] >= 0:
-            continue
-        todo = [(root, 0)]
-        while todo:
-            v, at = todo.pop()
-            if at == 0:
-                number[v] = low[v] = clock
-                clock += 1
-                stack.append(v)
-                on[v] = True
-            if at < len(adjacent[v]):
-                todo.append((v, at + 1))
-                w = adjacent[v][at]
-                if number[w] < 0:
-                    todo.append((w, 0))
-                elif on[w]:
-                    low[v] = min(low[v], number[w])
-                continue
-            if low[v] == number[v]:
-                own = []
-                while True:
-                    w = stack.pop()
-                    on[w] = False
-                    own.append(w)
-                    if w == v:
-                        break
-                out.append(sorted(own))
-            if todo:
-                low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
-    return sorted(out)
-
-
 class Graph:
-    """One repository: paths in order, import edges without loops, references (src, dst, names, weight) and calls."""
+    """One repository: paths in order, import edges without loops and references (src, dst, names, weight)."""
 
-    def __init__(self, paths: Iterable[str], edges: Iterable[tuple[str, str]], refs: Iterable[tuple[str, str, float, float]] = (), calls: Iterable[tuple[str, str]] = ()) -> None:
+    def __init__(self, paths: Iterable[str], edges: Iterable[tuple[str, str]], refs: Iterable[tuple[str, str, float, float]] = ()) -> None:
         self.paths = sorted(set(paths))
         self.at = {p: i for i, p in enumerate(self.paths)}
         known = lambda rows: sorted({(self.at[r[0]], self.at[r[1]], *r[2:]) for r in rows if r[0] in self.at and r[1] in self.at and r[0] != r[1]})
-        self.edges, self.refs, self.calls = known(edges), known(refs), known(calls)
+        self.edges, self.refs = known(edges), known(refs)
 
     def adjacent(self, pairs: Iterable[tuple[int, ...]], both: bool = False) -> list[list[int]]:
         out: list[set[int]] = [set() for _ in self.paths]
@@ -154,42 +115,6 @@ class Graph:
                 return auth
         return np.bincount(dst, minlength=n).astype(float)
 
-    @cached_property
-    def betweenness(self) -> np.ndarray:
-        """Shares of shortest directed paths through each node, by accumulation from each source."""
-        n = len(self.paths)
-        sources = list(range(n)) if n <= EXACT else sorted(range(n), key=lambda i: tie("betweenness", self.paths[i]))[:SOURCES]
-        total = np.zeros(n)
-        for s in sources:
-            order, before, ways, dist, queue = [], [[] for _ in range(n)], np.zeros(n), {s: 0}, deque([s])
-            ways[s] = 1
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in self.out[v]:
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        ways[w] += ways[v]
-                        before[w].append(v)
-            gain = np.zeros(n)
-            for w in reversed(order):
-                for v in before[w]:
-                    gain[v] += ways[v] / ways[w] * (1 + gain[w])
-                if w != s:
-                    total[w] += gain[w]
-        return total * (n / len(sources) / ((n - 1) * (n - 2))) if n > 2 else total
-
-    @cached_property
-    def closeness(self) -> np.ndarray:
-        n, out = len(self.paths), np.zeros(len(self.paths))
-        for v in range(n):
-            d = levels(self.und, v)
-            if len(d) > 1:
-                out[v] = (len(d) - 1) / sum(d.values()) * (len(d) - 1) / (n - 1)
-        return out
-
     @cached_property
     def louvain(self) -> np.ndarray:
         """Communities of greedy modularity: nodes move while the modularity grows, then communities become nodes."""
@@ -250,9 +175,6 @@ class Graph:
     def shuffled(self, nodes: Iterable[int], task: str) -> list[int]:
         return sorted(nodes, key=lambda v: tie(task, self.paths[v]))
 
-    def by_level(self, found: dict[int, int], seed: int, task: str, second: Callable[[int], int] = lambda v: 0) -> list[int]:
-        return sorted((v for v in found if v != seed), key=lambda v: (found[v], second(v), tie(task, self.paths[v])))
-
     def by_score(self, score: np.ndarray, seed: int, task: str, keep: bool = False) -> list[int]:
         return sorted((v for v in range(len(score)) if v != seed and (score[v] > 0 or not keep)), key=lambda v: (-round(float(score[v]), 9), tie(task, self.paths[v])))
 
@@ -283,33 +205,6 @@ class Graph:
                             stack.append((w, d + 1))
         return [v for v in listed if v != seed]
 
-    def dependencies_first(self, seed: int, task: str) -> list[int]:
-        """What the seed reaches, each after all that it depends on; members of a loop lie together."""
-        reach = levels(self.out, seed).keys()
-        if len(reach) < 2:
-            return []
-        keep = sorted(reach)
-        at = {v: i for i, v in enumerate(keep)}
-        inner = [[at[w] for w in self.out[v]] for v in keep]
-        loops = components(inner)
-        of = {v: c for c, own in enumerate(loops) for v in own}
-        after = [{of[w] for v in own for w in inner[v]} - {c} for c, own in enumerate(loops)]
-        waiting = [0] * len(loops)
-        for row in after:
-            for c in row:
-                waiting[c] += 1
-        key = {c: tie(task, self.paths[keep[own[0]]]) for c, own in enumerate(loops)}
-        ready, order = [c for c, k in enumerate(waiting) if not k], []
-        while ready:
-            c = min(ready, key=key.__getitem__)
-            ready.remove(c)
-            order.append(c)
-            for d in after[c]:
-                waiting[d] -= 1
-                if not waiting[d]:
-                    ready.append(d)
-        return [v for c in reversed(order) for v in self.shuffled((keep[i] for i in loops[c]), task) if v != seed]
-
     def expansion(self, seed: int, task: str) -> list[int]:
         """Greedy growth of a set: next comes the node most tied to the set, as a share of its own ties and of the set."""
         near, inside, out = [set(r) for r in self.und], {seed}, []
@@ -329,70 +224,31 @@ class Graph:
         weight = np.array([names * np.sqrt(n) / max(n, 1) for _, _, n, names in self.refs])
         return rank(len(self.paths), src, dst, weight, seed) if len(src) else np.zeros(len(self.paths))
 
-    def typed_search(self, seed: int, task: str) -> list[int]:
-        """Levels over imports and references together; within a level, nodes that an import reached come first."""
-        und, ref = self.und, self.adjacent(self.refs, both=True)
-        both = [sorted({*a, *b}) for a, b in zip(und, ref, strict=True)]
-        found = levels(both, seed)
-        kind = lambda v: 0 if any(found.get(w) == found[v] - 1 for w in und[v]) else 1
-        return self.by_level(found, seed, task, kind)
-
-
-def _within(found: dict[int, int], most: int) -> list[int]:
-    return [v for v, d in found.items() if 0 < d <= most]
-
-
 #: Orders of one task by name: (graph, seed, task) -> nodes.
 ORDERS: dict[str, Callable[[Graph, int, str], list[int]]] = {
-    "bfs_fwd": lambda g, s, t: g.by_level(levels(g.out, s), s, t),
-    "bfs_rev": lambda g, s, t: g.by_level(levels(g.into, s), s, t),
-    "bfs_und": lambda g, s, t: g.by_level(levels(g.und, s), s, t),
     "dfs_und": Graph.depth_first,
     "ids_und": Graph.deepening,
-    "closure_fwd": lambda g, s, t: g.shuffled(levels(g.out, s).keys() - {s}, t),
-    "closure_rev": lambda g, s, t: g.shuffled(levels(g.into, s).keys() - {s}, t),
-    "closure_comb": lambda g, s, t: g.shuffled((levels(g.out, s).keys() | levels(g.into, s).keys()) - {s}, t),
-    "khop1_und": lambda g, s, t: g.shuffled(_within(levels(g.und, s), 1), t),
-    "khop2_und": lambda g, s, t: g.shuffled(_within(levels(g.und, s), 2), t),
-    "closure_fwd_trim": lambda g, s, t: g.by_level(levels(g.out, s), s, t),
-    "topo_fwd": Graph.dependencies_first,
     "pagerank": lambda g, s, t: g.by_score(g.pagerank, s, t),
     "ppr_und": lambda g, s, t: g.by_score(g.walk(g.und, s), s, t, True),
     "ppr_fwd": lambda g, s, t: g.by_score(g.walk(g.out, s), s, t, True),
-    "indegree": lambda g, s, t: g.by_score(np.array([len(r) for r in g.into], float), s, t),
     "hits_auth": lambda g, s, t: g.by_score(g.authority, s, t),
-    "betweenness": lambda g, s, t: g.by_score(g.betweenness, s, t),
-    "closeness": lambda g, s, t: g.by_score(g.closeness, s, t),
     "robillard": Graph.expansion,
     "louvain": lambda g, s, t: g.shuffled([v for v, c in enumerate(g.louvain) if c == g.louvain[s] and v != s], t),
     "labelprop": lambda g, s, t: g.shuffled([v for v, c in enumerate(g.propagated) if c == g.propagated[s] and v != s], t),
     "aider_repomap": lambda g, s, t: g.by_score(g.reference_ranks(s), s, t, True),
-    "repograph_k1": lambda g, s, t: g.shuffled(_within(levels(g.adjacent(g.refs, both=True), s), 1), t),
-    "repograph_k2": lambda g, s, t: g.by_level({v: d for v, d in levels(g.adjacent(g.refs, both=True), s).items() if d <= 2}, s, t),
-    "locagent_bfs": Graph.typed_search,
-    "cosil_bfs": lambda g, s, t: g.by_level(levels(g.adjacent(g.calls, both=True), s), s, t),
 }
 
-def _hops(g: Graph, seed: int) -> np.ndarray:
-    """Hops from the seed; one more than there are nodes where there is no way."""
-    found = levels(g.und, seed)
-    return np.array([found.get(v, len(g.paths) + 1) for v in range(len(g.paths))], float)
-
-
 #: Scores of all nodes for one task by name: (graph, seed) -> values.
 SCORES: dict[str, Callable[[Graph, int], np.ndarray]] = {
-    "hops_und": _hops,
     "ppr_und": lambda g, s: g.walk(g.und, s),
     "ppr_out": lambda g, s: g.walk(g.out, s),
     "ppr_in": lambda g, s: g.walk(g.into, s),
     "pagerank": lambda g, s: g.pagerank,
     "hits_auth": lambda g, s: g.authority,
-    "betweenness": lambda g, s: g.betweenness,
-    "closeness": lambda g, s: g.closeness,
 }
 
 
-def _gathered(nodes: DataFrame, edges: DataFrame, tasks: DataFrame | None, refs: DataFrame | None, calls: DataFrame | None) -> DataFrame:
+def _gathered(nodes: DataFrame, edges: DataFrame, tasks: DataFrame | None, refs: DataFrame | None) -> DataFrame:
     """All rows of a repository side by side: (repo, kind, a, b, n, w)."""
     row = lambda df, kind, a, b=None, n=None, w=None: df.select("repo", F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"), (F.col(b) if b else F.lit(None)).cast("string").alias("b"), (F.col(n) if n else F.lit(1)).cast("double").alias("n"), (F.col(w) if w else F.lit(1)).cast("double").alias("w"))
     parts = [row(nodes, "node", "path"), row(edges, "edge", "src", "dst")]
@@ -400,22 +256,19 @@ def _gathered(nodes: DataFrame, edges: DataFrame, tasks: DataFrame | None, refs:
         parts.append(row(tasks, "task", "task", "seed"))
     if refs is not None:
         parts.append(row(refs, "ref", "src", "dst", "weight", "names"))
-    if calls is not None:
-        parts.append(row(calls, "call", "src", "dst"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _graph_of(pdf: pd.DataFrame) -> tuple[Graph, list[tuple[str, str]]]:
     of = lambda kind, *cols: list(pdf.loc[pdf.kind == kind, list(cols)].itertuples(index=False, name=None))
-    return Graph((a for (a,) in of("node", "a")), of("edge", "a", "b"), of("ref", "a", "b", "n", "w"), of("call", "a", "b")), of("task", "a", "b")
+    return Graph((a for (a,) in of("node", "a")), of("edge", "a", "b"), of("ref", "a", "b", "n", "w")), of("task", "a", "b")
 
 
-def orders(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFrame, refs: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def orders(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """(task, method, path, pos) of the named ORDERS, from 1, without the seed.
 
     nodes(repo, path), edges(repo, src, dst), tasks(task, repo, seed); refs(repo, src, dst,
-    weight, names) with the number of shared names and the sum of their weights; calls(repo,
-    src, dst). Tasks whose seed is no node have no rows; edges to unknown nodes and loops are ignored.
+    weight, names) with the number of shared names and the sum of their weights. Tasks whose seed is no node have no rows; edges to unknown nodes and loops are ignored.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -427,7 +280,7 @@ def orders(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFram
                     out += [(task, name, g.paths[v], i) for i, v in enumerate(ORDERS[name](g, g.at[seed], task), 1)]
         return pd.DataFrame(out, columns=["task", "method", "path", "pos"])
 
-    return _gathered(nodes, edges, tasks, refs, calls).groupBy("repo").applyInPandas(run, "task string, method string, path string, pos int")
+    return _gathered(nodes, edges, tasks, refs).groupBy("repo").applyInPandas(run, "task string, method string, path string, pos int")
 
 
 def scores(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -438,29 +291,4 @@ def scores(names: list[str], nodes: DataFrame, edges: DataFrame, tasks: DataFram
         parts = [pd.DataFrame({"task": task, "method": name, "path": g.paths, "score": SCORES[name](g, g.at[seed])}).drop(index=g.at[seed]) for task, seed in own if seed in g.at for name in names]
         return pd.concat(parts) if parts else pd.DataFrame({"task": [], "method": [], "path": [], "score": []})
 
-    return _gathered(nodes, edges, tasks, None, None).groupBy("repo").applyInPandas(run, "task string, method string, path string, score double")
-
-
-def hops(nodes: DataFrame, edges: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task, path, forward, reverse, undirected): hops from each task's seed; null without a way."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, own = _graph_of(pdf)
-        out = []
-        for task, seed in own:
-            if seed in g.at:
-                ways = [levels(a, g.at[seed]) for a in (g.out, g.into, g.und)]
-                out += [(task, p, *(w.get(v) for w in ways)) for v, p in enumerate(g.paths)]
-        return pd.DataFrame(out, columns=["task", "path", "forward", "reverse", "undirected"]).astype({c: "Int32" for c in ("forward", "reverse", "undirected")})
-
-    return _gathered(nodes, edges, tasks, None, None).groupBy("repo").applyInPandas(run, "task string, path string, forward int, reverse int, undirected int")
-
-
-def loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, path, clump, size): strongly connected components, numbered by their smallest members in each repository."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g, _ = _graph_of(pdf)
-        return pd.DataFrame([(key[0], g.paths[v], c, len(own)) for c, own in enumerate(components(g.out)) for v in own], columns=["repo", "path", "clump", "size"])
-
-    return _gathered(nodes, edges, None, None, None).groupBy("repo").applyInPandas(run, "repo string, path string, clump int, size int")
+    return _gathered(nodes, edges, tasks, None).groupBy("repo").applyInPandas(run, "task string, method string, path string, score double")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
@@ -100,7 +100,7 @@ def _curves(spark: SparkSession, d: str) -> DataFrame:
     def make() -> DataFrame:
         own = _split(scoring.coverage(_joined(spark, d)))
         g = _grid(spark, d).drop("key_size").crossJoin(scoring.budgets(spark))
-        return g.join(own, ["task", "source", "method", "budget"], "left").select("task", "source", "method", "budget", F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"))
+        return g.join(own, ["task", "source", "method", "budget"], "left").select("task", "source", "method", "budget", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
     return _made(spark, d, "curves", make)
 
@@ -134,7 +134,7 @@ UNION ALL SELECT key.task, key.source, 'oracle', key.path, row_number() OVER (PA
 _PARTS["run"] = ("SELECT *, sum(cost) OVER w AS cum, sum(in_key) OVER w AS hits FROM ord WINDOW w AS (PARTITION BY task, source, method ORDER BY pos ROWS UNBOUNDED PRECEDING)", ("ord",))
 _PARTS["grid"] = (f"SELECT task, source, key_size, unnest({[*SCORED, 'oracle']}) AS method FROM ks", ("ks",))
 _PARTS["curves"] = (
-    "SELECT g.task, g.source, g.method, g.budget, round(coalesce(sum(CASE WHEN cum <= budget THEN in_key ELSE 0 END) / any_value(g.key_size), 0), 6) AS coverage FROM (SELECT *, unnest([250,500,1000,2000,4000,8000,16000,32000]) AS budget FROM grid) g LEFT JOIN run r ON r.task = g.task AND r.source = g.source AND r.method = g.method GROUP BY ALL",
+    "SELECT g.task, g.source, g.method, g.budget, coalesce(sum(CASE WHEN cum <= budget THEN in_key ELSE 0 END) / any_value(g.key_size), 0) AS coverage FROM (SELECT *, unnest([250,500,1000,2000,4000,8000,16000,32000]) AS budget FROM grid) g LEFT JOIN run r ON r.task = g.task AND r.source = g.source AND r.method = g.method GROUP BY ALL",
     ("grid", "run"),
 )
 _PARTS["about"] = ("SELECT task, t.repo, t.repo || '#' || (length(split_part(task, '|', 2)) % 3) AS pr, s.n AS n_nodes FROM tasks t JOIN size s ON s.repo = t.repo", ("tasks", "size"))
@@ -156,14 +156,19 @@ _PARTS["strata"] = (
 )
 
 
-@query("SELECT s.task, s.pr, s.repo, s.source, s.method, round(s.auc, 6) AS auc, round(coalesce(auc_files, 0), 6) AS auc_files, CAST(lines_half AS DOUBLE) AS lines_half, CAST(lines_all AS DOUBLE) AS lines_all FROM scored s LEFT JOIN by_files f ON f.task = s.task AND f.source = s.source AND f.method = s.method LEFT JOIN reach r ON r.task = s.task AND r.source = s.source AND r.method = s.method", "scored", "by_files", "reach")
+def _six(mean) -> Column:
+    """Six digits of a mean. Means of shares often end in ...5 at the seventh, where the last bit of the sum would decide: a hair is added first."""
+    return F.round(mean + F.lit(1e-9), 6)
+
+
+@query("SELECT s.task, s.pr, s.repo, s.source, s.method, round(s.auc + 1e-9, 6) AS auc, round(coalesce(auc_files, 0) + 1e-9, 6) AS auc_files, CAST(lines_half AS DOUBLE) AS lines_half, CAST(lines_all AS DOUBLE) AS lines_all FROM scored s LEFT JOIN by_files f ON f.task = s.task AND f.source = s.source AND f.method = s.method LEFT JOIN reach r ON r.task = s.task AND r.source = s.source AND r.method = s.method", "scored", "by_files", "reach")
 def study_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rows(spark, d).select("task", "pr", "repo", "source", "method", F.round("auc", 6).alias("auc"), F.round("auc_files", 6).alias("auc_files"), F.col("lines_half").cast("double").alias("lines_half"), F.col("lines_all").cast("double").alias("lines_all"))
+    return rows(spark, d).select("task", "pr", "repo", "source", "method", _six(F.col("auc")).alias("auc"), _six(F.col("auc_files")).alias("auc_files"), F.col("lines_half").cast("double").alias("lines_half"), F.col("lines_all").cast("double").alias("lines_all"))
 
 
-@query("SELECT task, source, method, CAST(budget AS INT) AS budget, coverage FROM curves", "curves")
+@query("SELECT task, source, method, CAST(budget AS INT) AS budget, round(coverage, 6) AS coverage FROM curves", "curves")
 def study_curves(spark: SparkSession, d: str) -> DataFrame:
-    return _curves(spark, d).withColumn("budget", F.col("budget").cast("int"))
+    return _curves(spark, d).withColumn("budget", F.col("budget").cast("int")).withColumn("coverage", F.round("coverage", 6))
 
 
 def _pr_rows(r: DataFrame) -> DataFrame:
@@ -188,9 +193,9 @@ def _rank_sql(by: str, value: str, name: str) -> str:
     return f"CASE WHEN {_IS} THEN CAST(rank() OVER (PARTITION BY {by}, {_IS} ORDER BY {value} DESC) AS DOUBLE) END AS {name}"
 
 
-@query(f"SELECT *, {_rank_sql('source', 'auc', 'rank')} FROM (SELECT source, method, count(*) AS n_pr, round(avg(auc), 6) AS auc FROM pr_rows GROUP BY ALL)", "pr_rows")
+@query(f"SELECT *, {_rank_sql('source', 'auc', 'rank')} FROM (SELECT source, method, count(*) AS n_pr, round(avg(auc) + 1e-9, 6) AS auc FROM pr_rows GROUP BY ALL)", "pr_rows")
 def study_auc_table(spark: SparkSession, d: str) -> DataFrame:
-    t = _pr_rows(rows(spark, d)).groupBy("source", "method").agg(F.count("*").alias("n_pr"), F.round(F.avg("auc"), 6).alias("auc"))
+    t = _pr_rows(rows(spark, d)).groupBy("source", "method").agg(F.count("*").alias("n_pr"), _six(F.avg("auc")).alias("auc"))
     return _ranked(t, ["source"], "auc", "rank")
 
 
@@ -227,20 +232,20 @@ def study_strata(spark: SparkSession, d: str) -> DataFrame:
 _JOINT = "SELECT stratum, source, method, repo, pr, avg(auc) AS auc FROM scored JOIN strata USING (task) GROUP BY ALL"
 
 
-@query(f"SELECT *, {_rank_sql('stratum, source', 'auc', 'rank')} FROM (SELECT stratum, source, method, count(*) AS n_pr, round(avg(auc), 6) AS auc FROM ({_JOINT}) WHERE (stratum, pr) IN (SELECT (stratum, pr) FROM ({_JOINT}) GROUP BY stratum, pr HAVING count(DISTINCT source) = 2) GROUP BY ALL)", "scored", "strata")
+@query(f"SELECT *, {_rank_sql('stratum, source', 'auc', 'rank')} FROM (SELECT stratum, source, method, count(*) AS n_pr, round(avg(auc) + 1e-9, 6) AS auc FROM ({_JOINT}) WHERE (stratum, pr) IN (SELECT (stratum, pr) FROM ({_JOINT}) GROUP BY stratum, pr HAVING count(DISTINCT source) = 2) GROUP BY ALL)", "scored", "strata")
 def table_joint(spark: SparkSession, d: str) -> DataFrame:
     """Each stratum on its own matched population: pull requests with both keys inside it."""
     x = rows(spark, d).join(strata(spark, d), "task").groupBy("stratum", "source", "method", "repo", "pr").agg(F.avg("auc").alias("auc"))
     both = x.groupBy("stratum", "pr").agg(F.countDistinct("source").alias("n")).where("n = 2").select("stratum", "pr")
-    t = x.join(both, ["stratum", "pr"], "left_semi").groupBy("stratum", "source", "method").agg(F.count("*").alias("n_pr"), F.round(F.avg("auc"), 6).alias("auc"))
+    t = x.join(both, ["stratum", "pr"], "left_semi").groupBy("stratum", "source", "method").agg(F.count("*").alias("n_pr"), _six(F.avg("auc")).alias("auc"))
     return _ranked(t, ["stratum", "source"], "auc", "rank")
 
 
-@query(f"SELECT stratum, source, method, n_pr, auc_no_leak, CAST(rank() OVER (PARTITION BY stratum, source ORDER BY auc_no_leak DESC) AS INT) AS rank_no_leak FROM (SELECT stratum, source, method, count(*) AS n_pr, round(avg(auc), 6) AS auc_no_leak FROM ({_JOINT}) WHERE stratum NOT IN ('all', 'explicit') AND {_IS} GROUP BY ALL)", "scored", "strata")
+@query(f"SELECT stratum, source, method, n_pr, auc_no_leak, CAST(rank() OVER (PARTITION BY stratum, source ORDER BY auc_no_leak DESC) AS INT) AS rank_no_leak FROM (SELECT stratum, source, method, count(*) AS n_pr, round(avg(auc) + 1e-9, 6) AS auc_no_leak FROM ({_JOINT}) WHERE stratum NOT IN ('all', 'explicit') AND {_IS} GROUP BY ALL)", "scored", "strata")
 def leak_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """The ranked orderings on the tasks that survive each level of the leakage control."""
     x = rows(spark, d).where(F.col("method").isin(*RANKED)).join(strata(spark, d).where("stratum NOT IN ('all', 'explicit')"), "task")
-    t = x.groupBy("stratum", "source", "method", "repo", "pr").agg(F.avg("auc").alias("auc")).groupBy("stratum", "source", "method").agg(F.count("*").alias("n_pr"), F.round(F.avg("auc"), 6).alias("auc_no_leak"))
+    t = x.groupBy("stratum", "source", "method", "repo", "pr").agg(F.avg("auc").alias("auc")).groupBy("stratum", "source", "method").agg(F.count("*").alias("n_pr"), _six(F.avg("auc")).alias("auc_no_leak"))
     return t.withColumn("rank_no_leak", F.rank().over(Window.partitionBy("stratum", "source").orderBy(F.desc("auc_no_leak"))).cast("int"))
 
 
@@ -300,13 +305,13 @@ def overlap_top(spark: SparkSession, d: str) -> DataFrame:
 _QUART = "(SELECT quantile_cont(n_nodes, [0.25, 0.5, 0.75]) AS q FROM about)"
 
 
-@query(f"SELECT source, size_q, method, auc, CAST(rank() OVER (PARTITION BY source, size_q ORDER BY auc DESC) + (count(*) OVER (PARTITION BY source, size_q, auc) - 1) / 2.0 - 0.25 AS INT) AS rank FROM (SELECT source, CASE WHEN n_nodes <= q[1] THEN 'Q1' WHEN n_nodes <= q[2] THEN 'Q2' WHEN n_nodes <= q[3] THEN 'Q3' ELSE 'Q4' END AS size_q, method, round(avg(auc), 6) AS auc FROM scored, {_QUART} WHERE {_IS} OR method = 'oracle' GROUP BY ALL)", "scored", "about")
+@query(f"SELECT source, size_q, method, auc, CAST(rank() OVER (PARTITION BY source, size_q ORDER BY auc DESC) + (count(*) OVER (PARTITION BY source, size_q, auc) - 1) / 2.0 - 0.25 AS INT) AS rank FROM (SELECT source, CASE WHEN n_nodes <= q[1] THEN 'Q1' WHEN n_nodes <= q[2] THEN 'Q2' WHEN n_nodes <= q[3] THEN 'Q3' ELSE 'Q4' END AS size_q, method, round(avg(auc) + 1e-9, 6) AS auc FROM scored, {_QUART} WHERE {_IS} OR method = 'oracle' GROUP BY ALL)", "scored", "about")
 def by_size(spark: SparkSession, d: str) -> DataFrame:
     """Mean of tasks and truncated average rank in each quartile of repository size, by tasks."""
     q = F.broadcast(_about(spark, d).agg(F.percentile("n_nodes", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))
     n = F.col("n_nodes")
     bin_ = F.when(n <= F.col("q")[0], "Q1").when(n <= F.col("q")[1], "Q2").when(n <= F.col("q")[2], "Q3").otherwise("Q4")
-    x = rows(spark, d).where(F.col("method").isin(*RANKED, "oracle")).crossJoin(q).groupBy("source", bin_.alias("size_q"), "method").agg(F.round(F.avg("auc"), 6).alias("auc"))
+    x = rows(spark, d).where(F.col("method").isin(*RANKED, "oracle")).crossJoin(q).groupBy("source", bin_.alias("size_q"), "method").agg(_six(F.avg("auc")).alias("auc"))
     return stats.average_rank(x, ["source", "size_q"], "auc", "r", descending=True).select("source", "size_q", "method", "auc", F.floor("r").cast("int").alias("rank"))
 
 
@@ -317,22 +322,22 @@ def lines_table(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("source", "method").agg(F.median("lines_half").alias("lines_half_median"), F.median("lines_all").alias("lines_all_median"), F.count("*").alias("n_task"))
 
 
-@query(f"SELECT rule, source, method, round(avg(v), 6) AS auc FROM (SELECT rule, source, method, pr, avg(v) AS v FROM (SELECT 'stop' AS rule, s.source, s.method, s.pr, s.auc AS v FROM scored s WHERE s.{_IS} UNION ALL SELECT 'files', s.source, s.method, s.pr, coalesce(f.auc_files, 0) FROM scored s LEFT JOIN by_files f ON f.task = s.task AND f.source = s.source AND f.method = s.method WHERE s.{_IS}) GROUP BY ALL) GROUP BY ALL", "scored", "by_files")
+@query(f"SELECT rule, source, method, round(avg(v) + 1e-9, 6) AS auc FROM (SELECT rule, source, method, pr, avg(v) AS v FROM (SELECT 'stop' AS rule, s.source, s.method, s.pr, s.auc AS v FROM scored s WHERE s.{_IS} UNION ALL SELECT 'files', s.source, s.method, s.pr, coalesce(f.auc_files, 0) FROM scored s LEFT JOIN by_files f ON f.task = s.task AND f.source = s.source AND f.method = s.method WHERE s.{_IS}) GROUP BY ALL) GROUP BY ALL", "scored", "by_files")
 def metric_rules(spark: SparkSession, d: str) -> DataFrame:
     """The same orderings under the stopping rule and under budgets of files; the skipping rule is skip_curve's."""
     x = rows(spark, d).where(F.col("method").isin(*RANKED))
     long = x.select("source", "method", "pr", F.explode(F.array(F.struct(F.lit("stop").alias("rule"), F.col("auc").alias("v")), F.struct(F.lit("files").alias("rule"), F.col("auc_files").alias("v")))).alias("r")).select("source", "method", "pr", "r.*")
-    return long.groupBy("rule", "source", "method", "pr").agg(F.avg("v").alias("v")).groupBy("rule", "source", "method").agg(F.round(F.avg("v"), 6).alias("auc"))
+    return long.groupBy("rule", "source", "method", "pr").agg(F.avg("v").alias("v")).groupBy("rule", "source", "method").agg(_six(F.avg("v")).alias("auc"))
 
 
-@query("SELECT source, method, round(avg(auc), 6) AS auc_8000 FROM (SELECT source, method, pr, avg(auc) AS auc FROM (SELECT c.task, source, method, pr, avg(coverage) AS auc FROM curves c JOIN about a ON a.task = c.task WHERE budget <= 8000 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL", "curves", "about")
+@query("SELECT source, method, round(avg(auc) + 1e-9, 6) AS auc_8000 FROM (SELECT source, method, pr, avg(auc) AS auc FROM (SELECT c.task, source, method, pr, avg(coverage) AS auc FROM curves c JOIN about a ON a.task = c.task WHERE budget <= 8000 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL", "curves", "about")
 def capped_auc(spark: SparkSession, d: str) -> DataFrame:
     """AUC over the budgets up to 8,000 lines."""
     t = _curves(spark, d).where("budget <= 8000").groupBy("task", "source", "method").agg(F.avg("coverage").alias("auc")).join(_about(spark, d), "task")
-    return t.groupBy("source", "method", "pr").agg(F.avg("auc").alias("auc")).groupBy("source", "method").agg(F.round(F.avg("auc"), 6).alias("auc_8000"))
+    return t.groupBy("source", "method", "pr").agg(F.avg("auc").alias("auc")).groupBy("source", "method").agg(_six(F.avg("auc")).alias("auc_8000"))
 
 
-@query(f"SELECT count(DISTINCT task) AS n_tasks, count(DISTINCT pr) AS n_prs, count(DISTINCT repo) AS n_repos, (SELECT count(*) FROM tasks) AS corpus_tasks, (SELECT count(*) FROM shared) AS n_shared, (SELECT string_agg(source || ':' || method, ';' ORDER BY source, rank, method) FROM (SELECT *, {_rank_sql('source', 'auc', 'rank')} FROM (SELECT source, method, round(avg(auc), 6) AS auc FROM pr_rows GROUP BY ALL)) WHERE rank <= 5) AS top5 FROM scored", "scored", "tasks", "shared", "pr_rows")
+@query(f"SELECT count(DISTINCT task) AS n_tasks, count(DISTINCT pr) AS n_prs, count(DISTINCT repo) AS n_repos, (SELECT count(*) FROM tasks) AS corpus_tasks, (SELECT count(*) FROM shared) AS n_shared, (SELECT string_agg(source || ':' || method, ';' ORDER BY source, rank, method) FROM (SELECT *, {_rank_sql('source', 'auc', 'rank')} FROM (SELECT source, method, round(avg(auc) + 1e-9, 6) AS auc FROM pr_rows GROUP BY ALL)) WHERE rank <= 5) AS top5 FROM scored", "scored", "tasks", "shared", "pr_rows")
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the study and the five best orderings under each source."""
     r = rows(spark, d)
@@ -416,7 +421,7 @@ def minimum_detectable(n: int, m: int) -> float:
 
 
 @query(
-    f"""SELECT source, method, round(avg(acc), 6) AS acc_10, round(avg(share), 6) AS top_10, round(avg(rr), 6) AS mrr, round(avg(empty), 6) AS empty_rate, round((sum(acc) + 0.5) * (any_value(base_miss) + 0.5) / ((count(*) - sum(acc) + 0.5) * (any_value(base_hit) + 0.5)), 6) AS odds_ratio FROM (
+    f"""SELECT source, method, round(avg(acc) + 1e-9, 6) AS acc_10, round(avg(share) + 1e-9, 6) AS top_10, round(avg(rr) + 1e-9, 6) AS mrr, round(avg(empty) + 1e-9, 6) AS empty_rate, round((sum(acc) + 0.5) * (any_value(base_miss) + 0.5) / ((count(*) - sum(acc) + 0.5) * (any_value(base_hit) + 0.5)), 6) AS odds_ratio FROM (
   SELECT x.*, sum(CASE WHEN method = 'random' THEN acc ELSE 0 END) OVER (PARTITION BY source) AS base_hit, sum(CASE WHEN method = 'random' THEN 1 - acc ELSE 0 END) OVER (PARTITION BY source) AS base_miss FROM (
     SELECT g.task, g.source, g.method, coalesce(max(CASE WHEN in_key = 1 AND pos <= {TOP} THEN 1.0 END), 0) AS acc, coalesce(sum(CASE WHEN in_key = 1 AND pos <= {TOP} THEN 1.0 END), 0) / any_value(g.key_size) AS share, coalesce(1.0::DOUBLE / min(CASE WHEN in_key = 1 THEN pos END), 0) AS rr, CASE WHEN count(o.pos) = 0 THEN 1.0 ELSE 0.0 END AS empty
     FROM grid g LEFT JOIN ord o ON o.task = g.task AND o.source = g.source AND o.method = g.method GROUP BY g.task, g.source, g.method) x) GROUP BY source, method""",
@@ -431,7 +436,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     t = x.groupBy("source", "method").agg(F.count("*").alias("n"), F.sum("acc").alias("a"), F.avg("acc").alias("acc_10"), F.avg(F.col("hits") / F.col("key_size")).alias("top_10"), F.avg("rr").alias("mrr"), F.avg("empty").alias("empty_rate"))
     base = t.where("method = 'random'").select("source", F.col("a").alias("b"), (F.col("n") - F.col("a")).alias("c"))
     odds = (F.col("a") + 0.5) * (F.col("c") + 0.5) / ((F.col("n") - F.col("a") + 0.5) * (F.col("b") + 0.5))
-    return t.join(F.broadcast(base), "source").select("source", "method", *(F.round(c, 6).alias(c) for c in ("acc_10", "top_10", "mrr", "empty_rate")), F.round(odds, 6).alias("odds_ratio"))
+    return t.join(F.broadcast(base), "source").select("source", "method", *(_six(F.col(c)).alias(c) for c in ("acc_10", "top_10", "mrr", "empty_rate")), F.round(odds, 6).alias("odds_ratio"))
 
 
 @query("SELECT o.task, CAST(count(*) AS BIGINT) AS edges, CAST(sum(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) AS BIGINT) AS inversions, min(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN a.pos < b.pos THEN 1 ELSE 0 END) = 0 AS valid FROM tasks o JOIN edges e ON e.repo = o.repo JOIN o_hops_lines a ON a.task = o.task AND a.path = e.src JOIN o_hops_lines b ON b.task = o.task AND b.path = e.dst GROUP BY o.task", "tasks", "edges", "o_hops_lines")
@@ -467,9 +472,9 @@ def wrong_seeds(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("task", "kind").agg(F.min_by("path", T.tie_key(F.col("kind"), F.col("task"), F.col("path"))).alias("seed"))
 
 
-@query(f"SELECT g.source, g.method, CAST(budget AS INT) AS budget, round(avg(full_), 6) AS share FROM (SELECT c.source, c.method, c.budget, a.pr, avg(CASE WHEN c.coverage >= 0.999 THEN 1.0 ELSE 0 END) AS full_ FROM curves c JOIN about a ON a.task = c.task GROUP BY ALL) g WHERE {_IS} GROUP BY ALL", "curves", "about")
+@query(f"SELECT g.source, g.method, CAST(budget AS INT) AS budget, round(avg(full_) + 1e-9, 6) AS share FROM (SELECT c.source, c.method, c.budget, a.pr, avg(CASE WHEN c.coverage >= 0.999 THEN 1.0 ELSE 0 END) AS full_ FROM curves c JOIN about a ON a.task = c.task GROUP BY ALL) g WHERE {_IS} GROUP BY ALL", "curves", "about")
 def full_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of pull requests, as means of their tasks, whose key is read in full within each budget."""
     x = _curves(spark, d).where(F.col("method").isin(*RANKED)).join(_about(spark, d), "task")
     x = x.groupBy("source", "method", "budget", "pr").agg(F.avg((F.col("coverage") >= 0.999).cast("double")).alias("f"))
-    return x.groupBy("source", "method", F.col("budget").cast("int").alias("budget")).agg(F.round(F.avg("f"), 6).alias("share"))
+    return x.groupBy("source", "method", F.col("budget").cast("int").alias("budget")).agg(_six(F.avg("f")).alias("share"))

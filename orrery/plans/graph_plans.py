@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as T
 from orrery.operators import graph as G
+from orrery.operators import ranks as R
 from orrery.sources import tables as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 #: Levels that the SQL of searches goes at most, far more than there are; the queries go on until nothing new is reached.
-DEPTH = 64
+DEPTH = 16
 
 _EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst
-FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), rv AS (SELECT dst AS src, src AS dst FROM e),
+FROM lineitem) WHERE dst IS NOT NULL AND src <> dst), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), rv AS (SELECT dst AS src, src AS dst FROM e),
 seeds AS (SELECT p_brand AS task, min(p_partkey) AS node FROM part GROUP BY p_brand)"""
 
 
@@ -64,26 +65,32 @@ def indegree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rank_sql(edges: str, start: str) -> str:
-    """The iteration of G.pagerank with its stop: x holds all rounds."""
+    """The iteration of ranks.ranked with its stop for each task: x holds all rounds, last the end of each task."""
+    go = f"(i % {R.BLOCK} <> 0 OR err >= tol) AND i < {R.ROUNDS}"
     return f"""WITH RECURSIVE {_EDGES}, dg AS MATERIALIZED (SELECT src, count(*) AS deg FROM {edges} GROUP BY src), st AS MATERIALIZED ({start}), least AS (SELECT count(*) * 1e-6 AS tol FROM part),
-x AS (SELECT 0 AS i, task, node, p AS score, TRUE AS go FROM st UNION ALL
-SELECT i, task, node, score, i % {G.BLOCK} <> 0 OR max(CASE WHEN changed >= tol OR fresh > 0 THEN 1 ELSE 0 END) OVER () = 1 AS go FROM least, (
-  SELECT *, sum(abs(score - coalesce(old, 0))) OVER (PARTITION BY task) AS changed, sum(CASE WHEN old IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY task) AS fresh FROM (
-    SELECT max(i) AS i, task, node, sum(score) AS score, sum(old) AS old FROM (
-      SELECT x.i + 1 AS i, x.task, dst AS node, 0.85::DOUBLE * score / deg AS score, NULL::DOUBLE AS old FROM x JOIN {edges} ON {edges}.src = x.node JOIN dg ON dg.src = x.node WHERE go
-      UNION ALL SELECT l.i + 1, st.task, st.node, p * (0.15::DOUBLE + 0.85::DOUBLE * lost), NULL FROM st JOIN (SELECT i, task, sum(CASE WHEN dg.src IS NULL THEN score ELSE 0 END) AS lost FROM x LEFT JOIN dg ON dg.src = x.node WHERE go GROUP BY i, task) l ON l.task = st.task
-      UNION ALL SELECT i + 1, task, node, 0.0, score FROM x WHERE go) GROUP BY task, node))),
-last AS (SELECT task, node, score FROM x WHERE i = (SELECT max(i) FROM x))"""
+x AS (SELECT 0 AS i, task, p_partkey AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY task) AS score, 1e9::DOUBLE AS err, 1.0::DOUBLE AS tol FROM part, (SELECT DISTINCT task FROM st) UNION ALL
+SELECT i, y.task, node, score, sum(abs(score - was)) OVER (PARTITION BY y.task) AS err, least.tol FROM least, (
+  SELECT max(i) AS i, task, node, sum(score) AS score, sum(was) AS was FROM (
+    SELECT x.i + 1 AS i, x.task, dst AS node, 0.85::DOUBLE * score / deg AS score, 0.0::DOUBLE AS was FROM x JOIN {edges} ON {edges}.src = x.node JOIN dg ON dg.src = x.node WHERE {go}
+    UNION ALL SELECT l.i + 1, st.task, st.node, p * (0.15::DOUBLE + 0.85::DOUBLE * lost), 0.0 FROM st JOIN (SELECT i, task, sum(CASE WHEN dg.src IS NULL THEN score ELSE 0 END) AS lost FROM x LEFT JOIN dg ON dg.src = x.node WHERE {go} GROUP BY i, task) l ON l.task = st.task
+    UNION ALL SELECT i + 1, task, node, 0.0, score FROM x WHERE {go}) GROUP BY task, node) y),
+last AS (SELECT task, node, arg_max(score, i) AS score FROM x GROUP BY task, node)"""
 
 
 _SEED = "SELECT task, node, 1.0::DOUBLE AS p FROM seeds"
 _ALL = "SELECT 'all' AS task, p_partkey AS node, 1.0::DOUBLE / count(*) OVER () AS p FROM part"
 
 
+def _ranked(spark: SparkSession, d: str, edges: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task, node, score) of tasks(task, node) on the one large graph."""
+    whole = F.lit("all").alias("repo")
+    r = R.ranked(S.graph_nodes(spark, d).select(whole, "node"), edges.select(whole, "src", "dst", F.lit(1.0).alias("weight")), tasks.select(whole, "task", F.col("node").alias("seed")))
+    return r.select("task", "node", F.round("score", 9).alias("score"))
+
+
 def _ppr(edges):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        start = S.seeds(spark, d).withColumn("p", F.lit(1.0))
-        return G.pagerank(S.graph_nodes(spark, d), edges(S.graph_edges(spark, d)), start).withColumn("score", F.round("score", 9))
+        return _ranked(spark, d, edges(S.graph_edges(spark, d)), S.seeds(spark, d))
 
     return run
 
@@ -101,9 +108,8 @@ def ppr_und_pl(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_rank_sql('e', _ALL)} SELECT node, round(score, 9) AS score FROM last")
 def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
-    n = S.graph_nodes(spark, d)
-    start = n.select(F.lit("all").alias("task"), "node", (1.0 / F.lit(max(1, n.count()))).alias("p"))
-    return G.pagerank(n, S.graph_edges(spark, d), start).select("node", F.round("score", 9).alias("score"))
+    task = spark.createDataFrame([("all", None)], f"task string, node {S.graph_nodes(spark, d).schema['node'].dataType.simpleString()}")
+    return _ranked(spark, d, S.graph_edges(spark, d), task).select("node", "score")
 
 
 def _hits_sql() -> str:

@@ -8,6 +8,8 @@ reports from which names could be deleted, so the redaction arms drop terms by r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,20 +109,20 @@ _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "hops": ("SELECT o.task, o.path, o.cost, CAST(coalesce(min(l.dist), any_value(n) + 1) AS INT) AS dist FROM others o JOIN size USING (repo) LEFT JOIN lv l ON l.task = o.task AND l.path = o.path GROUP BY ALL", ("others", "lv", "size")),
     "vecs": ("SELECT repo, path, embedding::DOUBLE[] AS v FROM nodes JOIN embeddings ON vec_id = k % (SELECT count(*) FROM embeddings) WHERE k % 4 <> 0", ("nodes",)),
     "asked": ("SELECT task, arm, embedding::DOUBLE[] AS q FROM (SELECT task, unnest(['none', 'names', 'paths', 'symbols']) AS arm, unnest([hi, lo, hi, hi + 1]) AS k FROM tasks) JOIN embeddings ON vec_id = k % (SELECT count(*) FROM embeddings) WHERE k % 5 <> 0", ("tasks",)),
-    "refs": ("SELECT x.repo, x.path AS src, y.path AS dst, count(*) AS weight FROM (SELECT *, unnest(string_split(p_name, ' ')) AS word FROM nodes) x JOIN (SELECT *, unnest(string_split(p_name, ' ')) AS word FROM nodes) y ON x.repo = y.repo AND x.word = y.word WHERE x.path <> y.path AND (x.k + y.k) % 7 = 0 GROUP BY ALL", ("nodes",)),
+    "refs": ("SELECT x.repo, x.path AS src, y.path AS dst, count(*) AS weight, sum(CASE WHEN length(x.word) >= 8 AND (contains(x.word, '_') OR regexp_matches(x.word, '^.+[A-Z]')) THEN 10.0::DOUBLE ELSE 1 END * CASE WHEN starts_with(x.word, '_') THEN 0.1::DOUBLE ELSE 1 END) AS e_names FROM (SELECT *, unnest(string_split(p_name, ' ')) AS word FROM nodes) x JOIN (SELECT *, unnest(string_split(p_name, ' ')) AS word FROM nodes) y ON x.repo = y.repo AND x.word = y.word WHERE x.path <> y.path AND (x.k + y.k) % 7 = 0 GROUP BY ALL", ("nodes",)),
     "keys": ("SELECT DISTINCT task, 'symbol' AS source, path FROM tasks t JOIN nodes n ON n.repo = t.repo AND t.task = n.repo || '|' || n.p_type WHERE path <> seed AND k % 3 = 0 UNION SELECT task, 'co_edited', dst FROM tasks t JOIN und u ON u.repo = t.repo AND u.src = t.seed", ("tasks", "und")),
 }
 
 
-def _rank_part(name: str, edges: str, seed: bool) -> None:
+def _rank_part(name: str, edges: str, seed: bool, weight: str = "1") -> None:
     """A rank iteration with the stop of walks.rank: begins evenly, each task ends by itself."""
     restart = "CASE WHEN c.path = c.seed THEN 1.0 ELSE 0.0 END" if seed else "1.0::DOUBLE / n"
     _PARTS[f"{name}_all"] = ("SELECT task, t.repo, seed, path, n FROM tasks t JOIN nodes x ON x.repo = t.repo JOIN size s ON s.repo = t.repo", ("tasks", "size"))
-    _PARTS[f"{name}_deg"] = (f"SELECT repo, src, count(*) AS deg FROM {edges} GROUP BY ALL", (edges,))
+    _PARTS[f"{name}_deg"] = (f"SELECT repo, src, sum({weight}) AS deg FROM {edges} GROUP BY ALL", (edges,))
     step = f"""SELECT 0 AS i, task, path, 1.0::DOUBLE / n AS score, 1e9::DOUBLE AS err FROM {name}_all
 UNION ALL SELECT i, task, path, score, sum(abs(score - was)) OVER (PARTITION BY task) AS err FROM (
   SELECT x.i + 1 AS i, x.task, c.path, any_value(x.score) AS was,
-    0.85::DOUBLE * (coalesce(sum(y.score / g.deg), 0) + any_value(x.lost) * ({restart.replace('c.path', 'any_value(c.path)').replace('c.seed', 'any_value(c.seed)').replace('/ n', '/ any_value(c.n)')})) + 0.15::DOUBLE * ({restart.replace('c.path', 'any_value(c.path)').replace('c.seed', 'any_value(c.seed)').replace('/ n', '/ any_value(c.n)')}) AS score
+    0.85::DOUBLE * (coalesce(sum(y.score * {weight} / g.deg), 0) + any_value(x.lost) * ({restart.replace('c.path', 'any_value(c.path)').replace('c.seed', 'any_value(c.seed)').replace('/ n', '/ any_value(c.n)')})) + 0.15::DOUBLE * ({restart.replace('c.path', 'any_value(c.path)').replace('c.seed', 'any_value(c.seed)').replace('/ n', '/ any_value(c.n)')}) AS score
   FROM (SELECT z.*, coalesce(sum(CASE WHEN h.deg IS NULL THEN z.score ELSE 0 END) OVER (PARTITION BY z.task), 0) AS lost FROM {name}_x z JOIN {name}_all a ON a.task = z.task AND a.path = z.path LEFT JOIN {name}_deg h ON h.repo = a.repo AND h.src = z.path) x
   JOIN {name}_all c ON c.task = x.task AND c.path = x.path
   LEFT JOIN {edges} e ON e.repo = c.repo AND e.dst = c.path
@@ -130,11 +132,12 @@ UNION ALL SELECT i, task, path, score, sum(abs(score - was)) OVER (PARTITION BY
   GROUP BY x.i, x.task, c.path)"""
     _PARTS[f"{name}_x"] = (step, (f"{name}_all", f"{name}_deg", edges))
     none = "0.0::DOUBLE" if seed else "1.0::DOUBLE"
-    _PARTS[f"s_{name}"] = (f"SELECT o.task, o.path, o.cost, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.repo = o.repo) THEN arg_max(x.score, x.i) ELSE {none} END AS score FROM others o JOIN {name}_x x ON x.task = o.task AND x.path = o.path GROUP BY o.task, o.path, o.cost, o.repo", ("others", "edges", f"{name}_x"))
+    _PARTS[f"s_{name}"] = (f"SELECT o.task, o.path, o.cost, CASE WHEN EXISTS (SELECT 1 FROM {edges} e WHERE e.repo = o.repo) THEN arg_max(x.score, x.i) ELSE {none} END AS score FROM others o JOIN {name}_x x ON x.task = o.task AND x.path = o.path GROUP BY o.task, o.path, o.cost, o.repo", ("others", edges, f"{name}_x"))
 
 
 for _n, _e, _s in (("ppr_und", "und", True), ("ppr_out", "edges", True), ("ppr_in", "rev", True), ("pagerank", "edges", False)):
     _rank_part(_n, _e, _s)
+_rank_part("aider", "refs", True, "e_names * sqrt(weight) / weight")
 
 _POS = "CAST(row_number() OVER (PARTITION BY task ORDER BY round(score, 9) DESC, sha256(task || '|' || path)) AS INT) AS pos"
 
@@ -239,7 +242,7 @@ for _name in O.ORDERINGS:
         ORACLE_SQL[f"order_{_name}"] = with_parts(f"SELECT task, path, pos FROM o_{_name}", f"o_{_name}")
 
 
-# Orders of walks.ORDERS that SQL can express: levels by recursion, then hashes.
+# Orders of BY_JOINS in SQL: levels by recursion, then hashes.
 _PARTS["calls"] = ("SELECT repo, src, dst FROM refs WHERE weight > 1", ("refs",))
 for _n in ("refs", "calls"):
     _PARTS[f"{_n}_und"] = (f"SELECT repo, src, dst FROM {_n} UNION SELECT repo, dst, src FROM {_n}", (_n,))
@@ -276,30 +279,38 @@ _WALK_SQL = {
     "repograph_k1": _walk_sql(f"SELECT * FROM {_REF} WHERE dist = 1", "", _REF),
     "repograph_k2": _walk_sql(f"SELECT * FROM {_REF} WHERE dist <= 2", "dist, ", _REF),
     "cosil_bfs": _walk_sql(f"SELECT * FROM {_CALL}", "dist, ", _CALL),
+    "aider_repomap": _walk_sql("SELECT * FROM s_aider WHERE score > 0", "round(score, 9) DESC, ", "s_aider"),
 }
+ORACLE_SQL["order_sys_aider_repomap"] = _walk_sql("SELECT o.task, o.path, a.score FROM others o LEFT JOIN (SELECT * FROM s_aider WHERE score > 0) a ON a.task = o.task AND a.path = o.path", "round(score, 9) DESC NULLS LAST, ", "others", "s_aider")
 _PARTS["pairs_x"] = ("SELECT repo, path AS seed, path, 0 AS dist FROM nodes UNION SELECT x.repo, x.seed, u.dst, x.dist + 1 FROM pairs_x x JOIN und u ON u.repo = x.repo AND u.src = x.path WHERE x.dist < 64", ("nodes", "und"))
 _PARTS["close"] = ("SELECT n.repo, n.path, coalesce((count(d) - 1) * (count(d) - 1) / nullif(sum(d), 0) / (any_value(s.n) - 1), 0) AS score FROM nodes n JOIN size s ON s.repo = n.repo JOIN (SELECT repo, seed, path, min(dist) AS d FROM pairs_x GROUP BY ALL) x ON x.repo = n.repo AND x.seed = n.path GROUP BY n.repo, n.path", ("nodes", "size", "pairs_x"))
 _WALK_SQL["closeness"] = _walk_sql("SELECT o.task, o.path, c.score FROM others o JOIN close c ON c.repo = o.repo AND c.path = o.path", "round(score, 9) DESC, ", "others", "close")
 _PARTS["typed"] = (f"SELECT m.task, m.path, m.dist, min(CASE WHEN u.src IS NULL THEN 1 ELSE 0 END) AS kind FROM {_MIX} m LEFT JOIN (SELECT u.repo, u.src, u.dst, b.task, b.dist FROM und u JOIN (SELECT task, repo, path, dist FROM {_MIX} UNION ALL SELECT task, repo, seed, 0 FROM tasks) b ON b.repo = u.repo AND b.path = u.src) u ON u.task = m.task AND u.dst = m.path AND u.dist = m.dist - 1 GROUP BY ALL", (_MIX, "und", "tasks"))
 _WALK_SQL["locagent_bfs"] = _walk_sql("SELECT * FROM typed", "dist, kind, ", "typed")
+# Components by mutual reach, then the longest way down among them, by recursion from every component.
+_PARTS["fwd_x"] = ("SELECT repo, path AS seed, path, 0 AS dist FROM nodes UNION SELECT x.repo, x.seed, e.dst, x.dist + 1 FROM fwd_x x JOIN edges e ON e.repo = x.repo AND e.src = x.path WHERE x.dist < 64", ("nodes", "edges"))
+_PARTS["root"] = ("SELECT n.repo, n.path, min(coalesce(b.path, n.path)) AS root FROM nodes n LEFT JOIN (SELECT DISTINCT x.repo, x.seed, x.path FROM fwd_x x JOIN fwd_x y ON y.repo = x.repo AND y.seed = x.path AND y.path = x.seed) b ON b.repo = n.repo AND b.seed = n.path GROUP BY ALL", ("nodes", "fwd_x"))
+_PARTS["below"] = ("SELECT DISTINCT e.repo, a.root AS a, b.root AS b FROM edges e JOIN root a ON a.repo = e.repo AND a.path = e.src JOIN root b ON b.repo = e.repo AND b.path = e.dst WHERE a.root <> b.root", ("edges", "root"))
+_PARTS["height_x"] = ("SELECT DISTINCT repo, root, 0 AS h FROM root UNION SELECT b.repo, b.a, x.h + 1 FROM height_x x JOIN below b ON b.repo = x.repo AND b.b = x.root", ("root", "below"))
+_WALK_SQL["topo_fwd"] = with_parts(f"SELECT n.task, n.path, CAST(row_number() OVER (PARTITION BY n.task ORDER BY h, sha256(n.task || '|' || r.root), r.root, sha256(n.task || '|' || n.path)) AS INT) AS pos FROM {_OUT} n JOIN root r ON r.repo = n.repo AND r.path = n.path JOIN (SELECT repo, root, max(h) AS h FROM height_x GROUP BY ALL) x ON x.repo = r.repo AND x.root = r.root", _OUT, "root", "height_x")
 for _n, _rows, _by, _need in (("repograph_k2", f"SELECT o.task, o.path, r.dist FROM others o LEFT JOIN {_REF} r ON r.task = o.task AND r.path = o.path AND r.dist <= 2", "dist NULLS LAST, ", _REF), ("locagent_bfs", "SELECT o.task, o.path, r.dist, r.kind FROM others o LEFT JOIN typed r ON r.task = o.task AND r.path = o.path", "dist NULLS LAST, kind, ", "typed")):
     ORACLE_SQL[f"order_sys_{_n}"] = _walk_sql(_rows, _by, "others", _need)
 
 
 def _walk(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _walked(spark, d).where(F.col("method") == name).select("task", "path", "pos")
+        c = corpus(spark, d)
+        return c.search(name) if name in O.BY_JOINS else _walked(c).where(F.col("method") == name).select("task", "path", "pos")
 
     return run
 
 
-def _walked(spark: SparkSession, d: str) -> DataFrame:
+def _walked(c: O.Corpus) -> DataFrame:
     """All orders of walks.ORDERS, made in one go over repositories."""
-    c = corpus(spark, d)
-    return c.made("all walks", lambda: walks.orders(list(walks.ORDERS), c.nodes, c.edges, c.tasks, c.refs, c.calls))
+    return c.made("all walks", lambda: walks.orders(list(walks.ORDERS), c.nodes, c.edges, c.tasks, c.refs))
 
 
-for _name in walks.ORDERS:
+for _name in (*walks.ORDERS, *O.BY_JOINS):
     QUERIES[f"walk_{_name}"] = _walk(_name)
     if _name in _WALK_SQL:
         ORACLE_SQL[f"walk_{_name}"] = _WALK_SQL[_name]
@@ -307,17 +318,20 @@ for _name in walks.ORDERS:
 
 @query()
 def graph_orders(spark: SparkSession, d: str) -> DataFrame:
-    return _walked(spark, d)
+    """(task, method, path, pos) of all of them."""
+    c = corpus(spark, d)
+    return reduce(DataFrame.unionByName, [c.search(n).select("task", F.lit(n).alias("method"), "path", "pos") for n in O.BY_JOINS], _walked(c))
 
 
-_PARTS["fwd_x"] = ("SELECT repo, path AS seed, path, 0 AS dist FROM nodes UNION SELECT x.repo, x.seed, e.dst, x.dist + 1 FROM fwd_x x JOIN edges e ON e.repo = x.repo AND e.src = x.path WHERE x.dist < 64", ("nodes", "edges"))
 
 
 @query(with_parts("SELECT repo, path, CAST(dense_rank() OVER (PARTITION BY repo ORDER BY least_) - 1 AS INT) AS clump, CAST(count(*) OVER (PARTITION BY repo, least_) AS INT) AS size FROM (SELECT n.repo, n.path, min(coalesce(b.path, n.path)) AS least_ FROM nodes n LEFT JOIN (SELECT DISTINCT x.repo, x.seed, x.path FROM fwd_x x JOIN fwd_x y ON y.repo = x.repo AND y.seed = x.path AND y.path = x.seed) b ON b.repo = n.repo AND b.seed = n.path GROUP BY ALL)", "nodes", "fwd_x"))
 def import_loops(spark: SparkSession, d: str) -> DataFrame:
     """Strongly connected components of each repository's imports, numbered by their smallest members."""
-    c = corpus(spark, d)
-    return walks.loops(c.nodes, c.edges)
+    own = corpus(spark, d).components()
+    roots = own.groupBy("repo", "root").agg(F.count("*").cast("int").alias("size"))
+    clump = (F.row_number().over(Window.partitionBy("repo").orderBy("root")) - 1).alias("clump")
+    return own.join(roots.select("repo", "root", clump, "size"), ["repo", "root"]).select("repo", F.col("node").alias("path"), "clump", "size")
 
 
 @query(with_parts("SELECT task, path, CAST(row_number() OVER (PARTITION BY task ORDER BY path) AS INT) AS pos FROM others", "others"))
@@ -336,6 +350,7 @@ def oracle_of_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(with_parts("SELECT k.task, k.source, k.path, CAST(min(a.dist) AS DOUBLE) AS forward, CAST(min(b.dist) AS DOUBLE) AS reverse, CAST(min(c.dist) AS DOUBLE) AS undirected FROM keys k LEFT JOIN near_edges a ON a.task = k.task AND a.path = k.path LEFT JOIN near_rev b ON b.task = k.task AND b.path = k.path LEFT JOIN near_und c ON c.task = k.task AND c.path = k.path GROUP BY ALL", "keys", "near_edges", "near_rev", "near_und"))
 def key_distances(spark: SparkSession, d: str) -> DataFrame:
     """Hops from the seed to each key file along imports, against them and either way; null without a way."""
-    c = corpus(spark, d)
-    hops = c.made("three ways", lambda: walks.hops(c.nodes, c.edges, c.tasks))
-    return keys(spark, d).join(hops, ["task", "path"], "left").select("task", "source", "path", *(F.col(n).cast("double").alias(n) for n in ("forward", "reverse", "undirected")))
+    c, out = corpus(spark, d), keys(spark, d)
+    for name, ways in (("forward", "out"), ("reverse", "in"), ("undirected", "und")):
+        out = out.join(c.reached(ways).select("task", "path", F.col("dist").cast("double").alias(name)), ["task", "path"], "left")
+    return out.select("task", "source", "path", "forward", "reverse", "undirected")

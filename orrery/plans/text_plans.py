@@ -206,17 +206,17 @@ ks AS (SELECT task, count(*) AS key_size FROM key GROUP BY ALL), po AS (SELECT t
 ord AS (SELECT po.task, po.doc, pos, cost, CASE WHEN key.doc IS NULL THEN 0 ELSE 1 END AS in_key, key_size
   FROM po JOIN files ON files.doc = po.doc JOIN ks ON ks.task = po.task LEFT JOIN key ON key.task = po.task AND key.doc = po.doc),
 run AS (SELECT *, sum(cost) OVER w AS cum, sum(in_key) OVER w AS hits FROM ord WINDOW w AS (PARTITION BY task ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
-_CURVE = f"WITH {_ORDER}, cu AS (SELECT task, 'bm25_issue' AS method, budget, round(sum(CASE WHEN cum <= budget THEN in_key ELSE 0 END) / max(key_size), 6) AS coverage FROM run, (SELECT unnest([250,500,1000,2000,4000,8000,16000,32000]) AS budget) GROUP BY ALL)"
+_CURVE = f"WITH {_ORDER}, cu AS (SELECT task, 'bm25_issue' AS method, budget, sum(CASE WHEN cum <= budget THEN in_key ELSE 0 END) / max(key_size) AS coverage FROM run, (SELECT unnest([250,500,1000,2000,4000,8000,16000,32000]) AS budget) GROUP BY ALL)"
 
 
-@query(f"{_CURVE} SELECT task, method, CAST(budget AS INT) AS budget, coverage FROM cu")
+@query(f"{_CURVE} SELECT task, method, CAST(budget AS INT) AS budget, round(coverage, 6) AS coverage FROM cu")
 def coverage_curve(spark: SparkSession, d: str) -> DataFrame:
     return scoring.coverage(_order(spark, d)).withColumn("coverage", F.round("coverage", 6))
 
 
-@query(f"{_CURVE} SELECT task, method, round(avg(coverage), 6) AS auc FROM cu GROUP BY ALL")
+@query(f"{_CURVE} SELECT task, method, round(avg(coverage) + 1e-9, 6) AS auc FROM cu GROUP BY ALL")
 def auc(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.auc(scoring.coverage(_order(spark, d)).withColumn("coverage", F.round("coverage", 6))).withColumn("auc", F.round("auc", 6))
+    return scoring.auc(scoring.coverage(_order(spark, d))).withColumn("auc", F.round(F.col("auc") + 1e-9, 6))
 
 
 @query(f"WITH {_ORDER} SELECT task, 'bm25_issue' AS method, CAST(budget AS INT) AS budget, round(sum(CASE WHEN pos <= budget THEN in_key ELSE 0 END) / max(key_size), 6) AS coverage FROM run, (SELECT unnest([1,2,4,8,16,32,64,128]) AS budget) GROUP BY ALL")

@@ -52,8 +52,8 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of returned lines that follow each other in an order: (src, dst), no loops, each once."""
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """Parts that follow each other in an order: (src, dst), no loops, each once."""
+    line = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return e.where("dst IS NOT NULL AND src <> dst").distinct()

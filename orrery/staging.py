@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Shuffle files are dropped as soon as the write that made them has ended, not when the driver's memory is next cleaned.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -31,3 +31,9 @@ def stage(df: DataFrame, name: str = "table", compression: str = "snappy") -> Da
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_if(df: DataFrame, name: str = "table", of: Column | None = None) -> tuple[DataFrame, bool]:
+    """stage(df), and whether it has a row, or one for which `of` holds."""
+    made = stage(df, name)
+    return made, not (made if of is None else made.where(of)).isEmpty()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import orderings as O
-from orrery.operators import walks
+from orrery.operators import ranks, walks
 
 NODES = [f"{d}m{i}.py" for i, d in enumerate(["", "lib/", "lib/", "lib/io/", "app/", "app/", "app/ui/", "x/", ""])]
 
@@ -17,7 +17,7 @@ NODES = [f"{d}m{i}.py" for i, d in enumerate(["", "lib/", "lib/", "lib/io/", "ap
 def random_graph(seed):
     r = random.Random(seed)
     pairs = list(itertools.permutations(NODES[:-1], 2))
-    return walks.Graph(NODES, r.sample(pairs, 13), [(*p, float(r.randint(1, 3)), r.random() * 5) for p in r.sample(pairs, 10)], r.sample(pairs, 6))
+    return walks.Graph(NODES, r.sample(pairs, 13))
 
 
 def hops(adjacent, s):
@@ -31,56 +31,18 @@ def hops(adjacent, s):
     return d
 
 
-def shortest_paths(g, a, b):
-    """All shortest directed paths, by trying every way of the right length."""
-    d = hops(g.out, a)
-    if b not in d:
-        return []
-    ways = [[a]]
-    for _ in range(d[b]):
-        ways = [w + [x] for w in ways for x in g.out[w[-1]]]
-    return [w for w in ways if w[-1] == b]
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_against_plain_versions(seed):
     g = random_graph(seed)
     n, task = len(NODES), f"t{seed}"
-    reach = [hops(g.out, v) for v in range(n)]
-    loops = {frozenset(w for w in reach[v] if v in reach[w]) for v in range(n)}
-    assert {frozenset(c) for c in walks.components(g.out)} == loops
-    between = np.zeros(n)
-    for a, b in itertools.permutations(range(n), 2):
-        ways = shortest_paths(g, a, b)
-        for v in set(range(n)) - {a, b}:
-            between[v] += sum(v in w for w in ways) / len(ways) if ways else 0
-    assert g.betweenness == pytest.approx(between / ((n - 1) * (n - 2)))
-    m = np.zeros((n, n))
-    for v, row in enumerate(g.out):
-        m[row, v] = 1 / len(row) if row else 0
-    for s in (None, 0, 3):
-        p = np.full(n, 1 / n) if s is None else np.eye(n)[s]
-        full = m.copy()
-        full[:, [not r for r in g.out]] = p[:, None]
-        assert g.walk(g.out, s) == pytest.approx(np.linalg.solve(np.eye(n) - 0.85 * full, 0.15 * p), abs=n * 1e-5)
-    for v in range(n):
-        d = hops(g.und, v)
-        assert g.closeness[v] == pytest.approx((len(d) - 1) ** 2 / sum(d.values()) / (n - 1) if len(d) > 1 else 0)
     for s in range(n):
         orders = {k: f(g, s, task) for k, f in walks.ORDERS.items()}
         for k, o in orders.items():
             assert s not in o and len(set(o)) == len(o) and o == walks.ORDERS[k](random_graph(seed), s, task), k
         und = hops(g.und, s)
-        assert set(orders["bfs_und"]) == set(orders["dfs_und"]) == set(orders["robillard"]) == und.keys() - {s}
+        assert set(orders["dfs_und"]) == set(orders["robillard"]) == und.keys() - {s}
         # A node met at the limit on a longer way is not expanded there, so deepening can miss some.
         assert set(g.und[s]) <= set(orders["ids_und"]) <= und.keys()
-        assert [und[v] for v in orders["bfs_und"]] == sorted(und[v] for v in orders["bfs_und"])
-        assert set(orders["closure_comb"]) == set(orders["closure_fwd"]) | set(orders["closure_rev"]) == {v for v in range(n) if v != s and (v in reach[s] or s in reach[v])}
-        assert set(orders["khop2_und"]) == {v for v, d in und.items() if 0 < d <= 2}
-        # Each file comes after all that it depends on, but for files of one loop.
-        place = {v: i for i, v in enumerate(orders["topo_fwd"])}
-        assert place.keys() == reach[s].keys() - {s}
-        assert all(place[w] < place[v] for v in place for w in g.out[v] if w in place and v not in reach[w])
         # A first visit is next to something visited before it.
         for k in ("dfs_und", "robillard"):
             assert all(set(g.und[v]) & {s, *orders[k][:i]} for i, v in enumerate(orders[k]))
@@ -94,15 +56,75 @@ def test_communities_of_two_cliques():
         assert {g.paths[v] for v in walks.ORDERS[name](g, g.at[a[1]], "t")} == set(a) - {a[1]}
 
 
-def test_typed_search_prefers_imports():
-    g = walks.Graph("sabcd", [("s", "d"), ("d", "b")], [("s", "a", 1.0, 1.0), ("a", "c", 1.0, 1.0)])
-    assert [g.paths[v] for v in walks.ORDERS["locagent_bfs"](g, g.at["s"], "t")] == ["d", "a", "b", "c"]
-    assert [g.paths[v] for v in walks.ORDERS["aider_repomap"](g, g.at["s"], "t")] == ["a", "c"]
-
-
 def test_graph_without_edges():
     g = walks.Graph("ab", [])
-    assert g.walk(g.und, 0).tolist() == [0, 0] and g.pagerank.tolist() == [1, 1] and g.authority.tolist() == [0, 0] and all(len(f(g, 0, "t")) <= 1 for f in walks.ORDERS.values())
+    assert g.authority.tolist() == [0, 0] and all(len(f(g, 0, "t")) <= 1 for f in walks.ORDERS.values())
+
+
+def test_orders_by_joins(spark):
+    r = random.Random(8)
+    pairs = list(itertools.permutations(NODES[:-1], 2))
+    edges, refs, calls = r.sample(pairs, 12), [(*p, r.randint(1, 3), r.random() * 5) for p in r.sample(pairs, 9)], r.sample(pairs, 5)
+    df = spark.createDataFrame
+    at = lambda rows: [("r", *x) for x in rows]
+    junk = [("r", NODES[0], NODES[0]), ("r", NODES[0], "gone.py")]
+    c = O.Corpus(df([("r", p, 1) for p in NODES], "repo string, path string, cost long"), df(at(edges) + junk, "repo string, src string, dst string"), df([("t1", "r", NODES[0]), ("t2", "r", NODES[4]), ("t3", "r", "missing.py"), ("t4", "r", NODES[-1])], "task string, repo string, seed string"), None, None, None, refs=df(at(refs), "repo string, src string, dst string, weight long, names double"), calls=df(at(calls), "repo string, src string, dst string"))
+
+    def adjacent(rows, both=False):
+        out = {p: set() for p in NODES}
+        for a, b, *_ in rows:
+            out[a].add(b)
+            if both:
+                out[b].add(a)
+        return out
+
+    way = {"out": adjacent(edges), "in": adjacent([(b, a) for a, b in edges]), "und": adjacent(edges, True), "refs": adjacent(refs, True), "calls": adjacent(calls, True), "mixed": adjacent(edges + [x[:2] for x in refs], True)}
+    dist = {(k, s): hops(a, s) for k, a in way.items() for s in NODES}
+    for task, s in (("t1", NODES[0]), ("t2", NODES[4]), ("t4", NODES[-1])):
+        near = lambda k, most=99: {p: d for p, d in dist[k, s].items() if 0 < d <= most}  # noqa: B023, E731
+        listed = lambda rows, *by: sorted(rows, key=lambda p: (*(f(p) for f in by), walks.tie(task, p)))  # noqa: B023, E731
+        want = {
+            "bfs_fwd": listed(near("out"), near("out").get), "closure_fwd_trim": listed(near("out"), near("out").get), "bfs_rev": listed(near("in"), near("in").get), "bfs_und": listed(near("und"), near("und").get),
+            "closure_fwd": listed(near("out")), "closure_rev": listed(near("in")), "closure_comb": listed(near("out") | near("in")), "khop1_und": listed(near("und", 1)), "khop2_und": listed(near("und", 2)),
+            "repograph_k1": listed(near("refs", 1)), "repograph_k2": listed(near("refs", 2), near("refs").get), "cosil_bfs": listed(near("calls"), near("calls").get),
+            "locagent_bfs": listed(near("mixed"), near("mixed").get, lambda p: not any(dist["mixed", s].get(q) == dist["mixed", s][p] - 1 for q in way["und"][p])),  # noqa: B023
+        }
+        for name, order in want.items():
+            got = [x.path for x in c.search(name).where(F.col("task") == task).orderBy("pos").collect()]
+            assert got == order, (name, task)
+        for name in ("closeness", "betweenness", "indegree"):
+            assert {x.path for x in c.search(name).where(F.col("task") == task).collect()} == set(NODES) - {s}
+        place = {x.path: x.pos for x in c.search("topo_fwd").where(F.col("task") == task).collect()}
+        assert place.keys() == near("out").keys()
+        assert all(place[b] < place[a] for a, b in edges if a in place and b in place and a not in dist["out", b])
+    assert {x.task for n in O.BY_JOINS for x in c.search(n).select("task").distinct().collect()} <= {"t1", "t2", "t4"}
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_ranks_are_those_of_the_walk(spark, whole):
+    r = random.Random(9)
+    nodes = {f"r{k}": [f"n{i:02}" for i in range(12 + k)] for k in range(3)}
+    edges = {(k, *p): r.random() + 0.1 for k, own in nodes.items() for p in r.sample(list(itertools.permutations(own[:-2], 2)), 25)}
+    tasks = [(k, k, None) for k in nodes] if whole else [(f"{k}|{s}", k, s) for k, own in nodes.items() for s in own] + [("gone", "r0", "gone")] + [(f"again{i}", "r1", "n03") for i in range(40)]
+    df = spark.createDataFrame
+    rows = ranks.ranked(df([(k, v) for k, own in nodes.items() for v in own], "repo string, node string"), df([(*e, w) for e, w in edges.items()], "repo string, src string, dst string, weight double"), df(tasks, "task string, repo string, seed string")).collect()
+    got = {}
+    for x in rows:
+        assert got.setdefault((x.task, x.node), x.score) == x.score
+    assert len(rows) == len(got) == sum(len(nodes[k]) for t, k, _ in tasks if t != "gone")
+    for task, repo, seed in tasks:
+        if task == "gone":
+            continue
+        own = nodes[repo]
+        n = len(own)
+        m, p = np.zeros((n, n)), np.full(n, 1 / n) if seed is None else np.array([float(v == seed) for v in own])
+        for (k, a, b), w in edges.items():
+            if k == repo:
+                m[own.index(b), own.index(a)] = w
+        total = m.sum(axis=0)
+        m = np.where(total > 0, m / np.where(total > 0, total, 1), p[:, None])
+        want = np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * p)
+        assert [got[task, v] for v in own] == pytest.approx(want, abs=n * 1e-5)
 
 
 @pytest.fixture(scope="module")
@@ -158,4 +180,4 @@ def test_dense_and_localiser(corpus):
     assert best.keys() == {"t1", "t4"} and best["t1"] in NODES
     key = c.tasks.sparkSession.createDataFrame([("t1", "s", NODES[3]), ("t1", "s", NODES[1]), ("t1", "s", NODES[0]), ("t1", "s", "gone")], "task string, source string, path string")
     assert [r.path for r in O.oracle(c, key).orderBy("pos").collect()] == [NODES[1], NODES[3]]
-    assert {(r.path, r.clump) for r in walks.loops(c.nodes, c.edges).where(F.col("repo") == "q").collect()} == {("only.py", 0)}
+    assert {(r.node, r.root) for r in c.components().where(F.col("repo") == "q").collect()} == {("only.py", "only.py")}
