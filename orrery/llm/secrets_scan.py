@@ -120,11 +120,23 @@ def random_parts(s: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _merged(found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What spans cover, as intervals apart from each other, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind in KINDS' order. Null: none.
 
     Base matches are leftmost and do not overlap within a kind; those that are too short are
-    dropped. Random strings are looked for in what base spans leave of a run.
+    dropped. Random strings are looked for in what base spans leave of a run; runs and spans are
+    walked through once, side by side.
     """
     if not text:
         return []
@@ -138,12 +150,19 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if _has_run(raw, _IS_HEX, 24):
         found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if _has_run(raw, _CODE >= 0, 20):
-        base = list(found)
+        taken = _merged(found)
+        i = 0
         for m in CANDIDATE.finditer(text):
             at, end = m.span()
-            for a, b in [*sorted((a, b) for _, a, b in base if a < end and at < b), (end, end)]:
+            while i < len(taken) and taken[i][1] <= at:
+                i += 1
+            k = i
+            while k < len(taken) and taken[k][0] < end:
+                a, b = taken[k]
                 found += [("random", at + x, at + y) for x, y in random_parts(text[at : max(at, a)])]
                 at = max(at, b)
+                k += 1
+            found += [("random", at + x, at + y) for x, y in random_parts(text[at : max(at, end)])]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
