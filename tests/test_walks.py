@@ -103,12 +103,14 @@ def test_orders_by_joins(spark):
         assert all(place[b] < place[a] for a, b in edges if a in place and b in place and a not in dist["out", b])
 
 
-def test_ranks_are_those_of_the_walk(spark):
+def test_ranks_are_those_of_the_walk(spark, monkeypatch):
     """Weighed edges, ends without successors, restarts at a seed and anywhere, more tasks than a block holds, a seed that is no node."""
+    monkeypatch.setattr(ranks, "WIDTH", 4)
+    monkeypatch.setattr(ranks, "TOLERANCE", 1e-4)
     r = random.Random(9)
     nodes = {f"r{k}": [f"n{i:02}" for i in range(9 + k)] for k in range(2)}
     edges = {(k, *p): r.random() + 0.1 for k, own in nodes.items() for p in r.sample(list(itertools.permutations(own[:-2], 2)), 30)}
-    tasks = [(k, k, None) for k in nodes] + [(f"{k}|{s}", k, s) for k, own in nodes.items() for s in own] + [("gone", "r0", "gone")] + [(f"again{i}", "r1", "n03") for i in range(26)]
+    tasks = [(k, k, None) for k in nodes] + [(f"{k}|{s}", k, s) for k, own in nodes.items() for s in own] + [("gone", "r0", "gone")] + [(f"again{i}", "r1", "n03") for i in range(3)]
     df = spark.createDataFrame
     rows = ranks.ranked(df([(k, v) for k, own in nodes.items() for v in own], "repo string, node string"), df([(*e, w) for e, w in edges.items()], "repo string, src string, dst string, weight double"), df(tasks, "task string, repo string, seed string")).collect()
     got = {}
@@ -127,7 +129,7 @@ def test_ranks_are_those_of_the_walk(spark):
         total = m.sum(axis=0)
         m = np.where(total > 0, m / np.where(total > 0, total, 1), p[:, None])
         want = np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * p)
-        assert [got[task, v] for v in own] == pytest.approx(want, abs=n * 1e-5)
+        assert [got[task, v] for v in own] == pytest.approx(want, abs=n * 1e-3)
 
 
 @pytest.fixture(scope="module")
