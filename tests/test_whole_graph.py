@@ -20,6 +20,7 @@ def chain(spark, monkeypatch):
     """The graph tables as CHAIN, with seed 0."""
     e = spark.createDataFrame(CHAIN, "src long, dst long")
     n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumns({"cost": F.lit(2).cast("long"), "kind": F.lit("k"), "brand": F.lit("b")})
+    monkeypatch.setattr(graph_plans.R, "WIDTH", 1)
     monkeypatch.setattr(S, "graph_edges", lambda *_: e)
     monkeypatch.setattr(S, "graph_nodes", lambda *_: n)
     monkeypatch.setattr(S, "seeds", lambda *_: spark.createDataFrame([("t", 0)], "task string, node long"))
