@@ -40,9 +40,15 @@ from orrery.llm.components import components
 COLLECTION, HALF = 14, 3
 #: Words of 64 bits in the filter of ids whose sets are wanted: at most 8 MB of keys and bits to broadcast.
 FILTER_WORDS = 1 << 19
+#: Bytes of an Arrow batch that goes to a Python worker: rows with two sets each would else be gathered by the ten thousand.
+BATCH = "4m"
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    return stage(df, name, batch=BATCH)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles.
 
@@ -256,8 +262,8 @@ def _apart(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # At least so much in common with any partner, and with one that is not linked with the centre.
     ranked = ranked.withColumn("la", F.expr(f"greatest(1, ceil(e - {(100 - percent) / percent!r}D * n - 1e-9D))")).withColumn("lb", F.expr(f"greatest(la, ceil((e + {k!r}D * (nc - n)) / 2 - 1e-9D))"))
     ranked = ranked.withColumn("at", F.expr("e - sl - sg + r")).withColumn("strict", F.expr("at <= e - lb + 1")).where("strict OR far AND at <= e - la + 1")
-    ranked = stage(ranked.select("d", "n", "g", "c", "e", "tok", "sl", "sg", "far", "strict"), "apart")
-    prefix = stage(_main(_in_several(ranked, "g", "c", "tok"), "g", "c", "tok"), "apart")
+    ranked = _staged(ranked.select("d", "n", "g", "c", "e", "tok", "sl", "sg", "far", "strict"), "apart")
+    prefix = _staged(_main(_in_several(ranked, "g", "c", "tok"), "g", "c", "tok"), "apart")
     side = lambda rows, v: rows.select("c", "tok", *[F.col(a).alias(b + v) for a, b in (("d", ""), ("n", "n"), ("g", "g"), ("e", "e"), ("sl", "sl"), ("sg", "sg"), ("far", "far"), ("strict", "strict"))], *["main"] * (v == "y"))
     fits = f"2 * (least(slx, sly) + least(sgx, sgy)) >= ex + ey - {k!r}D * (nx + ny) - 1e-9D AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
     roles = "(farx AND fary AND strictx AND stricty OR farx AND NOT fary AND stricty OR fary AND NOT farx AND strictx)"
@@ -277,35 +283,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     gives an empty result; other columns are never read, so their names don't matter.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = stage(signatures(docs, width, m, half), "signatures")
+    sigs = _staged(signatures(docs, width, m, half), "signatures")
     usable = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    rep = stage(classes, "classes")
+    rep = _staged(classes, "classes")
     vertex = usable.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
 
     # Tables. A document goes on only where its A_i is shared.
     tall = vertex.select("doc_id", "n", "b", F.explode("a").alias("a"))
     shared = tall.join(tall.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "a", "left_semi")
     tables = shared.select("doc_id", "n", "a", F.posexplode("b").alias("j", "b")).select(F.xxhash64("a", "j", "b").alias("k"), F.col("doc_id").alias("d"), "n")
-    tables = stage(tables, "tables")
+    tables = _staged(tables, "tables")
     full = tables.groupBy("k").agg(F.count("*").alias("c"), F.min("d").alias("first")).where("c > 1").select("k", "first")
-    member = stage(tables.join(full, "k"), "members")
+    member = _staged(tables.join(full, "k"), "members")
 
     cut = sketch_cut(2 * m * half, percent)
-    sketches = vertex.select("doc_id", "sk").join(member.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sketches = stage(sketches, "sketches")
-    sets = stage(_set_table(_likely(docs, sketches.select("doc_id")), width), "sets")
+    sketches = vertex.select("doc_id", "n", "sk").join(member.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sketches = _staged(sketches, "sketches")
+    sets = _staged(_set_table(_likely(docs, sketches.select("doc_id")), width), "sets")
 
     # Every member against the smallest member of its bucket.
     stars = member.where("d <> first").select(F.col("d").alias("x"), F.col("first").alias("y")).distinct()
-    stars = stage(_overlaps(stars, sets), "stars")
+    stars = _staged(_overlaps(stars, sets), "stars")
     linked = f"100 * common >= {percent} * total"
     links = stars.where(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
     first = components(links)
 
     # What stars cannot see: links between members, other than the smallest, of one bucket
     # that are still in different components.
-    held = member.where("d <> first").join(first.withColumnRenamed("node", "d"), "d", "left").select("k", "d", "n", F.coalesce("component", "d").alias("g"))
+    # Buckets of one smallest member count as one here: a document then has a row for each first member, not
+    # for each of its buckets, and what some bucket holds together still lies together.
+    held = stars.select(F.col("y").alias("k"), F.col("x").alias("d")).join(first.withColumnRenamed("node", "d"), "d", "left").select("k", "d", F.coalesce("component", "d").alias("g"))
     # Members with one centre (the smallest first member at least half like them) are told apart by
     # their differences from it, others by their rarest shingles.
     near = stars.where("2 * common >= total").groupBy(F.col("x").alias("d")).agg(F.min(F.struct("y", F.expr("total - common").alias("e"), F.expr("total + common").alias("both"))).alias("m"))
@@ -313,16 +321,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, m: int =
     # An id of several texts has no one set to take differences from.
     several = sketches.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("d"))
     near = near.join(several, "d", "left_anti").join(several.withColumnRenamed("d", "c"), "c", "left_anti")
-    open_ = _in_several(held, "g", "k").select("d", "n", "g").distinct().join(near, "d", "left")
-    open_ = stage(open_.select("d", "n", "g", F.coalesce("c", "d").alias("c"), "e", F.expr("both - n").alias("nc")), "open")
-    prefix = stage(_prefixes(open_, sets, percent), "prefix")
+    sizes = sketches.select(F.col("doc_id").alias("d"), "n").distinct()
+    open_ = _in_several(held, "g", "k").select("d", "g").distinct().join(sizes, "d").join(near, "d", "left")
+    open_ = _staged(open_.select("d", "n", "g", F.coalesce("c", "d").alias("c"), "e", F.expr("both - n").alias("nc")), "open")
+    prefix = _staged(_prefixes(open_, sets, percent), "prefix")
     keys = prefix.groupBy("tok").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("g0 <> g1 AND c0 <> c1").select("tok")
-    prefix = stage(_main(prefix.join(keys, "tok", "left_semi"), "c", "tok"), "prefix")
+    prefix = _staged(_main(prefix.join(keys, "tok", "left_semi"), "c", "tok"), "prefix")
     few = prefix.where("c <> main").select("tok", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), F.col("s").alias("sx"), F.col("c").alias("cx"))
     rest = prefix.select("tok", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), F.col("s").alias("sy"), F.col("c").alias("cy"), "main")
     cross = few.join(rest, "tok").where(f"gx <> gy AND cx <> cy AND (cy = main OR cx < cy) AND {_shared_fit(percent)}")
     cross = cross.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).union(_apart(open_.where("e IS NOT NULL"), sets, percent)).distinct()
-    more = stage(_overlaps(_sketches_fit(cross, sketches, cut), sets), "more").where(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    more = _staged(_overlaps(_sketches_fit(cross, sketches, cut), sets), "more").where(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
     merged = components(links.union(more))
 
     whole = rep.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
