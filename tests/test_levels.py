@@ -126,3 +126,14 @@ def test_betweenness(spark):
                         total[v] += ways[s][v] * ways[v][t] / ways[s][t]
         want |= {(repo, v): x / ((len(own) - 1) * (len(own) - 2)) for v, x in total.items()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_betweenness_of_a_long_way(spark, monkeypatch):
+    """The number of staged tables does not grow with the length of ways; sources beyond one slice and one chunk are all counted."""
+    made_ = []
+    monkeypatch.setattr(L, "stage_if", lambda *a, _f=L.stage_if: made_.append(a) or _f(*a))
+    monkeypatch.setattr(L, "CELLS", 100)
+    n = 40
+    nodes, edges = [("r", f"n{i:03}") for i in range(n)], [("r", f"n{i:03}", f"n{i + 1:03}") for i in range(n - 1)]
+    got = {r.node: r.score for r in L.betweenness(*frames(spark, nodes, edges)).collect()}
+    assert got == pytest.approx({f"n{i:03}": i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)}) and not made_
