@@ -35,3 +35,18 @@ def test_components(spark, monkeypatch):
     reach = closure(edges)
     assert {x.node: x.root for x in found.collect()} == {v: min(w for w in reach[v] if v in reach[w]) for v in reach}
     assert len(made) > 10 and not [name for name, plan in made if "BroadcastHashJoin" in plan]
+
+
+def test_heights(spark, monkeypatch):
+    edges, nodes, e = graph(spark)
+    root = {v: min(w for w in r if v in closure(edges)[w]) for v, r in closure(edges).items()}
+    of = spark.createDataFrame([("r", v, w) for v, w in root.items()], "repo string, node long, root long")
+    made = plans(monkeypatch)
+    got = {x.node: x.height for x in L.heights(of, e).collect()}
+    up = {(root[a], root[b]) for a, b in edges if root[a] != root[b]}
+    want = dict.fromkeys(root.values(), 0)
+    for _ in range(60):
+        for a, b in up:
+            want[a] = max(want[a], want[b] + 1)
+    assert got == {v: want[w] for v, w in root.items()}
+    assert len(made) > 2 and not [name for name, plan in made if "BroadcastHashJoin" in plan]
